@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, pii
+from graphloom.llm import decontam, langid, lm, pii, quality, rules, sentencepiece_fst, tokens
 from graphloom.llm.common import table
 
 
+def edit_log(text: Column) -> Column:
+    """Three edits of every text, as a cleaning step leaves them: a cut, an insertion and a replacement."""
+    n = F.coalesce(F.char_length(text), F.lit(0))
+
+    def edit(start: Column, length: int, new: str) -> Column:
+        at = start.cast("int")
+        return F.struct(at.alias("start"), (at + length).alias("end"), F.lit(new).alias("text"))
+
+    return F.array(edit(n / 4, 12, ""), edit(n / 2, 0, " [edited] "), edit(3 * n / 4, 5, "\u00e9 "))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_edited(documents.withColumn("edits", edit_log(F.col("text"))))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -24,6 +40,31 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = rules.apply_policy(found, "base-1").withColumnRenamed("kept", "base_kept").drop("policy")
+    return rules.apply_policy(base, "full-1").select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (~F.col("base_kept")).alias("base_failed"),
+        "kept",
+        "failure_bits",
+        "policy",
+    )
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(good).alias("is_target"))
+    models = lm.train(documents.join(labels, "doc_id", "left"), F.col("is_target"))
+    return lm.score(documents, models)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = [
@@ -37,5 +78,43 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality.train(documents, table(spark, sf_dir, "labels"))
+    return quality.classify(documents, forest).select(
+        "doc_id",
+        F.coalesce(quality.fold(F.col("doc_id"), quality.FOLDS) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(documents)
+    return langid.identify(documents.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(langid.fold(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
+QUERIES = [
+    op1_token_counts,
+    op2_decontamination,
+    op3_quality_rules,
+    op4_lm_scoring,
+    op5_pii,
+    op6_quality_classifier,
+    op8_sentencepiece,
+    op9_language_id,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op5_pii)}
+    return {f.__name__: f for f in QUERIES}
