@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.scratch import materialize
+
+__all__ = ["DOCUMENT_COLUMNS", "ascii_lower", "byte_words", "map_batches", "materialize", "table", "words"]
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -18,40 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
-    set_one = spark.conf.get("spark.checkpoint.dir", None)
-    if set_one:
-        return set_one
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    made = tempfile.mkdtemp(prefix="checkpoint-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared checkpoint folder and read it back, which cuts its lineage.
-
-    Files survive the loss of any executor. They are deleted when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/graphloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM may be gone at exit; the folder is scratch space
-        pass
-
-
 #: Rows and characters that a Python function holds at once, so that very long texts don't add up.
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 

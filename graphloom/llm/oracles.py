@@ -33,4 +33,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES = {"op2_decontamination": OP2}
+_BLANKS = r"[\x20\x09-\x0D]+"
+
+OP10 = f"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS idx, ls[i] AS line, list_filter(regexp_split_to_array(ls[i], '{_BLANKS}'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+),
+long AS (SELECT doc_id, idx, w, array_to_string(w, ' ') AS k FROM l WHERE len(w) >= 5),
+firsts AS (SELECT k, min((doc_id, idx)) AS place, any_value(w) AS w FROM long GROUP BY k),
+place AS (SELECT k, place, w, unnest(range(0, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 8),
+variants AS (
+  SELECT k, place, i, k AS v FROM place
+  UNION ALL
+  SELECT k, place, i, array_to_string(list_concat(w[1:i], w[i+2:]), ' ') AS v FROM place WHERE i < len(w)
+),
+near AS (
+  SELECT DISTINCT k FROM (SELECT k, place, min(place) OVER (PARTITION BY v, i) AS least FROM variants) WHERE place <> least
+),
+gone AS (
+  SELECT doc_id, idx, (doc_id, idx) <> place AS copied
+  FROM long JOIN firsts USING (k) LEFT JOIN near ON near.k = long.k
+  WHERE (doc_id, idx) <> place OR near.k IS NOT NULL
+),
+counts AS (
+  SELECT doc_id, count(*) FILTER (copied) AS n_copies, count(*) FILTER (NOT copied) AS n_near FROM gone GROUP BY doc_id
+),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY idx) AS text, max(len(w)) AS most
+  FROM l ANTI JOIN gone USING (doc_id, idx) GROUP BY doc_id
+),
+n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_copies, 0) AS n_copies, coalesce(n_near, 0) AS n_near,
+       counts.doc_id IS NOT NULL AND coalesce(most, 0) < 5 AS emptied, sha256(coalesce(kept.text, '')) AS text_sha256
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op10_line_dedup": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, langid, lm, pii, quality, rules, sentencepiece_fst, tokens
+from graphloom.llm import decontam, langid, lines, lm, pii, quality, rules, sentencepiece_fst, tokens
 from graphloom.llm.common import table
 
 
@@ -104,6 +104,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        "n_lines",
+        "n_copies",
+        "n_near",
+        "emptied",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 QUERIES = [
     op1_token_counts,
     op2_decontamination,
@@ -113,6 +124,7 @@ QUERIES = [
     op6_quality_classifier,
     op8_sentencepiece,
     op9_language_id,
+    op10_line_dedup,
 ]
 
 
