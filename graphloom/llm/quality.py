@@ -132,7 +132,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def _featured(documents: DataFrame, keys: list[str], forest: Forest | None) -> DataFrame:
-    """Keys with `x` (the features), or with `score` if there is a forest."""
+    """Keys (the text may be one) with `x`, the features, or with `score` if there is a forest."""
     kinds = dict(documents.dtypes)
     value = "score double" if forest else "x array<double>"
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), value])
@@ -146,7 +146,7 @@ def _featured(documents: DataFrame, keys: list[str], forest: Forest | None) -> D
 
         return run
 
-    return map_batches(documents.select(*keys, "text"), make, schema)
+    return map_batches(documents.select(*dict.fromkeys([*keys, "text"])), make, schema)
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Forest:
@@ -161,6 +161,11 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Fo
 
 
 def classify(documents: DataFrame, forest: Forest) -> DataFrame:
-    """The documents' columns with `score`; rows are returned one for one."""
+    """The documents' columns but the text, with `score`; rows are returned one for one."""
     keys = [c for c in documents.columns if c != "text"]
     return _featured(documents, keys, forest)
+
+
+def keep_scored(documents: DataFrame, forest: Forest) -> DataFrame:
+    """The documents, text and all, with `score`: the text passes through the map, so nothing is joined."""
+    return _featured(documents, documents.columns, forest)

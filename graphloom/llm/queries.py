@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, langid, lines, lm, pii, quality, rules, sentencepiece_fst, tokens
+from graphloom.llm import decontam, jaccard, langid, lines, lm, pii, quality, rules, sentencepiece_fst, tokens
 from graphloom.llm.common import table
 
 
@@ -89,6 +89,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
@@ -122,6 +126,7 @@ QUERIES = [
     op4_lm_scoring,
     op5_pii,
     op6_quality_classifier,
+    op7_ngram_jaccard,
     op8_sentencepiece,
     op9_language_id,
     op10_line_dedup,
