@@ -148,7 +148,7 @@ def scc_layers(edges: DataFrame, small: int = SMALL) -> DataFrame:
     kind = dict(edges.dtypes)["src"]
     edges = edges.select("src", "dst").distinct()
     if edges.count() <= small:
-        one = edges.groupBy(F.lit(0))
+        one = edges.withColumn("_one", F.lit(1)).groupBy("_one")
         return one.applyInPandas(_layered, f"node {kind}, component {kind}, size bigint, layer bigint")
     found = materialize(_components_by_rounds(edges))
     return _layers_by_rounds(edges, found)
