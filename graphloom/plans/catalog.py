@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from graphloom.plans import graphs, relational  # noqa: F401
+from graphloom.plans import checks, graphs, relational  # noqa: F401
 from graphloom.plans.registry import ORACLES, QUERIES  # noqa: F401
