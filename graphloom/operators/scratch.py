@@ -25,12 +25,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared checkpoint folder and read it back, which cuts its lineage.
 
-    Files survive the loss of any executor. They are deleted when the driver's Python ends.
+    Files survive the loss of any executor. They are deleted when the driver's Python ends. Shuffle files of the job
+    that wrote them are no longer needed; executors drop them once the driver's JVM has collected the job, so it is
+    asked to, which keeps their disks at what one step needs.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
