@@ -5,15 +5,17 @@ copy if an earlier line becomes the same by one edit of a word: one put in, take
 by document id, text hash and place, so the earliest stays; whether a line goes does not depend on whether the earlier
 one stays itself. Lines of under `min_words` words always stay; under `min_near` words, only copies go.
 
-1. Equal lines meet on a 128-bit hash; each distinct line keeps its earliest place.
+1. Equal lines meet on a 96-bit hash; each distinct line keeps its earliest place.
 2. A line within one edit of another shares the first or the last half of its words with it. Distinct lines whose
    halves are shared with no other line can't have a partner and leave.
-3. The rest emit their deletion neighbourhood: the line without its i-th word, and the line itself as one that lacks a
-   word at i, each as a hash with i. Lines that meet on one are within one edit of each other, so each group needs its
-   earliest line alone, not its pairs; the edit distance to that line is then verified on the words.
+3. The rest emit their deletion neighbourhood, for places i outside the shared half: the line without its i-th word,
+   and the line itself as one that lacks a word at i, each as a hash with i. Lines that meet on one are within one edit
+   of each other, so each group needs its earliest line alone, not its pairs; the edit distance to that line is then
+   verified on the words.
 
 Hashes meet through aggregates and joins that can be split, never in windows, so a line that a third of the
-documents share is added up before it is sent. Null texts stay null. Rows of one id and text are treated alike.
+documents share is added up before it is sent. Null texts stay null; a null id comes before all others. Rows of one id
+are one document's: their lines at the same place don't make each other copies, and equal rows are treated alike.
 """
 
 from __future__ import annotations
@@ -23,11 +25,16 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize
 
-BLANKS = r"[\x20\x09-\x0D]+"
+BLANKS = r"[\x09\x0B-\x0D]"
+
+
+def tidy(text: Column) -> Column:
+    """A text whose blanks other than line ends are spaces."""
+    return F.when(text.rlike(BLANKS), F.regexp_replace(text, BLANKS, " ")).otherwise(text)
 
 
 def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(line, BLANKS), "")
+    return F.array_remove(F.split(line, " ", -1), "")
 
 
 def _rest(w: Column, at: Column) -> Column:
@@ -35,18 +42,10 @@ def _rest(w: Column, at: Column) -> Column:
     return F.slice(w, at, F.greatest(F.size(w), F.lit(1)))
 
 
-def halves(w: Column, n: Column) -> Column:
-    """Hashes of the first and last n/2 and (n-1)/2 words: one edit leaves one half of the shorter line whole."""
-    keys = []
-    for m in ((n / 2).cast("int"), ((n - 1) / 2).cast("int")):
-        keys += [F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), m)), F.xxhash64(F.lit(1), m, F.slice(w, n - m + 1, m))]
-    return F.array_distinct(F.array(*keys))
-
-
 def neighbourhood(w: Column, i: Column) -> Column:
     """The two hashes of place i (from 0): without the i-th word, and as it is with a word missing at i."""
-    without = F.xxhash64(F.concat(F.slice(w, F.lit(1), i), _rest(w, i + 2)))
-    keys = F.array(F.xxhash64(F.xxhash64(w), i), F.xxhash64(without, i))
+    before = F.xxhash64(F.slice(w, F.lit(1), i))
+    keys = F.array(F.xxhash64(before, _rest(w, i + 1), i), F.xxhash64(before, _rest(w, i + 2), i))
     return F.when(i < F.size(w), keys).otherwise(F.slice(keys, 1, 1))
 
 
@@ -66,74 +65,98 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def _lines(documents: DataFrame, min_words: int, min_near: int) -> DataFrame:
-    """A row for each line with enough words: its place, 128-bit hash, and the hashes of its halves."""
+    """A row for each line with enough words: its place, its hash (k1, k2), and hashes p, q, s, t of its halves.
+
+    `at` orders places: the document's id, then the line's number. p and s are of the first and last n/2 words, q and
+    t of the first and last (n-1)/2, where that is less: one edit leaves one half of the shorter line whole.
+    """
     each = documents.select(
-        "doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("idx", "line")
+        "doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(tidy(F.col("text")), "\n", -1)).alias("idx", "line")
     )
-    w = each.select("doc_id", "h", "idx", line_words(F.col("line")).alias("w")).where(F.size("w") >= min_words)
-    none = F.array().cast("array<bigint>")
-    return w.select(
-        F.struct("doc_id", "h", "idx").alias("place"),
-        F.xxhash64("w").alias("k1"),
-        F.xxhash64(F.lit(1), "w").alias("k2"),
-        F.when(F.size("w") >= min_near, halves(F.col("w"), F.size("w"))).otherwise(none).alias("halves"),
+    cut = each.select("doc_id", "h", "idx", line_words(F.col("line")).alias("w")).where(F.size("w") >= min_words)
+    w, n = F.col("w"), F.size("w")
+    m = F.floor(n / 2).cast("int")
+    even, near = n % 2 == 0, n >= min_near
+    a, b = F.xxhash64(F.slice(w, F.lit(1), m)), F.xxhash64(F.slice(w, m + 1, n - m))
+    tail = F.when(even, b).otherwise(F.xxhash64(F.slice(w, m + 2, m)))
+    head2, tail2 = F.xxhash64(F.slice(w, F.lit(1), m - 1)), F.xxhash64(F.slice(w, n - m + 2, m - 1))
+    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)")
+    return cut.select(
+        "doc_id",
+        "h",
+        "idx",
+        (order + F.col("idx")).cast("decimal(32,0)").alias("at"),
+        F.xxhash64(n, a, b).alias("k1"),
+        F.hash(w).alias("k2"),
+        F.when(near, F.xxhash64(F.lit(0), m, a)).alias("p"),
+        F.when(near, F.xxhash64(F.lit(1), m, tail)).alias("s"),
+        F.when(near & even, F.xxhash64(F.lit(0), m - 1, head2)).alias("q"),
+        F.when(near & even, F.xxhash64(F.lit(1), m - 1, tail2)).alias("t"),
     )
 
 
 def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     """(k1, k2) of the distinct lines that are within one edit of an earlier one."""
-    half = distinct.select("k1", "k2", "first", F.explode("halves").alias("half"))
+    sides = F.array(*(F.struct(F.col(c).alias("half"), F.lit(c in "pq").alias("first")) for c in "psqt"))
+    half = distinct.select("k1", "k2", "at", "doc_id", "idx", F.explode(sides).alias("x")).where("x.half IS NOT NULL")
+    half = half.select("k1", "k2", "at", "doc_id", "idx", "x.*")
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    some = half.join(shared, "half", "left_semi").select("k1", "k2", "first").distinct()
-    by_doc = some.groupBy(F.col("first.doc_id").alias("d"), F.col("first.h").alias("h")).agg(
-        F.collect_list(F.struct(F.col("first.idx").alias("idx"), "k1", "k2", "first")).alias("lines")
+    some = (
+        half.join(shared, "half", "left_semi")
+        .groupBy("k1", "k2", "at", "doc_id", "idx")
+        .agg(F.max("first").alias("head"), F.min("first").alias("tail"))  # tail: false if a last half is shared
     )
-    texts = documents.select("doc_id", F.xxhash64("text").alias("th"), "text").dropDuplicates(["doc_id", "th"])
-    met = texts.join(by_doc, texts.doc_id.eqNullSafe(by_doc.d) & (texts.th == by_doc.h))
-    cut = met.select(F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("x"))
-    known = materialize(cut.select("x.k1", "x.k2", "x.first", line_words(F.get("all", F.col("x.idx"))).alias("w")))
-    place = known.select("*", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("i"))
-    variants = place.select(
-        F.struct("first", "k1", "k2").alias("line"), F.explode(neighbourhood(F.col("w"), F.col("i"))).alias("key")
+    by_doc = some.groupBy(F.col("doc_id").alias("d")).agg(
+        F.collect_list(F.struct("k1", "k2", "at", "idx", "head", "tail")).alias("lines")
     )
+    texts = documents.select("doc_id", "text")
+    met = texts.join(by_doc, texts.doc_id.eqNullSafe(by_doc.d))
+    cut = met.select(F.split(tidy(F.col("text")), "\n", -1).alias("all"), F.explode("lines").alias("x"))
+    found = cut.select("x.*", line_words(F.get("all", F.col("x.idx"))).alias("w"))
+    # rows may share an id: only the text that has the line counts, and one of several
+    own = found.where(F.hash("w") == F.col("k2")).dropDuplicates(["k1", "k2"])
+    ranked = own.orderBy("at").select("k1", "k2", "head", "tail", "w", F.monotonically_increasing_id().alias("line"))
+    known = materialize(ranked)
+
+    n = F.size("w")
+    short = F.floor((n - 1) / 2).cast("int")
+    places = F.sequence(F.when(~F.col("tail"), 0).otherwise(short), F.when(F.col("head"), n).otherwise(n - short))
+    spread = known.select("line", "w", F.explode(places).alias("i"))
+    variants = materialize(spread.select("line", F.explode(neighbourhood(F.col("w"), F.col("i"))).alias("key")))
     least = variants.groupBy("key").agg(F.min("line").alias("least"), F.count("*").alias("n")).where("n > 1")
-    pairs = (
-        variants.join(least, "key")
-        .where("line.first <> least.first")
-        .select("line.k1", "line.k2", F.col("least.k1").alias("e1"), F.col("least.k2").alias("e2"))
-        .distinct()
-    )
-    mine = known.select("k1", "k2", "w")
-    other = known.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("w").alias("v"))
-    checked = pairs.join(mine, ["k1", "k2"]).join(other, ["e1", "e2"])
+    pairs = variants.join(least, "key").where("line > least").select("line", "least").distinct()
+    mine, other = known.select("line", "k1", "k2", "w"), known.select(F.col("line").alias("least"), F.col("w").alias("v"))
+    checked = pairs.join(mine, "line").join(other, "least")
     return checked.where(within_one_edit(F.col("w"), F.col("v"))).select("k1", "k2").distinct()
 
 
 def removals(documents: DataFrame, min_words: int = 5, min_near: int = 8) -> DataFrame:
     """(doc_id, h, copies array<int>, near array<int>): places of the lines to take out of each text."""
-    lines = _lines(documents, min_words, min_near)
+    lines = materialize(_lines(documents, min_words, min_near))
+    halves = [F.max(c).alias(c) for c in "psqt"]
+    grouped = lines.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.count("*").alias("n"), *halves)
+    base = F.floor(F.col("at") / F.lit(2**31).cast("decimal(10,0)"))
     distinct = materialize(
-        lines.groupBy("k1", "k2").agg(
-            F.min("place").alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves")
+        grouped.withColumn("doc_id", F.when(base > -(2**63), base).cast("bigint")).withColumn(
+            "idx", F.pmod("at", F.lit(2**31).cast("decimal(10,0)")).cast("int")
         )
     )
     near = _near(documents, distinct).withColumn("near", F.lit(True))
     going = (
         distinct.join(near, ["k1", "k2"], "left")
         .where("n > 1 OR near")
-        .select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+        .select("k1", "k2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     )
     gone = (
-        lines.select("place", "k1", "k2")
+        lines.select("doc_id", "h", "idx", "at", "k1", "k2")
         .join(going, ["k1", "k2"])
-        .where("near OR place <> first")
-        .select("place.*", F.when(F.col("place") != F.col("first"), "copy").otherwise("near").alias("kind"))
+        .where("near OR at <> first")
+        .select("doc_id", "h", "idx", (F.col("at") != F.col("first")).alias("copy"))
+    )
+    copies, near_copies = F.when(F.col("copy"), F.col("idx")), F.when(~F.col("copy"), F.col("idx"))
+    return gone.groupBy("doc_id", "h").agg(
+        F.collect_set(copies).alias("copies"), F.collect_set(near_copies).alias("near")
     )
-
-    def places(kind: str) -> Column:
-        return F.collect_set(F.when(F.col("kind") == kind, F.col("idx")))
-
-    return gone.groupBy("doc_id", "h").agg(places("copy").alias("copies"), places("near").alias("near"))
 
 
 def dedup_lines(documents: DataFrame, min_words: int = 5, min_near: int = 8) -> DataFrame:
@@ -152,7 +175,7 @@ def dedup_lines(documents: DataFrame, min_words: int = 5, min_near: int = 8) ->
         F.size("_gone") > 0, F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))
     ).otherwise(F.col("_lines"))
     out = split.withColumn("_kept", kept)
-    left = F.exists("_kept", lambda x: F.size(line_words(x)) >= min_words)
+    left = F.exists("_kept", lambda x: F.size(line_words(tidy(x))) >= min_words)
     text = F.when(F.size("_gone") > 0, F.array_join("_kept", "\n")).otherwise(F.col("text"))
     return out.select(
         *(text.alias("text") if c == "text" else F.col(c) for c in documents.columns),
