@@ -70,4 +70,53 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_copies, 0) AS n_cop
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op2_decontamination": OP2, "op10_line_dedup": OP10}
+_BLANK = r"[\x20\x09-\x0D]"
+_INK = r"[^\x20\x09-\x0D]"
+
+OP3 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_INK}+') AS w FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+  SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win)
+  WHERE c > 1) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{_INK}') GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(t) - len(regexp_extract_all(t, '{_BLANK}')) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         len(regexp_extract_all(t, '[A-Z]')) AS up, len(regexp_extract_all(t, '[a-z]')) AS low,
+         len(regexp_extract_all(t, '[0-9]')) AS digits, len(regexp_extract_all(t, '[!?]')) AS marks
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)
+),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST(
+    (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+    + 8 * (10 * n_dup_lines > 3 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT
+    + 32 * (2 * up > up + low + 10)::INT + 64 * (2 * digits > word_chars)::INT + 128 * (5 * marks > n_words + 20)::INT
+    AS BIGINT) AS failure_bits FROM m)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       failure_bits = 0 AS kept, failure_bits, 'full-1' AS policy FROM b
+"""
+
+OP7 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 10 * k >= 8 * (a.n + b.n - k)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+r(id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT y, c FROM r JOIN both_ways ON x = id)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links FROM d
+JOIN (SELECT id, min(c) AS class_id FROM r GROUP BY 1) ON id = d.doc_id
+LEFT JOIN (SELECT x, count(*) AS n_links FROM both_ways GROUP BY 1) l ON l.x = d.doc_id
+"""
+
+ORACLES = {
+    "op2_decontamination": OP2,
+    "op3_quality_rules": OP3,
+    "op7_ngram_jaccard": OP7,
+    "op10_line_dedup": OP10,
+}
