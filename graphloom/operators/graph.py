@@ -266,18 +266,18 @@ def edges_between(edges: DataFrame, modules: DataFrame, limit: int) -> DataFrame
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, rank) after a fixed number of rounds; the mass of nodes without edges out is dealt to all."""
-    e = materialize(edges.select("src", "dst").distinct())
-    out = e.groupBy("src").agg(F.count("*").alias("n"))
-    nodes = e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct()
-    total = nodes.count()
-    links = e.join(out, "src")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, total)))
+    e = edges.select("src", "dst").distinct()
+    links = materialize(e.join(e.groupBy("src").agg(F.count("*").alias("n")), "src"))
+    ends = links.select(F.col("src").alias("node")).unionAll(links.select(F.col("dst").alias("node"))).distinct()
+    total = max(1, ends.count())
+    nodes = ranks = materialize(ends.withColumn("rank", F.lit(1.0 / total)))
     for i in range(rounds):
         sent = links.join(ranks.withColumnRenamed("node", "src"), "src")
         got = sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        met = nodes.join(got, "node", "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
-        lost = 1.0 - (met.agg(F.sum("got")).first()[0] or 0.0)
-        ranks = met.select("node", ((1 - damping) / total + damping * (F.col("got") + lost / total)).alias("rank"))
-        if i % 5 == 4:
+        kept = got.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("kept"))  # one row
+        met = nodes.select("node").join(got, "node", "left").crossJoin(F.broadcast(kept))
+        share = F.coalesce("got", F.lit(0.0)) + (1 - F.col("kept")) / total
+        ranks = met.select("node", ((1 - damping) / total + damping * share).alias("rank"))
+        if i % 2:  # keeps the plan of a round from growing
             ranks = materialize(ranks)
     return ranks
