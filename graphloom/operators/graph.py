@@ -67,16 +67,46 @@ def weighted_neighborhood(edges: DataFrame, start: str | int, depth: int, least:
     return seen.where("depth > 0")
 
 
-def closure_counts(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, n): how many other nodes each node with edges reaches. Pairs are O(V * E); for module graphs."""
-    pairs = materialize(edges.select("src", "dst").where("src <> dst").distinct())
-    n = pairs.count()
-    for _ in range(rounds):  # paths double in length each round
-        longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src"))
-        more = longer.select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).where("src <> dst")
-        pairs = materialize(pairs.unionAll(more).distinct())
-        if n == (n := pairs.count()):
+#: Nodes whose reachable sets one task may hold as bits (at most 50 MB).
+SMALL_CLOSURE = 20_000
+
+
+def _reach(pdf: pd.DataFrame) -> pd.DataFrame:
+    adjacent: dict = {}
+    for s, d in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+        adjacent.setdefault(s, []).append(d)
+    parts = tarjan(sorted(set(pdf["src"].tolist()) | set(pdf["dst"].tolist())), adjacent)
+    place = {n: i for i, n in enumerate(n for p in parts for n in p)}
+    of = {n: i for i, p in enumerate(parts) for n in p}
+    reach: list[int] = []
+    for i, p in enumerate(parts):  # what a component depends on comes before it
+        bits = sum(1 << place[n] for n in p)
+        for c in {of[d] for n in p for d in adjacent.get(n, ())} - {i}:
+            bits |= reach[c]
+        reach.append(bits)
+    rows = [(n, reach[i].bit_count() - 1) for i, p in enumerate(parts) for n in p if n in adjacent]
+    return pd.DataFrame([r for r in rows if r[1]], columns=["node", "n"])
+
+
+def closure_counts(edges: DataFrame, small: int = SMALL_CLOSURE, rounds: int = 10_000) -> DataFrame:
+    """(node, n): how many other nodes each node reaches, of those that reach any.
+
+    Up to `small` nodes (counted first), one task holds the sets as bits. Beyond, pairs are extended by an edge a round,
+    the new ones alone; the pairs are O(V * V), so this is for module graphs.
+    """
+    kind = dict(edges.dtypes)["src"]
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    nodes = e.select("src").unionAll(e.select("dst")).distinct()
+    if nodes.count() <= small:
+        return e.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(_reach, f"node {kind}, n bigint")
+    step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    pairs = new = materialize(e)
+    for _ in range(rounds):
+        more = new.join(step, "dst").select("src", F.col("next").alias("dst")).where("src <> dst").distinct()
+        new = materialize(more.join(pairs, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
             break
+        pairs = materialize(pairs.unionAll(new))
     return pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
 
 

@@ -385,11 +385,13 @@ def test_subject(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "module_index",
-    """SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name HAVING count(DISTINCT p_partkey) = 1""",
+    """SELECT p_brand || '.' || p_type || '.' || p_name AS module, min(p_partkey) AS p_partkey FROM part GROUP BY 1
+       HAVING count(DISTINCT p_partkey) = 1""",
 )
 def module_index(spark: SparkSession, d: str) -> DataFrame:
     """W06, U07, IX02, IX08, IX10: index keys with exactly one target; ambiguous ones are dropped."""
-    return op.unambiguous(table(spark, d, "part"), "p_name", "p_partkey")
+    name = F.concat_ws(".", "p_brand", "p_type", "p_name").alias("module")
+    return op.unambiguous(table(spark, d, "part").select(name, "p_partkey"), "module", "p_partkey")
 
 
 @query(

@@ -66,6 +66,13 @@ def test_random_graph(spark):
     assert parts(g.scc_layers(e, small=0)) == parts(g.scc_layers(e))
 
 
+def test_closure_both_ways(spark):
+    e = edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (5, 4), (6, 6)])
+    want = {1: 3, 2: 3, 3: 3, 5: 1}
+    assert {r.node: r.n for r in g.closure_counts(e).collect()} == want
+    assert {r.node: r.n for r in g.closure_counts(e, small=0).collect()} == want
+
+
 def test_components(spark):
     e = edges(spark, [(i, i + 1) for i in range(1, 20)] + [(100, 101), (102, 101), (7, 7), (None, 3), (5, 4)])
     got = {r.id: r.component for r in connected_components(e).collect()}
