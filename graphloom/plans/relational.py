@@ -472,7 +472,7 @@ def chunk_file_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "priority_lookup",
-    """WITH cand AS (SELECT p_name AS key, p_partkey AS target, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 30 THEN 1 ELSE 2 END AS prio FROM part),
+    """WITH cand AS (SELECT p_brand || '.' || p_name AS key, p_partkey AS target, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 30 THEN 1 ELSE 2 END AS prio FROM part),
     best AS (SELECT key, min(prio) AS prio FROM cand GROUP BY 1)
     SELECT c.key, min(target) AS target, c.prio FROM cand c JOIN best b ON b.key = c.key AND b.prio = c.prio
     GROUP BY c.key, c.prio HAVING count(DISTINCT target) = 1""",
@@ -481,7 +481,7 @@ def priority_lookup(spark: SparkSession, d: str) -> DataFrame:
     """J10, IR01, IR02, IR05, IR19, IR22: the candidate of the best priority, none if that is ambiguous."""
     p = table(spark, d, "part")
     prio = F.when(F.col("p_size") <= 10, 0).when(F.col("p_size") <= 30, 1).otherwise(2)
-    cand = p.select(F.col("p_name").alias("key"), F.col("p_partkey").alias("target"), prio.alias("prio"))
+    cand = p.select(F.concat_ws(".", "p_brand", "p_name").alias("key"), F.col("p_partkey").alias("target"), prio.alias("prio"))
     return op.priority_lookup(cand.select("key").distinct(), cand, "key", "target", "prio")
 
 

@@ -25,7 +25,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports between parts: from each line of an order to the next one; w is the line's quantity."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
     pairs = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_quantity").alias("w"))
     return pairs.where("dst IS NOT NULL AND src <> dst")
 
@@ -41,7 +41,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL_EDGES_SQL = """
 all_edges AS (SELECT * FROM (
-  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst,
+  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS dst,
          l_quantity AS w FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"""
 EDGES_SQL = f"""{ALL_EDGES_SQL},
 edges AS (SELECT DISTINCT src, dst FROM all_edges WHERE w >= {STRONG})"""
