@@ -315,9 +315,10 @@ def identifier_tokens(spark: SparkSession, d: str) -> DataFrame:
 def concept_frequency(spark: SparkSession, d: str) -> DataFrame:
     """Concepts with how often, in how many files, and under which forms they occur."""
     t = _identifiers(spark, d).select("id", F.explode(tx.split_identifier(F.col("s"))).alias("t"))
-    c = t.select("id", "t", tx.canonical(F.col("t")).alias("concept")).where("concept IS NOT NULL")
+    forms = t.groupBy("id", "t").agg(F.count("*").alias("n"))  # each form of a file is made canonical once
+    c = forms.select("id", "t", "n", tx.canonical(F.col("t")).alias("concept")).where("concept IS NOT NULL")
     return c.groupBy("concept").agg(
-        F.count("*").alias("frequency"),
+        F.sum("n").alias("frequency"),
         F.count_distinct("id").alias("file_count"),
         F.array_join(F.array_sort(F.collect_set("t")), ",").alias("alt_labels"),
     )
