@@ -1,8 +1,9 @@
 """Symbols and imports of source files: an Arrow-batched map with a parser or a table of patterns for each language.
 
-Covered are the languages that can be read with what is installed: Python by its own parser, JSON and YAML by theirs, and
-by patterns SQL, shell, HTML, CSS, PHP, COBOL, Dart, Clojure, assembly, Kconfig, devicetree and Make. Others need a
-grammar package that is not here; their files come back with the error `no_parser` rather than a guess.
+Python is read by its own parser, JSON and YAML by theirs, and by patterns SQL, shell, HTML, CSS, PHP, COBOL, Dart, Clojure,
+assembly, Kconfig, devicetree and Make. No grammar package is installed for TypeScript and JavaScript, Rust, Go, Java,
+Kotlin, Swift, Ruby, C, C++, Objective-C and CFML: they are scanned by their tokens (`lexical`), which finds declarations,
+imports and calls but no syntax errors. Files of any other language come back with the error `no_parser`.
 
 A file that can't be read gives an error and never fails the task.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import normal_path
+from graphloom.sources import lexical
 
 #: Patterns by language: (kind, expression); the first group is the name. `import` rows are specs to resolve.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
@@ -134,10 +136,19 @@ def pattern_items(language: str, text: str) -> Iterator[tuple]:
     for kind, expression in PATTERNS[language]:
         for m in re.finditer(expression, text):
             line = bisect_right(lines, m.start(1) - 1) + 1
-            found.append((m.start(1), kind, m[1].strip('"'), line))
-    for at, kind, name, line in sorted(set(found)):
-        begin = len(text[:at].encode())
-        yield kind, name, None, line, line, begin, begin + len(name.encode())
+            found.append((m.start(1), kind, m[1].strip('"'), line, m.start(), m.end()))
+    found = sorted({x[:2]: x for x in found}.values())
+    places = [(at, at + len(name)) for at, _, name, *_ in found]
+    if language in lexical.BODIES:  # a declaration runs to the end of its body
+        own = lexical.extents(language, text, [x[4:] for x in found])
+        places = [p if x[1] in ("import", "call") else q for x, p, q in zip(found, places, own)]
+    first, byte, last = 0, {}, 0
+    for at in sorted({x for p in places for x in p}):
+        first += len(text[last:at].encode("utf-8", "surrogatepass"))
+        byte[at], last = first, at
+    for (_, kind, name, line, *_), (begin, end) in zip(found, places):
+        end_line = max(line, bisect_right(lines, end - 2) + 1)
+        yield kind, name, None, line, end_line, byte[begin], byte[end]
 
 
 def _yaml(text: str) -> Iterator[tuple]:
@@ -152,6 +163,7 @@ PARSERS: dict[str, Callable[[str], Iterator[tuple]]] = {
     "json": lambda t: key_items(json.loads(t)),
     "yaml": _yaml,
     **{name: (lambda t, n=name: pattern_items(n, t)) for name in PATTERNS},
+    **{name: (lambda t, n=name: lexical.items(n, t)) for name in lexical.LANGUAGES},
 }
 
 
@@ -175,6 +187,57 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "text").mapInPandas(run, SCHEMA)
 
 
+def references(files: DataFrame) -> DataFrame:
+    """(path, kind, src, dst, line): names that functions call and types derive from, of Python and the scanned languages.
+
+    Files that can't be read have none; `extract` reports their errors.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, language, text in zip(f["path"], f["language"], f["text"]):
+                try:
+                    out += [(path, *r) for r in lexical.references(language, text or "")]
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pd.DataFrame(out, columns=["path", "kind", "src", "dst", "line"])
+
+    known = files.where(F.col("language").isin("python", *lexical.LANGUAGES)).select("path", "language", "text")
+    return known.mapInPandas(run, "path string, kind string, src string, dst string, line int")
+
+
+def resolve_references(refs: DataFrame, items: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, unresolved): the file that declares what is referred to.
+
+    A name of the same file comes first (`exact`), then one that a file imported from there declares (`import`; imports
+    has path and target), then one that a single file declares (`heuristic`). Names that several files declare, and
+    those that none does, stay unresolved, with the reason. Names are counted before they are joined, so a name of
+    thousands of files is one row there.
+    """
+    declared = items.where("error IS NULL AND kind NOT IN ('import', 'call', 'key')").select("path", "name").distinct()
+    by_name = declared.groupBy(F.col("name").alias("dst")).agg(
+        F.count("*").alias("n"), F.min("path").alias("only")
+    )
+    here = declared.select("path", F.col("name").alias("dst"), F.lit(True).alias("here"))
+    there = declared.select(F.col("path").alias("target"), F.col("name").alias("dst"))
+    wanted = refs.select("path", "dst").distinct()
+    imported = (
+        wanted.join(imports.select("path", "target").distinct(), "path")
+        .join(there, ["target", "dst"])
+        .groupBy("path", "dst")
+        .agg(F.min("target").alias("target"))
+    )
+    met = wanted.join(here, ["path", "dst"], "left").join(imported, ["path", "dst"], "left").join(by_name, "dst", "left")
+    how = F.when(F.col("here"), "exact").when(F.col("target").isNotNull(), "import").when(F.col("n") == 1, "heuristic")
+    to = F.when(F.col("here"), F.col("path")).otherwise(F.coalesce("target", F.when(F.col("n") == 1, F.col("only"))))
+    reason = F.when(F.col("n") > 1, "ambiguous").otherwise("undeclared")
+    named = met.select("path", "dst", how.alias("how"), to.alias("target"), reason.alias("reason"))
+    all_refs = refs.join(named, ["path", "dst"])
+    edges = all_refs.where("how IS NOT NULL").select("path", "kind", "src", "target", "dst", "line", "how")
+    return edges, all_refs.where("how IS NULL").select("path", "kind", "src", "dst", "line", "reason")
+
+
 def chunks(files: DataFrame, items: DataFrame) -> DataFrame:
     """(chunk_id, path, kind, symbol, parent, lines, bytes, text): each file as a whole, and each symbol of it."""
     n = F.octet_length("text").cast("bigint")
@@ -283,3 +346,40 @@ def resolve_python(specs: DataFrame, paths: DataFrame, roots: list[str]) -> Data
     )
     best = found.where("target <> path").groupBy("path", "spec").agg(F.min_by("target", "prio").alias("target"), F.min("prio").alias("p"))
     return best.select("path", "spec", "target", F.when(F.col("p") < 2, "exact").otherwise("suffix").alias("how"))
+
+
+def resolve_qualified(specs: DataFrame, paths: DataFrame, endings: list[str]) -> DataFrame:
+    """(path, spec, target, how): dotted names to files by their unique path suffix, for Java, Kotlin and their like.
+
+    The full name comes first, then the name without its last part (a member of a class). A package with `.*` gives each
+    file of its folder. A suffix with several files behind it resolves to none.
+    """
+    wanted = specs.select("path", "spec", F.regexp_replace("spec", "[.]", "/").alias("q"))
+    stem = F.regexp_replace("path", "(?:" + "|".join(e.replace(".", "[.]") for e in endings) + ")$", "")
+    files = paths.where(stem != F.col("path")).select("path", stem.alias("stem")).distinct()
+    parts = F.split("stem", "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    spread = files.select("path", F.explode(tails).alias("q"))
+    unique = spread.groupBy("q").agg(F.count("*").alias("n"), F.min("path").alias("target")).where("n = 1").drop("n")
+    plain = wanted.where(~F.endswith("q", F.lit("/*")))
+    member = F.regexp_replace("q", "/[^/]*$", "")
+    tried = plain.select("path", "spec", F.explode(F.array(
+        F.struct(F.lit(0).alias("prio"), F.col("q")), F.struct(F.lit(1).alias("prio"), member.alias("q"))
+    )).alias("c")).select("path", "spec", "c.prio", "c.q").where("q LIKE '%/%'")
+    best = tried.join(unique, "q").groupBy("path", "spec").agg(F.min_by("target", "prio").alias("target"), F.min("prio").alias("p"))
+    exact = best.select("path", "spec", "target", F.when(F.col("p") == 0, "exact").otherwise("member").alias("how"))
+    folders = spread.where("q LIKE '%/%'").select("path", F.regexp_replace("q", "/[^/]*$", "").alias("q"))
+    package = wanted.where(F.endswith("q", F.lit("/*"))).select("path", "spec", F.regexp_replace("q", "/[*]$", "").alias("q"))
+    every = package.join(folders.select("q", F.col("path").alias("target")).distinct(), "q")
+    found = exact.unionByName(every.select("path", "spec", "target", F.lit("package").alias("how")))
+    return found.where("target <> path").distinct()
+
+
+def resolve_go(specs: DataFrame, paths: DataFrame, module: str) -> DataFrame:
+    """(path, spec, target): a spec below the module's path to the first source file of its folder that is no test."""
+    files = paths.where("path LIKE '%.go' AND path NOT LIKE '%\\_test.go'").select("path")
+    first = files.groupBy(F.regexp_replace("path", "/?[^/]*$", "").alias("dir")).agg(F.min("path").alias("target"))
+    below = F.when(F.col("spec") == module, "").when(
+        F.startswith("spec", F.lit(module + "/")), F.substring("spec", F.lit(len(module) + 2), F.length("spec"))
+    )
+    return specs.withColumn("dir", below).join(first, "dir").select("path", "spec", "target")

@@ -9,7 +9,7 @@ FILES = [
     ("pkg/sub/__init__.py", "python", ""),
     ("pkg/sub/c.py", "python", "async def f(): ...\n"),
     ("bad.py", "python", "def ("),
-    ("x.go", "go", "package x"),
+    ("x.hs", "haskell", "module X where"),
     ("db.sql", "sql", "CREATE TABLE IF NOT EXISTS t (a int);\ncreate or replace view v as select 1;\n\\i sub/other.sql\n"),
     ("sub/other.sql", "sql", ""),
     ("run.sh", "shell", "#!/bin/sh\nsource lib/u.sh\n. $X/y.sh\nfoo() {\n}\n"),
@@ -43,12 +43,13 @@ def test_items(spark):
     assert {x[1:3] for x in got if x[0] == "m.mk"} == {("target", "all"), ("import", "n.mk")}
     assert {x[1:3] for x in got if x[0] == "d.json"} == {("key", "a"), ("key", "b"), ("import", "e.json#/x")}
     assert rows(items.where("error IS NOT NULL").select("path", "error")) == {
-        ("bad.py", "parse_error:SyntaxError"), ("x.go", "no_parser"), ("site/j.js", "no_parser")
+        ("bad.py", "parse_error:SyntaxError"), ("x.hs", "no_parser")
     }
 
     chunks = ex.chunks(files, items)
     assert chunks.count() == chunks.select("chunk_id").distinct().count()
     text = {(r.path, r.symbol): r.text for r in chunks.collect()}
+    assert text["db.sql", "v"] == "create or replace view v as select 1;" and text["run.sh", "foo"] == "foo() {\n}"
     assert text["pkg/a.py", "fé"] == "@d\ndef fé():\n    return 1"
     assert text["pkg/a.py", "m"].startswith("    def m") or text["pkg/a.py", "m"].strip().startswith("def m")
 
