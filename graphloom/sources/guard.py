@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import threading
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+
 MOST_CHARS, MOST_ROWS, SECONDS = 10_000, 1_000, 10.0
 CHANGES = re.compile(r"\b(insert|update|delete|merge|drop|create|alter|truncate|replace|set|reset|add|load|cache|uncache"
                      r"|refresh|grant|revoke|call|export|import|overwrite)\b", re.I)
@@ -39,20 +43,24 @@ def check(sql: str) -> str:
     return sql.strip().rstrip(";")
 
 
-def run(spark: SparkSession, sql: str, limit: int = MOST_ROWS, seconds: float = SECONDS) -> Answer:
-    """Rows as texts, `limit` at most; one more is asked for to tell whether any were left out."""
-    text = check(sql)
-    group = f"guard-{threading.get_ident()}-{id(text)}"
+def bounded(spark: SparkSession, action: Callable[[], T], seconds: float) -> T:
+    """What an action gives; its jobs are cancelled when the time is over."""
+    group = f"guard-{threading.get_ident()}-{id(action)}"
     context = spark.sparkContext
     context.setJobGroup(group, "guarded query", interruptOnCancel=True)
     timer = threading.Timer(seconds, lambda: context.cancelJobGroup(group))
     timer.start()
     try:
-        df = spark.sql(text)
-        rows = df.limit(limit + 1).collect()
+        return action()
     finally:
         timer.cancel()
         context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def run(spark: SparkSession, sql: str, limit: int = MOST_ROWS, seconds: float = SECONDS) -> Answer:
+    """Rows as texts, `limit` at most; one more is asked for to tell whether any were left out."""
+    df = spark.sql(check(sql))
+    rows = bounded(spark, lambda: df.limit(limit + 1).collect(), seconds)
     texts = [tuple(None if v is None else str(v) for v in r) for r in rows[:limit]]
     return Answer(df.columns, texts, len(rows) > limit)
 
