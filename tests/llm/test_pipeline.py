@@ -47,6 +47,23 @@ def test_lines(stages):
         assert all(len(x.split()) < 5 for x in want[k].split("\n"))
 
 
+def test_short_lines_stay(spark):
+    long = "one line of six plain words"
+    made = [
+        (1, long),
+        (2, f"{long}\nshort line\nanother"),
+        (3, f"短い行だけの文書です\n{long}"),
+        (4, long),
+        (5, f"{long}\n \t\n"),
+        (6, ""),
+        (7, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    short = {2: "short line\nanother", 3: "短い行だけの文書です"}
+    assert got == {1: (long, len(long)), **{i: (t, len(t)) for i, t in short.items()}, 6: ("", 0), 7: (None, 0)}
+
+
 def test_near_copies(stages):
     want = {k[0] for k in plain_groups(texts(stages[2])) if k[0] == k[1]}
     assert {r.doc_id for r in stages[3]} == want
