@@ -7,7 +7,8 @@ language, and both are linear in a text's presence vector, so a batch is scored
 
 Texts are lower-cased by ASCII rules and bytes other than letters and non-ASCII bytes count as one blank, so
 the alphabet is bounded. The model is fitted on at most `max_rows` documents with a language, an equal share of
-each, chosen by a hash of their id; every document is scored over its whole text.
+each, chosen by a hash of their id, and at most `max_chars` characters (see `train`); every document is scored over
+its whole text.
 
 A text that is null or has no letter gets `und` with score 0. Without a single document to learn from, all do.
 """
@@ -117,24 +118,30 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 160, ridge: float =
 def train(documents: DataFrame, max_rows: int = 4_000, max_chars: int = 20_000_000) -> Model:
     """Fit on documents outside the held-out fold: at most max_rows, an equal share a language, whole texts.
 
-    Documents are taken in the order of their id's hash until max_chars, which bounds the driver's memory.
+    max_chars bounds the driver's memory; languages have equal shares of it too. Documents are taken in the order of
+    their id's hash, those too long for the share last. Where the taken texts exceed the share, the longest are left
+    out. A language always keeps its shortest taken text, of which no more than the share is read.
     """
     known = documents.where(
         F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").rlike(r"\p{L}")
     )
     n_langs = max(1, known.agg(F.count_distinct("lang")).first()[0])
-    share = max(1, max_rows // n_langs)
+    share, chars = max(1, max_rows // n_langs), max(1, max_chars // n_langs)
     ids = known.select("doc_id", "lang", F.char_length("text").alias("n"), F.xxhash64("doc_id").alias("h"))
+    order = [F.col("n") > chars, F.col("h"), F.col("doc_id")]
     # the share of each language by hash; a first cut by task keeps the window small
     part = ids.withColumn("part", F.spark_partition_id())
-    near = part.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id")))
+    near = part.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
     near = near.where(F.col("r") <= share)
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    budget = F.sum("n").over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = ranked.where(F.col("r") <= share).withColumn("sum_n", budget)
-    chosen = chosen.where(F.col("sum_n") <= max_chars // n_langs).select("doc_id", "lang", "h")
-    texts = documents.select("doc_id", "text", F.col("lang").alias("l")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.where("l = lang").orderBy("h", "doc_id").limit(max_rows).select("text", "lang").toArrow()
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    by_length = Window.partitionBy("lang").orderBy("n", "h", "doc_id")
+    chosen = ranked.where(F.col("r") <= share).select(
+        "*", F.sum("n").over(by_length).alias("sum_n"), F.row_number().over(by_length).alias("place")
+    )
+    chosen = chosen.where((F.col("sum_n") <= chars) | (F.col("place") == 1)).select("doc_id", "lang", "h")
+    texts = documents.select("doc_id", F.left("text", F.lit(chars)).alias("text"), F.col("lang").alias("l"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").where("l = lang").orderBy("h", "doc_id").limit(max_rows)
+    rows = rows.select("text", "lang").toArrow()
     return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 

@@ -390,6 +390,23 @@ def test_langid(documents, rows, empty):
     assert langid.identify(empty.select("doc_id", "text"), model).count() == 0
 
 
+def test_langid_long_texts(spark, monkeypatch):
+    known = spark.range(300).where(langid.fold(F.col("id"), langid.FOLDS) != langid.HELD_OUT)
+    ids = [r.id for r in known.orderBy(F.xxhash64("id")).collect()]
+    made = [(i, "abc " * 5, "a") for i in ids[:20]]
+    # b: the first by hash is too long for the share of 1000; c: all are; d: the first takes most of the share
+    made += [(i, "bcd " * (2000 if k == 0 else 5), "b") for k, i in enumerate(ids[20:40])]
+    made += [(i, "cde " * (2000 + k), "c") for k, i in enumerate(ids[40:60])]
+    made += [(i, "def " * (240 if k == 0 else 5), "d") for k, i in enumerate(ids[60:80])]
+    seen = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: seen.append((texts, langs)) or fit(texts, langs))
+    model = langid.train(spark.createDataFrame(made, "doc_id bigint, text string, lang string"), 400, 4000)
+    assert model.languages == ["a", "b", "c", "d"]
+    assert Counter(seen[0][1]) == {"a": 20, "b": 19, "c": 1, "d": 19}
+    assert all(sum(len(t) for t, x in zip(*seen[0]) if x == lang) <= 1000 for lang in "abcd")
+
+
 def test_langid_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs.select("doc_id", "text", "lang"), langid.train(docs))
