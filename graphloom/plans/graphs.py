@@ -11,7 +11,7 @@ from graphloom.operators import relational as op
 from graphloom.operators import vectors as v
 from graphloom.operators.components import connected_components
 from graphloom.plans.registry import query
-from graphloom.plans.tables import EDGES_SQL, all_edges, edges, table
+from graphloom.plans.tables import EDGES_SQL, all_edges, edges, table, whole_edges
 
 # -- walks
 
@@ -50,7 +50,7 @@ def file_impact(spark: SparkSession, d: str) -> DataFrame:
 @query("walk_limited")
 def walk_limited(spark: SparkSession, d: str) -> DataFrame:
     """The first fifty nodes of a walk, in its order, with the truncation flag."""
-    return g.walk_limited(edges(spark, d), 1, 4, 50)
+    return g.walk_limited(whole_edges(spark, d), 1, 4, 50)
 
 
 _COOC = """
@@ -133,7 +133,7 @@ def import_cycles(spark: SparkSession, d: str) -> DataFrame:
 @query("build_order")
 def build_order(spark: SparkSession, d: str) -> DataFrame:
     """Build layers over components, and a step number in layer and key order."""
-    x = g.scc_layers(edges(spark, d))
+    x = g.scc_layers(whole_edges(spark, d))
     w = Window.orderBy("layer", "component", "node")
     return x.withColumn("step", F.row_number().over(w))
 
@@ -216,7 +216,7 @@ def region_bundles(spark: SparkSession, d: str) -> DataFrame:
 @query("pagerank")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
     """Rank after ten rounds."""
-    return g.pagerank(edges(spark, d))
+    return g.pagerank(whole_edges(spark, d))
 
 
 # -- vectors

@@ -39,6 +39,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_edges(spark, sf_dir).where(F.col("w") >= STRONG).select("src", "dst").distinct()
 
 
+def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All imports, each once, whatever their weight."""
+    return all_edges(spark, sf_dir).select("src", "dst").distinct()
+
+
 ALL_EDGES_SQL = """
 all_edges AS (SELECT * FROM (
   SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS dst,

@@ -102,6 +102,43 @@ def test_chain(spark):
         assert order(bad) == []
 
 
+def test_whole_graph(spark, tmp_path):
+    """Queries without SQL take all edges, light ones too, held to plain versions."""
+    parts = [[1, 2, 3, 1], [3, 4], [4, 5, 6], [6, 5], [7, 1], [2, 2, 8]]
+    made = [(o, k, p, 1.0 + 7 * (o + k)) for o, order in enumerate(parts) for k, p in enumerate(order)]
+    lineitem = spark.createDataFrame(made, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double")
+    lineitem.write.parquet(f"{tmp_path}/lineitem.parquet")
+    e = {(a, b) for order in parts for a, b in zip(order, order[1:]) if a != b}
+    nodes = sorted({x for pair in e for x in pair})
+    run = {name: catalog.QUERIES[name](spark, str(tmp_path)).collect() for name in ("pagerank", "build_order", "walk_limited")}
+
+    rank = {x: 1 / len(nodes) for x in nodes}
+    out = {x: [b for a, b in e if a == x] for x in nodes}
+    for _ in range(10):
+        lost = sum(rank[x] for x in nodes if not out[x])
+        got = {x: sum(rank[a] / len(out[a]) for a, b in e if b == x) + lost / len(nodes) for x in nodes}
+        rank = {x: 0.15 / len(nodes) + 0.85 * got[x] for x in nodes}
+    assert {r.node for r in run["pagerank"]} == set(nodes)
+    assert all(r.rank == pytest.approx(rank[r.node]) for r in run["pagerank"])
+
+    reach = {x: {x} for x in nodes}
+    for _ in nodes:
+        reach = {x: reach[x].union(*(reach[y] for y in out[x])) for x in nodes}
+    component = {x: min(y for y in reach[x] if x in reach[y]) for x in nodes}
+
+    def layer(x):
+        below = {y for y in reach[x] if component[y] != component[x]}
+        return 1 + max(map(layer, below)) if below else 0
+
+    assert {(r.node, r.component, r.layer) for r in run["build_order"]} == {(x, component[x], layer(x)) for x in nodes}
+
+    depth, front = {1: 0}, [1]
+    for k in range(1, 5):
+        front = {y for x in front for y in out[x]} - depth.keys()
+        depth |= dict.fromkeys(front, k)
+    assert {(r.node, r.depth) for r in run["walk_limited"]} == {(x, k) for x, k in depth.items() if k}
+
+
 def test_pagerank_sums_to_one(spark):
     ranks = g.pagerank(edges(spark, [(1, 2), (2, 3), (3, 1), (4, 1), (1, 5)])).collect()
     assert math.isclose(sum(r["rank"] for r in ranks), 1.0, abs_tol=1e-9)
