@@ -375,6 +375,52 @@ def test_sentencepiece_is_the_library(documents, rows, empty):
     assert sentencepiece_fst.encode_documents(empty.select("doc_id", "text")).count() == 0
 
 
+def unigram_model(pieces, squeeze, bytes_too):
+    """A unigram model file with hand-set scores (nothing is trained)."""
+    import struct
+
+    def field(number, value):
+        return bytes([number << 3 | 2, *varint(len(value))]) + value
+
+    def varint(n):
+        return [n & 127 | 128, *varint(n >> 7)] if n > 127 else [n]
+
+    def piece(text, score, kind):
+        return field(1, field(1, text.encode()) + b"\x15" + struct.pack("<f", score) + bytes([24, kind]))
+
+    out = [piece("<unk>", 0.0, 2), piece("<s>", 0.0, 3)]
+    if bytes_too:
+        out += [piece(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    out += [piece(t, w, 1) for t, w in pieces.items()]
+    trainer = field(2, bytes([24, 1]) + (bytes([0x98, 2, 1]) if bytes_too else b""))  # unigram; byte_fallback
+    return b"".join(out) + trainer + field(3, field(1, b"identity") + bytes([24, 1, 32, int(squeeze), 40, 1]))
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("bytes_too", [False, True])
+def test_unigram_is_the_library(squeeze, bytes_too):
+    import random
+
+    import sentencepiece
+
+    r = random.Random(8)
+    names = {"▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "▁abc", "ca", "cab", "é", "1", "12", "ba"}  # no ties
+    pieces = {p: -1.0 - 7 * r.random() for p in sorted(names)}
+    model = unigram_model(pieces, squeeze, bytes_too)
+    mine, theirs = sentencepiece_fst.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "b", "c", "ab", "cab", " ", "  ", "é", "1", "x", "日", "▁"]) for _ in range(r.randint(0, 30)))
+        assert mine.encode(t) == theirs.encode(t), t
+        assert mine.decode(mine.encode(t)) == theirs.decode(theirs.encode(t))
+
+
+def test_sentencepiece_long_texts(spark):
+    """A text without blanks and a long run of blanks take time in proportion, and both come back."""
+    texts = ["ab日" * 100_000, " " * 300_000, "x " * 200_000]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert all(r.round_trip for r in sentencepiece_fst.encode_documents(made).collect())
+
+
 # -- 9
 
 
