@@ -21,7 +21,7 @@ import hashlib
 import re
 import struct
 from array import array
-from functools import lru_cache
+from functools import lru_cache, partial
 from heapq import heappop, heappush
 from math import inf
 
@@ -89,7 +89,9 @@ class Machine:
 
 
 def normaliser(prefix: bool, squeeze: bool) -> Machine:
-    """Blanks to U+2581, one in front of the text, and runs of blanks as one if they are squeezed.
+    """Blanks to U+2581, one in front of the text, and runs of blanks as one if they are squeezed (and none at the ends).
+
+    U+2581 in a text is a character like others: squeezing leaves it alone.
 
     Inputs are OTHER or A_BLANK; an output of 2 * n + c writes n times U+2581, then the input itself if c is 1.
     """
@@ -211,8 +213,14 @@ class Transducer:
         apart = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         #: No piece has a blank behind another character, so every path has a boundary there and a text can be cut.
         self.cut = re.compile(f"[ {BLANK}]*[^ {BLANK}]+|[ {BLANK}]+" if apart else "(?s).+").findall
-        self.segments: list[dict[str, tuple[list[int], int]]] = [{}, {}, {}]  # by the normaliser's state
-        self.plain = [p.replace(BLANK, " ") for p in self.pieces]
+        #: Paths of segments that were met, by the normaliser's state in front: pieces, and the state behind.
+        self.segments: list[dict[str, tuple[tuple[int, ...], int]]] = [{}, {}, {}]
+        self.raw = [p.replace(BLANK, " ").encode() for p in self.pieces]  # what each piece is decoded to
+        self.raw[self.unknown] = " ⁇ ".encode()
+        for at in self.silent:
+            self.raw[at] = b""
+        for at, b in self.byte_of.items():
+            self.raw[at] = bytes([b])
 
     def _piece(self, f: dict[int, object]) -> None:
         at, kind = len(self.pieces), f.get(3, NORMAL)
@@ -262,18 +270,20 @@ class Transducer:
         read = (b.leave[0][x] for x in c.encode("utf-8", "surrogatepass"))
         return tuple(b.output[k] for k in read if b.output[k] != EPSILON)
 
-    def shortest_path(self, text: str) -> list[int]:
+    def shortest_path(self, text: str) -> tuple[int, ...]:
         """Pieces of the path of least weight through a normalised text.
 
         Nodes are places, with the acceptor's state there: one a place is enough, as a unigram model's acceptor has
-        one state and a prefix has one encoding in a byte-pair model. The node with the least sum is settled first,
-        of equals the farthest, and relaxes its arcs; an arc meets the acceptor when its turn comes.
+        one state and a prefix has one encoding in a byte-pair model. The node with the least sum is settled first and
+        relaxes its arcs; an arc meets the acceptor when its turn comes.
         """
         n = len(text)
         back, state = [0] + [-1] * n, [FRESH] * (n + 1)
         accept = self.neighbours
         known, width = (accept.weight.get, len(self.pieces)) if accept else (None, 0)
         heap: list[tuple[float, int, int, int]] = []
+        # weights that are 0 or infinite need no order: the arc found last, the longest of its node, goes first
+        push, take = (heap.append, heap.pop) if accept else (partial(heappush, heap), partial(heappop, heap))
         reads, longest = self.reads, self.longest
         at, so_far, whole = 0, 0.0, self.characters.issuperset(text)
         while at < n:
@@ -285,12 +295,12 @@ class Transducer:
                 end += 1
                 arcs, piece, weight = step
                 if piece != EPSILON and back[end] < 0:
-                    heappush(heap, (so_far + weight, -end, at, piece))
+                    push((so_far + weight, -end, at, piece))
             if not whole and text[at] not in self.characters:
                 # nothing merges across a character without a piece
-                heappush(heap, (so_far + self.fallback_weight, -at - 1, at, FRESH))
+                push((so_far + self.fallback_weight, -at - 1, at, FRESH))
             while True:
-                so_far, end, origin, piece = heappop(heap)
+                so_far, end, origin, piece = take()
                 if back[-end] >= 0:
                     continue
                 if known and piece != FRESH:
@@ -306,43 +316,28 @@ class Transducer:
         while n:
             path.extend((state[n],) if state[n] != FRESH else reversed(self.in_bytes(text[back[n]])))
             n = back[n]
-        return path[::-1]
+        return tuple(reversed(path))
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        state = 0
+        state, memory = 0, self.segments
         for segment in self.cut(text or ""):
-            known = self.segments[state].get(segment)
+            known = memory[state].get(segment)
             if known is None:
                 normal, to = self.normalise(segment, state)
                 known = self.shortest_path(normal), to
                 if len(segment) <= 64:
-                    if len(self.segments[state]) >= CACHE:
-                        self.segments[state].clear()
-                    self.segments[state][segment] = known
-            out.extend(known[0])
-            state = known[1]
+                    if len(memory[state]) >= CACHE:
+                        memory[state].clear()
+                    memory[state][segment] = known
+            path, state = known
+            out += path
         if not self.bytes and self.unknown in out:  # unknown characters side by side are one piece
             out = [p for k, p in enumerate(out) if p != self.unknown or k == 0 or out[k - 1] != p]
         return out
 
     def decode(self, ids: list[int]) -> str:
-        out: list[str] = []
-        run = bytearray()
-        plain, byte_of, silent = self.plain, self.byte_of, self.silent
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if i not in silent:
-                out.append(" ⁇ " if i == self.unknown else plain[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
