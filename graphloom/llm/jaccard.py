@@ -1,44 +1,52 @@
 """N-gram Jaccard join: pairs of documents whose sets of word shingles are alike to `threshold` or more.
 
 1. Documents with equal sets of shingles form a class and are one from here on, with the class's size as weight.
-2. Each class gets a MinHash LSH forest: `TREES` signatures of `DEPTH` hashes, each a path in a prefix trie. Prefixes
-   start at full depth and are shortened, hash by hash, until pairs at the threshold share one in some tree with
-   the target recall. Classes that share a prefix are sorted side by side, and a pair whose signatures agree in
-   clearly fewer places than the threshold asks for is passed over. What is left is kept as a forest, not as pairs.
-3. Connected components of those forests hold all candidates. Within a component every pair of classes is verified
+2. Each class gets a MinHash LSH forest: `TREES` paths of `DEPTH` hashes of a byte each. The paths of a tree, sorted, are a
+   prefix trie: classes under one node lie side by side.
+3. How far matched prefixes are shortened is measured. Query documents (ids divisible by 100, at most `SAMPLE` of them by
+   a hash of the id) are compared with all rows by brute force, in the pass that signs the rows, and each link found
+   is counted by the deepest node that both share in some tree. Prefixes start at full depth and are shortened, hash by
+   hash, until that recall and the one expected at the threshold itself both reach the target (`fit`).
+4. The tries are dealt by (tree, prefix of that length) and walked from the deepest nodes up. Two classes under a node
+   are passed over if their signatures agree in clearly fewer places than the threshold asks for, or if they are
+   connected already. What is left is kept as a forest of edges, not as pairs.
+5. Connected components of those edges hold all candidates. Within a component every pair of classes is verified
    on its exact sets, a pair of blocks at a time. A task returns a row for each class (the weight of its links
    and one edge), never the pairs.
-4. Components over verified links are the groups: class_id is the least doc_id of the group.
+6. Components over verified links are the groups: class_id is the least doc_id of the group.
 
-Groups under one prefix or in one component are split into blocks, and each pair of blocks is a task's unit, so no
-group lands in one task and nothing is capped. The work within one group of n different texts still grows with n^2.
+Groups under one prefix or in one component are split into blocks, bounded by rows and by shingles, and each pair of
+blocks is a task's unit, so no group lands in one task and nothing is capped. The work within one group of n different
+texts still grows with n^2.
 
-Words are those of `words()`; a text of fewer than `WIDTH` words is one shingle. Documents with a null id, and those
-without words (null texts too), match nothing: class_id is the own id, n_links 0. Repeated rows of one id are copies
-of each other; if rows with one id differ in text, one of the texts is matched and the others only with equal ones.
+Words are those of `words()`; a text of fewer than `WIDTH` words is one shingle, a long one is taken whole. Documents with a
+null id, and those without words (null texts too), match nothing: class_id is the own id, n_links 0. Repeated rows of one
+id are copies of each other, and rows of one id with different texts are documents like others: their classes are
+told apart by their shingles, not by the id. An empty table gives an empty one. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD_BYTES, map_batches, materialize
+from graphloom.llm.common import WordHash, byte_words, map_batches, materialize
 from graphloom.operators.components import connected_components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 20, 8
-#: Classes in a block: those under one prefix, and those of one component whose texts are compared.
-PREFIX_BLOCK, TEXT_BLOCK = 2048, 256
+#: Query documents whose links are found by brute force to measure recall, and the longest text of one in characters.
+SAMPLE, SAMPLE_TEXT = 2048, 20_000
+#: Classes in a block: those under one prefix, and those of one component whose sets are compared (and their shingles).
+PREFIX_BLOCK, SET_BLOCK, BLOCK_SHINGLES = 2048, 256, 1 << 18
 #: Signatures may agree in this much less than the threshold before a pair is passed over: six standard deviations.
 SLACK = 0.2
-WORD_CACHE = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 MULTIPLY = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,16 +54,6 @@ ADD = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
 STEP = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class WordHash(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * STEP[14]
     return h ^ (h >> np.uint64(29))
@@ -63,7 +61,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, known: WordHash, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+    words = byte_words(text)
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -83,56 +81,138 @@ def signature(codes: np.ndarray) -> np.ndarray:
     return best >> np.uint64(32)
 
 
-def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Shorten prefixes from full depth until pairs at the threshold meet with the target recall."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
-        depth -= 1
-    return depth
+def sketch(codes: np.ndarray) -> np.ndarray:
+    """The forest's paths, (TREES, DEPTH) bytes."""
+    return (signature(codes) & np.uint64(255)).astype(np.uint8).reshape(TREES, DEPTH)
+
+
+def class_of(codes: np.ndarray) -> bytes:
+    return hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
+
+
+@dataclass
+class Probe:
+    """Query documents, ready to be compared with any row by brute force: an index of their shingles."""
+
+    codes: np.ndarray  # sorted distinct shingles of all queries
+    first: np.ndarray  # of each: where its queries begin in `query`
+    query: np.ndarray
+    size: np.ndarray  # shingles of each query
+    paths: np.ndarray  # (queries, TREES, DEPTH)
+    cls: list[bytes]
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Probe:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        codes, first = np.unique(flat[order], return_index=True)
+        paths = np.array([sketch(x) for x in sets], np.uint8).reshape(-1, TREES, DEPTH)
+        size = np.array([len(x) for x in sets], np.float64)
+        return cls(codes, np.r_[first, len(flat)], row[order], size, paths, [class_of(x) for x in sets])
+
+    def links(self, codes: np.ndarray, own: bytes, paths: np.ndarray, threshold: float) -> list[int]:
+        """For each query that is linked to a row and differs from it: the depth of the deepest node both share."""
+        if not len(self.codes):
+            return []
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        at = at[self.codes[at] == codes]
+        if not len(at):
+            return []
+        queries = np.concatenate([self.query[self.first[k] : self.first[k + 1]] for k in at])
+        both = np.bincount(queries, minlength=len(self.size))
+        like = np.flatnonzero((both > 0) & _alike(both, self.size, len(codes), threshold))
+        like = [q for q in like if self.cls[q] != own]
+        deep = np.cumprod(self.paths[like] == paths[None], axis=2).sum(axis=2)
+        return deep.max(axis=1).tolist() if like else []
+
+
+def _alike(both: np.ndarray, m: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    """Rounded so that a similarity of exactly the threshold isn't lost to the division."""
+    return both >= np.round(threshold * (m + n - both), 6)
+
+
+def sample(documents: DataFrame) -> Probe:
+    """At most SAMPLE query documents, of at most SAMPLE_TEXT characters each."""
+    asked = documents.where(
+        (F.col("doc_id") % 100 == 0) & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_TEXT)
+    )
+    order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")]
+    rows = asked.select("doc_id", "text").dropDuplicates().orderBy(*order).limit(SAMPLE)
+
+    def make():
+        known = WordHash()
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingles(t, known).tobytes() for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(sets, pa.binary())], names=["codes"])
+
+        return run
+
+    got = map_batches(rows, make, "codes binary").toArrow().column("codes").to_pylist()
+    return Probe.of([np.frombuffer(x, np.uint64) for x in dict.fromkeys(got) if x])
+
+
+@dataclass
+class Fit:
+    """The length of prefixes, with the links of the query documents and the share of them that it reaches."""
+
+    depth: int
+    links: int
+    recall: float
 
 
-def _prefixes(sign: np.ndarray, depth: int) -> np.ndarray:
-    """A key for each tree: the tree's number and the first `depth` hashes of its path."""
-    paths = sign.reshape(TREES, DEPTH)
-    key = np.arange(TREES, dtype=np.uint64)
-    for k in range(depth):
-        key = _mix(key * STEP[8 + k % 5] + paths[:, k])
-    return key.view(np.int64)
+def fit_depth(deepest: dict[int, int], threshold: float, recall: float) -> Fit:
+    """Shorten prefixes until the measured recall and the one expected at the threshold reach the target.
+
+    `deepest` counts the brute-force links by the deepest node that both ends share in some tree.
+    """
+    links = sum(deepest.values())
+    for depth in range(DEPTH, 0, -1):
+        measured = sum(n for k, n in deepest.items() if k >= depth) / max(1, links) if links else 1.0
+        expected = 1 - (1 - threshold**depth) ** TREES
+        if min(measured, expected) >= recall or depth == 1:
+            return Fit(depth, links, measured)
+    raise AssertionError("unreachable")
 
 
-def sign_documents(documents: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, cls binary, n, prefixes array<bigint>, sketch binary) of documents with an id and words."""
+def sign_documents(documents: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, Fit]:
+    """(doc_id, th bigint, cls binary, n, sign binary) of documents with an id and words, and the fitted depth.
+
+    th is the text's hash, cls that of its set of n shingles, sign the TREES * DEPTH bytes of its paths.
+    """
+    probe = documents.sparkSession.sparkContext.broadcast(sample(documents))  # bounded: SAMPLE texts
 
     def make():
-        known = WordHash()
+        known, queries = WordHash(), probe.value
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))):
                 codes = shingles(text, known)
                 if len(codes):
-                    sign = signature(codes)
-                    cls = hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
-                    sketch = (sign & np.uint64(255)).astype(np.uint8).tobytes()
-                    rows.append((doc_id, cls, len(codes), _prefixes(sign, depth).tolist(), sketch))
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "cls", "n", "prefixes", "sketch"]
-            )
+                    paths, cls = sketch(codes), class_of(codes)
+                    rows.append((doc_id, th, cls, len(codes), paths.tobytes(), queries.links(codes, cls, paths, threshold)))
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+            names = ["doc_id", "th", "cls", "n", "sign", "deepest"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
         return run
 
-    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return map_batches(rows, make, "doc_id bigint, cls binary, n int, prefixes array<bigint>, sketch binary")
+    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    schema = "doc_id bigint, th bigint, cls binary, n int, sign binary, deepest array<int>"
+    signed = materialize(map_batches(rows, make, schema))
+    found = signed.select(F.explode("deepest").alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()  # DEPTH + 1
+    return signed.drop("deepest"), fit_depth({r.k: r.n for r in found}, threshold, recall)
 
 
-def in_cells(members: DataFrame, group: str, size: str, block: int) -> DataFrame:
+def in_cells(members: DataFrame, group: str, blocks: Column, *order: Column | str) -> DataFrame:
     """Members of each group dealt to the pairs of its blocks: adds cell struct<i,j> and own, its block.
 
-    A group of up to `block` members is one cell. A member of one of k blocks gets k rows.
+    A group of one block is one cell. A member of one of k blocks gets k rows.
     """
-    k = F.ceil(F.col(size) / block).cast("int")
+    k = F.greatest(F.lit(1), blocks).cast("int")
     own = F.pmod(F.xxhash64("id"), k).cast("int")
     dealt = members.withColumn("_k", k).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
@@ -142,7 +222,7 @@ def in_cells(members: DataFrame, group: str, size: str, block: int) -> DataFrame
         .withColumn("j", F.greatest("own", "_o"))
         .drop("_k", "_o")
         .repartition(group, "i", "j")
-        .sortWithinPartitions(group, "i", "j", "id")
+        .sortWithinPartitions(group, "i", "j", *order, "id")
     )
 
 
@@ -184,43 +264,47 @@ def _root(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def _forest(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Edges that connect the classes under each prefix that may be alike."""
+def _forest(batches: Iterator[pa.RecordBatch], threshold: float, floor: int) -> Iterator[pa.RecordBatch]:
+    """Edges that connect the classes that may be alike under the nodes of each trie, the deepest nodes first."""
     for c, bounds in cells(batches, "key"):
         n, own, ids = c["n"].astype(np.float64), c["own"], c["id"]
-        sketch = np.frombuffer(b"".join(c["sketch"]), np.uint8).reshape(len(ids), -1)
-        cell = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        sign = np.frombuffer(b"".join(c["sign"]), np.uint8).reshape(len(ids), -1)
+        path = sign.reshape(len(ids), TREES, DEPTH)[np.arange(len(ids)), c["tree"]]
+        split = np.zeros(len(ids), bool)
+        split[bounds[:-1]] = True
         apart = c["i"] != c["j"]
         parent = np.arange(len(ids))
         label = parent.copy()
         src, dst = [], []
-        at = np.arange(len(ids))
-        for k in range(1, len(ids)):
-            at = at[at + k < len(ids)]
-            at = at[cell[at] == cell[at + k]]
-            if not len(at):
-                break
-            a, b = at, at + k
-            new = label[a] != label[b]
-            new &= ~apart[a] | (own[a] != own[b])
-            new &= np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
-            a, b = a[new], b[new]
-            for s in range(0, len(a), 1 << 15):
-                x, y = a[s : s + (1 << 15)], b[s : s + (1 << 15)]
-                like = (sketch[x] == sketch[y]).mean(axis=1) >= threshold - SLACK
-                for p, q in zip(x[like], y[like]):
-                    p, q = _root(parent, int(p)), _root(parent, int(q))
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        src.append(ids[p])
-                        dst.append(ids[q])
-            if len(a):
-                while True:  # the rows' labels follow the merged roots
-                    up = parent[parent]
-                    if (up == parent).all():
-                        break
-                    parent = up
-                label = parent
+        for depth in range(DEPTH, floor - 1, -1):
+            node = np.cumsum(split | np.r_[True, (path[1:, :depth] != path[:-1, :depth]).any(axis=1)])
+            at = np.arange(len(ids))
+            for k in range(1, len(ids)):
+                at = at[at + k < len(ids)]
+                at = at[node[at] == node[at + k]]
+                if not len(at):
+                    break
+                a, b = at, at + k
+                new = label[a] != label[b]
+                new &= ~apart[a] | (own[a] != own[b])
+                new &= np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+                a, b = a[new], b[new]
+                for s in range(0, len(a), 1 << 15):
+                    x, y = a[s : s + (1 << 15)], b[s : s + (1 << 15)]
+                    like = (sign[x] == sign[y]).mean(axis=1) >= threshold - SLACK
+                    for p, q in zip(x[like], y[like]):
+                        p, q = _root(parent, int(p)), _root(parent, int(q))
+                        if p != q:
+                            parent[max(p, q)] = min(p, q)
+                            src.append(ids[p])
+                            dst.append(ids[q])
+                if len(a):
+                    while True:  # the rows' labels follow the merged roots
+                        up = parent[parent]
+                        if (up == parent).all():
+                            break
+                        parent = up
+                    label = parent
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
 
@@ -250,91 +334,111 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, codes) of the texts that have the shingles of their class."""
+    known = WordHash()
+    for batch in batches:
+        ids, sets = [], []
+        for id_, cls, text in zip(*(batch.column(c).to_pylist() for c in ("id", "cls", "text"))):
+            codes = shingles(text, known)
+            if class_of(codes) == cls:
+                ids.append(id_)
+                sets.append(codes.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "codes"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """For each class of a cell: the documents it is linked to there, and an edge to another of its links."""
-    known = WordHash()
     for c, bounds in cells(batches, "component"):
         ids, weight, to = [], [], []
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            sets, rows = [], []
-            for r in range(lo, hi):
-                codes = shingles(c["text"][r], known)
-                if hashlib.blake2b(codes.tobytes(), digest_size=16).digest() == c["cls"][r]:
-                    sets.append(codes)
-                    rows.append(r)
-            if len(rows) < 2:
+            if hi - lo < 2:
                 continue
-            rows = np.array(rows)
+            sets = [np.frombuffer(x, np.uint64) for x in c["codes"][lo:hi]]
             size = np.array([len(s) for s in sets], np.float64)
-            both = _overlaps(sets)
-            # rounded so that a similarity of exactly the threshold isn't lost to the division
-            like = both >= np.round(threshold * (size[:, None] + size[None, :] - both), 6)
+            like = _alike(_overlaps(sets), size[:, None], size[None, :], threshold)
             np.fill_diagonal(like, False)
             if c["i"][lo] != c["j"][lo]:
-                like &= c["own"][rows][:, None] != c["own"][rows][None, :]
-            links = like @ c["size"][rows].astype(np.int64)
-            parent = np.arange(len(rows))
+                like &= c["own"][lo:hi][:, None] != c["own"][lo:hi][None, :]
+            links = like @ c["size"][lo:hi].astype(np.int64)
+            parent = np.arange(hi - lo)
             for x, y in zip(*np.nonzero(np.triu(like))):
                 p, q = _root(parent, int(x)), _root(parent, int(y))
                 if p != q:
                     parent[max(p, q)] = min(p, q)
             for x in np.flatnonzero(links):
-                ids.append(c["id"][rows[x]])
+                ids.append(c["id"][lo + x])
                 weight.append(links[x])
-                to.append(c["id"][rows[_root(parent, int(x))]])
+                to.append(c["id"][lo + _root(parent, int(x))])
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(weight, pa.int64()), pa.array(to, pa.int64())],
             names=["id", "links", "root"],
         )
 
 
-def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links), a row for each document row.
+def _grouped(documents: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(doc_id, th, class_id, n_links, first) of document rows with an id and words.
 
-    n_links is the number of other documents whose shingles are alike to the threshold or more.
+    th is the text's hash; `first` tells the row that stands for its group, the one of the least (doc_id, th).
     """
-    depth = prefix_depth(threshold, recall)
-    signed = materialize(sign_documents(documents, depth))
+    signed, fit = sign_documents(documents, threshold, recall)
     by_class = signed.groupBy("cls").agg(
-        F.min("doc_id").alias("id"),
+        F.min(F.struct("doc_id", "th")).alias("row"),
         F.count("*").alias("size"),
         F.any_value("n").alias("n"),
-        F.any_value("prefixes").alias("prefixes"),
-        F.any_value("sketch").alias("sketch"),
+        F.any_value("sign").alias("sign"),
     )
-    one_each = by_class.groupBy("id").agg(F.min_by(F.struct("cls", "size", "n", "prefixes", "sketch"), "cls").alias("c"))
-    classes = materialize(one_each.select("id", "c.*"))
+    classes = materialize(by_class.select("*", F.monotonically_increasing_id().alias("id")))
 
-    under = classes.select("id", F.explode("prefixes").alias("key"))
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    prefix = F.expr(f"substring(sign, {DEPTH} * tree + 1, {fit.depth})")
+    under = classes.select("id", "sign", tree.alias("tree")).select("id", "tree", F.xxhash64("tree", prefix).alias("key"))
     met = under.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = under.join(met, "key").join(classes.select("id", "n", "sketch"), "id")
-    forest = in_cells(members, "key", "m", PREFIX_BLOCK).mapInArrow(
-        lambda b: _forest(b, threshold), "src bigint, dst bigint"
+    members = under.join(met, "key").join(classes.select("id", "n", "sign"), "id")
+    path = F.expr(f"substring(sign, {DEPTH} * tree + 1, {DEPTH})")
+    edges = in_cells(members, "key", F.ceil(F.col("m") / PREFIX_BLOCK), path).mapInArrow(
+        lambda b: _forest(b, threshold, fit.depth), "src bigint, dst bigint"
     )
-    candidates = connected_components(forest)
-
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("m"))
-    some = candidates.join(sizes, "component").join(classes.select("id", "cls", "size"), "id")
-    texts = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    candidates = connected_components(edges)
+
+    some = materialize(candidates.join(classes.select("id", "row.*", "cls", "size", "n"), "id"))
+    sizes = some.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"))
+    texts = documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    wanted = texts.join(some.select("doc_id", "th", "id", "cls"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    sets = wanted.select("id", "cls", "text").mapInArrow(_sets, "id bigint, codes binary")
+    held = some.select("id", "component", "size").join(sizes, "component").join(sets, "id")
+    blocks = F.greatest(F.ceil(F.col("m") / SET_BLOCK), F.ceil(F.col("all_n") / BLOCK_SHINGLES))
     verified = materialize(
-        in_cells(some.join(texts, "id"), "component", "m", TEXT_BLOCK).mapInArrow(
+        in_cells(held, "component", blocks).mapInArrow(
             lambda b: _verify(b, threshold), "id bigint, links bigint, root bigint"
         )
     )
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     groups = connected_components(verified, "id", "root")
+    led = groups.join(some.select("id", F.struct("doc_id", "th").alias("row")), "id")
+    leaders = led.groupBy("component").agg(F.min("row").alias("leader"))
+    linked = led.join(leaders, "component").join(links, "id").select("id", "leader", "links")
 
-    named = (
-        classes.join(links, "id", "left")
-        .join(groups, "id", "left")
-        .select("cls", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = classes.join(linked, "id", "left").select(
+        "cls",
+        F.coalesce("leader", "row").alias("leader"),
+        (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    sized = by_class.select("cls", "id", "size").join(named, "cls", "left")
-    found = signed.select("doc_id", "cls").join(sized, "cls").select(
+    return signed.select("doc_id", "th", "cls").join(named, "cls").select(
         "doc_id",
-        F.coalesce("class_id", "id").alias("class_id"),
-        (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        "th",
+        F.col("leader.doc_id").alias("class_id"),
+        "n_links",
+        (F.struct("doc_id", "th") == F.col("leader")).alias("first"),
     )
+
+
+def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links), a row for each document row.
+
+    n_links is the number of other documents whose shingles are alike to the threshold or more.
+    """
+    found = _grouped(documents, threshold, recall).select("doc_id", "class_id", "n_links")
     alone = documents.where(F.col("doc_id").isNull() | ~_has_word(F.col("text"))).select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")
     )
@@ -345,11 +449,19 @@ def _has_word(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
 
 
-def keep_first(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group, the one with the least id; documents with a null id stay."""
-    found = near_duplicates(documents.where("doc_id IS NOT NULL"), threshold).where("doc_id = class_id")
-    first = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = documents.join(first.select("doc_id"), "doc_id", "left_semi").select(documents.columns)
-    if not first.where("n > 1").isEmpty():  # rows that repeat an id
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionAll(documents.where("doc_id IS NULL"))
+def keep_first(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One document of each group, the one with the least id (and text hash); those that match nothing stay.
+
+    A row that is repeated with its id and text is kept once.
+    """
+    found = materialize(_grouped(documents, threshold, recall).groupBy("doc_id", "th").agg(F.any_value("first").alias("first"), F.count("*").alias("n")))
+    gone, kept = found.where("NOT first").alias("g"), documents.alias("d")
+    th = F.xxhash64("d.text")
+    kept = kept.join(gone, (F.col("d.doc_id") == F.col("g.doc_id")) & (th == F.col("g.th")), "left_anti")
+    again = found.where("first AND n > 1").select("doc_id", "th").alias("g")
+    if again.isEmpty():
+        return kept
+    match = (F.col("d.doc_id") == F.col("g.doc_id")) & (th == F.col("g.th"))
+    own = F.struct(*(F.col(f"d.`{c}`") for c in documents.columns)).alias("row")
+    once = kept.alias("d").join(again, match).select(own, "g.*").dropDuplicates(["doc_id", "th"])
+    return kept.alias("d").join(again, match, "left_anti").unionAll(once.select("row.*"))
