@@ -1,143 +1,253 @@
 """Language-model scoring by cross-entropy difference.
 
-Two byte n-gram models of order three, one of target documents and one of all documents, are trained alike over one
-shared vocabulary: the bytes of UTF-8 that occur in the documents, 256 at most. A document's score is its mean loss
-a byte under the target model less that under the background model; lower is closer to the target.
+Two word n-gram models of order three, one of target documents and one of all documents, are counted alike over one
+shared vocabulary: the words of all documents (`words()`), hashed into `PLACES` places, with a mark for the start and
+one for the end of a text. The score of a document is the mean over its tokens of the loss under the target model less
+that under the background model; lower is closer to the target. Loss of a token x after a and b, with counts c that leave
+out the document itself (no text is scored by what it taught), a prior weight mu and N tokens in all:
 
-Every byte of every document is counted. A task adds up its own counts and sends one row for each trigram it has
-seen; what reaches the driver is bounded by the vocabulary (256^3 trigrams), and so is the table of losses that is
-sent to the tasks. Loss of a byte x after bytes a and b, with counts c and a prior weight mu:
-
-    p1(x) = (c(x) + mu / V) / (N + mu)      p2(x|b) = (c(bx) + mu p1(x)) / (c(b) + mu)
+    p1(x) = (c(x) + mu / PLACES) / (N + mu)     p2(x|b) = (c(bx) + mu p1(x)) / (c(b) + mu)
     p3(x|ab) = (c(abx) + mu p2(x|b)) / (c(ab) + mu)
 
-The first byte of a text follows two newlines. Null and empty texts have no bytes and null losses. A document is a
-target if any row says so; rows are returned one for one.
+Every n-gram of every document is counted, and what is counted grows with the documents, so no table of it is ever in
+one place:
+
+1. Documents are packed in slices of about `SLICE_TOKENS` tokens. A slice adds up its own n-grams and sends each one
+   once, with its counts, to the bucket of the n-gram's hash: an n-gram that all documents share comes once a slice.
+2. A bucket adds up what it got and answers each slice with the totals, in the order that it was asked.
+3. A slice has the totals of all its n-grams now and scores its tokens.
+
+Buckets hold about `BUCKET_BYTES` of text each, however much there is. Within one, n-grams are told apart by 32 bits of
+their hash: of a million in a bucket about one in 4,000 shares its counts with another.
+
+A null text or one without words has no tokens and null losses. A document is a target where `is_target` is true (null
+is false). Repeated rows teach each other. Texts are taken whole: a slice is never less than a text. Rows are returned
+one for one, an empty table gives an empty one, and other columns keep their values; the columns added may not be there
+before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_batches
-
-START = b"\n\n"
-CELLS = 1 << 24
-#: Bytes that a task counts in 32-bit cells before it sends what it has.
-FLUSH = 1 << 30
-
-
-def codes(text: str) -> np.ndarray:
-    """The trigram a<<16 | b<<8 | x that ends at each byte of a text."""
-    s = np.frombuffer(START + text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
-    return s[:-2] << 16 | s[1:-1] << 8 | s[2:]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    both = np.zeros((2, CELLS), np.int32)  # all documents; target documents
-    read = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        seen = np.flatnonzero(both[0])
-        for a in range(0, len(seen), 1 << 16):
-            at = seen[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), *(pa.array(c[at], pa.int64()) for c in both)], names=["code", "n", "n_target"]
-            )
-        both[:] = 0
-
-    for batch in batches:
-        for text, is_target in zip(batch.column("text"), batch.column("is_target")):
-            if t := text.as_py():
-                c = codes(t)
-                np.add.at(both[0], c, 1)
-                if is_target.as_py():
-                    np.add.at(both[1], c, 1)
-                read += len(c)
-                if read > FLUSH:
-                    yield from flush()
-                    read = 0
-    yield from flush()
-
-
-@dataclass
-class Models:
-    """Losses of each trigram over the shared vocabulary; a byte outside it takes the place of its first."""
-
-    place: np.ndarray  # (256,) of each byte in the vocabulary
-    size: int
-    loss: np.ndarray  # (2, size^3): background, target
-
-    def losses(self, text: str) -> tuple[int, float, float]:
-        s = self.place[np.frombuffer(START + text.encode("utf-8", "surrogatepass"), np.uint8)]
-        at = (s[:-2] * self.size + s[1:-1]) * self.size + s[2:]
-        return len(at), float(self.loss[0, at].mean(dtype=np.float64)), float(self.loss[1, at].mean(dtype=np.float64))
-
-
-def smooth(code: np.ndarray, counts: np.ndarray, mu: float) -> Models:
-    """Models from trigram codes and their (background, target) counts."""
-    parts = [code >> 16, code >> 8 & 255, code & 255]
-    vocabulary = np.union1d(np.unique(np.concatenate(parts)), np.frombuffer(START, np.uint8)).astype(np.int64)
-    v = len(vocabulary)
-    place = np.zeros(256, np.int64)
-    place[vocabulary] = np.arange(v)
-    a, b, x = (place[p] for p in parts)
-    loss = np.empty((2, v**3), np.float32)
-    for m in range(2):
-        c = counts[m].astype(np.float64)
-        c1 = np.bincount(x, c, v)
-        p1 = (c1 + mu / v) / (c1.sum() + mu)
-        c2 = np.bincount(b * v + x, c, v * v).reshape(v, v)
-        p2 = (c2 + mu * p1) / (c2.sum(axis=1, keepdims=True) + mu)
-        order = np.argsort(a, kind="stable")
-        edges = np.searchsorted(a[order], np.arange(v + 1))
-        for i in range(v):  # a slice at a time keeps the driver's memory small
-            at = order[edges[i] : edges[i + 1]]
-            c3 = np.bincount(b[at] * v + x[at], c[at], v * v).reshape(v, v)
-            p3 = (c3 + mu * p2) / (c3.sum(axis=1, keepdims=True) + mu)
-            loss[m, i * v * v : (i + 1) * v * v] = -np.log(p3).ravel()
-    return Models(place, v, loss)
-
-
-def count_trigrams(documents: DataFrame, is_target: Column) -> DataFrame:
-    """(code, n, n_target) over all documents."""
-    rows = documents.select("text", F.coalesce(is_target, F.lit(False)).alias("is_target"))
-    each = rows.mapInArrow(_count, "code int, n bigint, n_target bigint")
-    return each.groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def train(documents: DataFrame, is_target: Column, mu: float = 50.0) -> Models:
-    got = count_trigrams(documents, is_target).toArrow()  # 256^3 rows at most
-    counts = np.stack([got.column("n").to_numpy(), got.column("n_target").to_numpy()])
-    return smooth(got.column("code").to_numpy().astype(np.int64), counts, mu)
-
-
-def score(documents: DataFrame, models: Models) -> DataFrame:
-    """The documents' columns but the text, with n_tokens, ce_background, ce_target and their difference, score."""
+from graphloom.llm.common import WordHash, byte_words, materialize, new_columns, runs
+
+PLACES = 1 << 24
+SLICE_TOKENS, BUCKET_BYTES = 1 << 19, 8 << 20
+#: Tokens that no word is: of the start and the end of a text.
+START, END = PLACES, PLACES + 1
+_STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+ADDED = ["n_tokens", "ce_background", "ce_target", "score"]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _STEP[1]
+    h = (h ^ (h >> np.uint64(29))) * _STEP[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """64-bit numbers as planes of bytes: small ones are mostly zeros, which compress to nothing."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+class Slice:
+    """Some documents' tokens, each document closed by END, and the n-grams that end at each token.
+
+    grams are the distinct n-grams in the order of (bucket, hash); at[k] are the places in it of each token's 1-, 2- and
+    3-gram.
+    """
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, buckets: int):
+        self.sizes = sizes  # tokens of each document, END included; 0 without words
+        self.document = np.repeat(np.arange(len(sizes)), sizes)
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        self.begins = np.zeros(len(tokens), bool)
+        self.begins[starts] = True
+        x = tokens.astype(np.uint64)
+        before = np.r_[np.uint64(START), x[:-1]]
+        before[self.begins] = START
+        before2 = np.r_[np.uint64(START), before[:-1]]
+        before2[self.begins] = START
+        one = _mix(x * _STEP[0] + np.uint64(1))
+        two = _mix(one ^ _mix(before * _STEP[0] + np.uint64(2)))
+        three = _mix(two ^ _mix(before2 * _STEP[0] + np.uint64(3)))
+        found, at = np.unique(np.concatenate([one, two, three]), return_inverse=True)
+        bucket = (found % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.at = rank[at].reshape(3, -1)
+        self.bucket = bucket[order]
+        self.grams = (found[order] // np.uint64(buckets)).astype(np.uint32)
+
+    def counts(self, kept: np.ndarray) -> np.ndarray:
+        """How often each n-gram ends at one of the tokens that are kept."""
+        return np.bincount(self.at[:, kept].ravel(), minlength=len(self.grams))
+
+    def own(self) -> np.ndarray:
+        """(3, tokens): how often the n-gram at each token occurs in its own document."""
+        out = np.empty(self.at.shape, np.int64)
+        for k, at in enumerate(self.at):
+            _, place, n = np.unique(at + self.document * max(1, len(self.grams)), return_inverse=True, return_counts=True)
+            out[k] = n[place]
+        return out
+
+    def losses(self, total: np.ndarray, own: np.ndarray, n: int, documents: int, member: np.ndarray, mu: float) -> np.ndarray:
+        """Loss of each token under the model of these totals, less the document itself where it is a member."""
+        leave = member[self.document]
+        c1, c2, c3 = (total[a] - np.where(leave, o, 0) for a, o in zip(self.at, own))
+        first = documents - leave  # texts that start
+        b1, b2 = (np.where(self.begins, first, np.r_[0, c[:-1]]) for c in (c1, c2))
+        p = (c1 + mu / PLACES) / (n - np.where(leave, self.sizes[self.document], 0) + mu)
+        p = (c2 + mu * p) / (b1 + mu)
+        return -np.log((c3 + mu * p) / (b2 + mu))
+
+
+def _send(buckets: int, keys: list[str]):
+    """Slices of the documents, as one row of their tokens and a row for each bucket that they ask."""
+    names = ["slice", "bucket", "docs", "member", "sizes", "places", "tokens", "grams", "n", "n_target", "totals"]
+
+    def close(slice_id: int, docs: list[pa.StructArray], texts: list[str | None], member: list[bool], schema: pa.Schema):
+        local: dict[bytes, int] = {}
+        ids, sizes = [], []
+        for text in texts:
+            w = byte_words(text)
+            ids.append(np.fromiter((local.setdefault(x, len(local)) for x in w), np.uint32, len(w)))
+            sizes.append(len(w) + (len(w) > 0))
+            if len(w):
+                ids.append(np.array([2**32 - 1], np.uint32))
+        hashed = WordHash()
+        places = np.array([hashed[w] % PLACES for w in local] + [END], np.uint32)
+        tokens = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        tokens[tokens == 2**32 - 1] = len(local)
+        size, flag = np.array(sizes, np.int64), np.array(member, bool)
+        s = Slice(places[tokens], size, buckets)
+        n, n_target = (s.counts(k) for k in (np.ones(len(tokens), bool), flag[s.document]))
+        totals = [len(tokens), int(size[flag].sum()), int((size > 0).sum()), int((size[flag] > 0).sum())]
+        edges = np.r_[np.flatnonzero(np.r_[True, s.bucket[1:] != s.bucket[:-1]]), len(s.grams)] if len(s.grams) else [0]
+        rows = [(slice_id, -1, pa.concat_arrays(docs), flag.tobytes(), _pack(size), places.tobytes(), _pack(tokens), None, None, None, totals)]
+        rows += [
+            (slice_id, int(s.bucket[a]), None, None, None, None, None, s.grams[a:b].tobytes(), _pack(n[a:b]), _pack(n_target[a:b]), None)
+            for a, b in zip(edges[:-1], edges[1:])
+        ]
+        cols = list(zip(*rows))
+        docs_type = schema.field("docs").type
+        docs_col = pa.ListArray.from_arrays(
+            pa.array([0] + [len(rows[0][2])] * len(rows), pa.int32()), rows[0][2].cast(docs_type.value_type)
+        )
+        arrays = [docs_col if name == "docs" else pa.array(c, schema.field(name).type) for name, c in zip(names, cols)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_id = TaskContext.get().partitionId() << 40
+        docs: list[pa.StructArray] = []
+        texts: list[str | None] = []
+        member: list[bool] = []
+        held, schema = 0, None
+        for batch in batches:
+            kinds = pa.struct([pa.field(f"k{i}", batch.schema.field(i).type) for i in range(len(keys))] or [("k", pa.int8())])
+            binary = {c: pa.binary() for c in ("member", "sizes", "places", "tokens", "grams", "n", "n_target")}
+            types = {"slice": pa.int64(), "bucket": pa.int64(), "docs": pa.list_(kinds), **binary, "totals": pa.list_(pa.int64())}
+            schema = pa.schema([(c, types[c]) for c in names])
+            fields = [batch.column(i) for i in range(len(keys))] or [pa.nulls(batch.num_rows, pa.int8())]
+            rows = pa.StructArray.from_arrays(fields, fields=list(kinds))
+            target = batch.column(len(keys) + 1)
+            begin = 0
+            for i, text in enumerate(batch.column(len(keys))):
+                t = text.as_py()
+                texts.append(t)
+                member.append(bool(target[i].as_py()))
+                held += len(t or "") // 6 + 1  # about a token
+                if held >= SLICE_TOKENS or len(texts) >= SLICE_TOKENS:
+                    docs.append(rows.slice(begin, i + 1 - begin))
+                    yield close(slice_id, docs, texts, member, schema)
+                    slice_id, docs, texts, member, held, begin = slice_id + 1, [], [], [], 0, i + 1
+            if begin < batch.num_rows:
+                docs.append(rows.slice(begin))
+        if texts:
+            yield close(slice_id, docs, texts, member, schema)
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The totals of each n-gram of a bucket, for each slice that asks for them."""
+    for t in runs(batches, "bucket"):
+        grams = [np.frombuffer(x, np.uint32) for x in t.column("grams").to_pylist()]
+        _, at = np.unique(np.concatenate(grams), return_inverse=True)
+        cuts = np.cumsum([len(g) for g in grams])[:-1]
+        out = []
+        for name in ("n", "n_target"):
+            n = np.concatenate([_unpack(x) for x in t.column(name).to_pylist()])
+            total = np.zeros(int(at.max()) + 1, np.int64)
+            np.add.at(total, at, n)
+            out.append(pa.array([_pack(x) for x in np.split(total[at], cuts)], pa.binary()))
+        own = [t.column(c).combine_chunks() for c in ("slice", "bucket")]
+        yield pa.RecordBatch.from_arrays([*own, *out], names=["slice", "bucket", "n", "n_target"])
+
+
+def _score(totals: list[int], buckets: int, keys: list[str], mu: float):
+    n_tokens, n_target, n_docs, n_target_docs = totals
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "slice"):
+            rest = t.slice(1)
+            first = {c: t.column(c)[0].as_py() for c in ("member", "sizes", "places", "tokens")}
+            member = np.frombuffer(first["member"], bool)
+            places, sizes = np.frombuffer(first["places"], np.uint32), _unpack(first["sizes"])
+            s = Slice(places[_unpack(first["tokens"])], sizes, buckets)
+            counts = [np.concatenate([*map(_unpack, rest.column(c).to_pylist()), np.zeros(0, np.int64)]) for c in ("n", "n_target")]
+            own = s.own()
+            background = s.losses(counts[0], own, n_tokens, n_docs, np.ones(len(member), bool), mu)
+            target = s.losses(counts[1], own, n_target, n_target_docs, member, mu)
+            has = sizes > 0
+            cols = [pa.array(np.maximum(sizes - 1, 0))]
+            for x in (background, target, target - background):  # the last: loss differences of the tokens
+                mean = np.bincount(s.document, x, len(sizes)) / np.maximum(sizes, 1)
+                cols.append(pa.array(mean, pa.float64(), mask=~has))
+            docs = t.column("docs").combine_chunks()[0].values
+            fields = docs.flatten() if keys else []
+            yield pa.RecordBatch.from_arrays([*fields, *cols], names=[*keys, *ADDED])
+
+    return run
+
+
+def score(documents: DataFrame, is_target: Column, mu: float = 5.0) -> DataFrame:
+    """The documents' columns but the text, with n_tokens, ce_background, ce_target and their difference, score.
+
+    n_tokens counts words; the losses are means over these and the end of the text.
+    """
     keys = [c for c in documents.columns if c != "text"]
+    new_columns(keys, ADDED)
     kinds = dict(documents.dtypes)
-    names = [*keys, "n_tokens", "ce_background", "ce_target", "score"]
-    schema = ", ".join(
-        [*(f"`{k}` {kinds[k]}" for k in keys), "n_tokens bigint", *(f"{n} double" for n in names[len(keys) + 1 :])]
+    marked = documents.select(*keys, "text", F.coalesce(is_target, F.lit(False)).alias("is_target"))
+    size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = 1 + size // BUCKET_BYTES
+    docs = f"array<struct<{', '.join(f'k{i}: {kinds[c]}' for i, c in enumerate(keys)) or 'k: tinyint'}>>"
+    sent = materialize(
+        marked.mapInArrow(
+            _send(buckets, keys),
+            f"slice bigint, bucket bigint, docs {docs}, member binary, sizes binary, places binary, tokens binary, "
+            "grams binary, n binary, n_target binary, totals array<bigint>",
+        )
     )
-    shared = documents.sparkSession.sparkContext.broadcast(models)  # two tables of vocabulary^3 losses
-
-    def make():
-        own = shared.value
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [own.losses(t) if t else (0, None, None) for t in batch.column("text").to_pylist()]
-            diff = [t - b if n else None for n, b, t in got]
-            cols = [pa.array([g[0] for g in got], pa.int64())]
-            cols += [pa.array([g[i] for g in got], pa.float64()) for i in (1, 2)] + [pa.array(diff, pa.float64())]
-            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], names=names)
-
-        return run
-
-    return map_batches(documents.select(*keys, "text"), make, schema)
+    sums = sent.where("bucket < 0").agg(*(F.coalesce(F.sum(F.get("totals", F.lit(k))), F.lit(0)) for k in range(4))).first()
+    asked = sent.where("bucket >= 0").select("slice", "bucket", "grams", "n", "n_target")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _answer, "slice bigint, bucket bigint, n binary, n_target binary"
+    )
+    heads = sent.where("bucket < 0").select("slice", "bucket", "docs", "member", "sizes", "places", "tokens")
+    both = heads.unionByName(answers, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "bucket")
+    out = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n_tokens bigint", *(f"{n} double" for n in ADDED[1:])])
+    return both.mapInArrow(_score(list(sums), buckets, keys, mu), out)

@@ -58,12 +58,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over `documents`; targets are those that a label calls good and none toxic."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(good).alias("is_target"))
-    # both tables grow, so they are joined alike at every size
-    models = lm.train(documents.join(labels.hint("merge"), "doc_id", "left"), F.col("is_target"))
-    return lm.score(documents, models)
+    marked = documents.join(labels, "doc_id", "left")
+    return lm.score(marked.withColumnRenamed("is_target", "label"), F.col("label")).drop("label")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, jaccard, langid, lines, lm, pii, quality, rules, sentencepiece_fst, tokens
@@ -158,38 +159,52 @@ def test_ablation(documents):
 # -- 4
 
 
-def test_lm_scores(documents, rows, empty):
+def plain_scores(rows, mu=5.0):
+    """(doc_id, n_tokens, ce_background, ce_target) of (doc_id, text, is_target) rows, counting without the row itself."""
+    docs = []
+    for _, text, _ in rows:
+        w = [xxhash.xxh64_intdigest(x) % lm.PLACES for x in byte_words(text)]
+        docs.append(["s", "s", *w, "e"] if w else [])
+    grams = [[tuple(d[i - k : i + 1]) for i in range(2, len(d)) for k in range(3)] for d in docs]
+    out = []
+    for me, (doc_id, _, is_target) in enumerate(rows):
+        means = []
+        for model in range(2):
+            others = [k for k in range(len(rows)) if k != me and (model == 0 or rows[k][2])]
+            c = Counter(g for k in others for g in grams[k])
+            c["s",] = c["s", "s"] = sum(bool(docs[k]) for k in others)
+            n = sum(max(0, len(docs[k]) - 2) for k in others)
+
+            def loss(a, b, x):
+                p = (c[x,] + mu / lm.PLACES) / (n + mu)
+                p = (c[b, x] + mu * p) / (c[b,] + mu)
+                return -np.log((c[a, b, x] + mu * p) / (c[a, b] + mu))
+
+            d = docs[me]
+            means.append(np.mean([loss(*d[i - 2 : i + 1]) for i in range(2, len(d))]) if d else None)
+        out.append((doc_id, max(0, len(docs[me]) - 3), *means))
+    return out
+
+
+def test_lm_scores(spark, documents, rows, empty, monkeypatch):
+    short = [r for r in rows if len(r[1] or "") < 1000]
+    docs = documents.where("text IS NULL OR length(text) < 1000")
     target = F.col("doc_id") < 3
-    models = lm.train(documents, target)
-    got = {(r.doc_id, r.n_tokens): r for r in lm.score(documents.select("doc_id", "text"), models).collect()}
-    mu, start = 50.0, lm.START
-    counts = [Counter(), Counter()]
-    for r in rows:
-        s = start + (r[1] or "").encode()
-        for i in range(2, len(s)):
-            counts[0][s[i - 2 : i + 1]] += 1
-            if r[0] is not None and r[0] < 3:
-                counts[1][s[i - 2 : i + 1]] += 1
-    vocabulary = {b for g in counts[0] for b in g} | set(start)
-
-    def loss(c, g, memo={}):  # noqa: B006
-        def total(f):
-            return sum(n for k, n in c.items() if f(k))
-
-        n, x = total(lambda k: True), g[2]
-        p1 = (total(lambda k: k[2] == x) + mu / len(vocabulary)) / (n + mu)
-        p2 = (total(lambda k: k[1:] == g[1:]) + mu * p1) / (total(lambda k: k[1] == g[1]) + mu)
-        return -np.log((c[g] + mu * p2) / (total(lambda k: k[:2] == g[:2]) + mu))
-
-    for r in [rows[7], rows[12]]:
-        s = start + r[1].encode()
-        grams = [s[i - 2 : i + 1] for i in range(2, len(s))]
-        mean = [np.mean([loss(c, g) for g in grams]) for c in counts]
-        x = got[(r[0], len(grams))]
-        assert x.ce_background == pytest.approx(mean[0], abs=1e-4)
-        assert x.score == pytest.approx(mean[1] - mean[0], abs=1e-4)
-    assert got[(3, 0)].score is None and got[(4, 0)].score is None
-    assert lm.score(empty.select("doc_id", "text"), lm.train(empty, target)).count() == 0
+    want = sorted(plain_scores([(r[0], r[1], r[0] is not None and r[0] < 3) for r in short]), key=key)
+    for tokens_, bytes_ in ((lm.SLICE_TOKENS, lm.BUCKET_BYTES), (40, 300)):
+        monkeypatch.setattr(lm, "SLICE_TOKENS", tokens_)
+        monkeypatch.setattr(lm, "BUCKET_BYTES", bytes_)
+        out = lm.score(docs, target)
+        assert out.columns == [c for c in documents.columns if c != "text"] + lm.ADDED
+        got = sorted([(r.doc_id, r.n_tokens, r.ce_background, r.ce_target, r.score, r.w) for r in out.collect()], key=key)
+        for g, w in zip(got, want, strict=True):
+            assert g[:2] == w[:2] and g[5] == "x"
+            assert g[2:4] == (w[2:] if w[2] is None else pytest.approx(w[2:]))
+            assert g[4] is None if w[2] is None else g[4] == pytest.approx(w[3] - w[2])
+    assert lm.score(empty, target).count() == 0
+    assert lm.score(documents.select("text"), F.lit(None).cast("boolean")).count() == len(rows)
+    with pytest.raises(ValueError, match="score"):
+        lm.score(documents.withColumn("Score", F.lit(1)), target)
 
 
 # -- 5
