@@ -41,7 +41,7 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
         ("import", r"(?i)<(?:script|img|iframe|source)\b[^>]*?\bsrc\s*=\s*[\"']([^\"']*)"),
     ],
     "css": [
-        ("rule", r"(?m)^\s*([^@{}/\s][^{}]*?)\s*\{"),
+        ("rule", r"(?m)^\s*((?!(?:from|to|[\d.]+%)[\s,{])[^@{}/\s][^{}]*?)\s*\{"),
         ("keyframes", r"@keyframes\s+([\w-]+)"),
         ("import", r"@(?:import|use|forward)\s+(?:url\()?[\"']([^\"']+)"),
     ],
