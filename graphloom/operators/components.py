@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.scratch import materialize
+from graphloom.operators.scratch import materialize, release
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -45,6 +45,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         if not found["n"] or seen == (found["n"], found["h"]):
             break
         seen = (found["n"], found["h"])
-        now = materialize(_small_star(_large_star(now)))
+        last, now = now, materialize(_small_star(_large_star(now)))
+        release(last)
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)
