@@ -3,7 +3,10 @@
 Lines are sequences of words (cut at ASCII blanks). A line is a copy if an earlier line has the same words, and a near
 copy if an earlier line becomes the same by one edit of a word: one put in, taken out or replaced. Lines are ordered
 by document id, text hash and place, so the earliest stays; whether a line goes does not depend on whether the earlier
-one stays itself. Lines of under `min_words` words always stay; under `min_near` words, only copies go.
+one stays itself. Lines of under `min_words` words always stay.
+
+A word is the unit of an edit, so that a line has as many variants as words: any change within one word is one edit,
+and one edit of a character is one of a word unless it puts in or takes out a blank.
 
 1. Equal lines meet on a 96-bit hash; each distinct line keeps its earliest place.
 2. A line within one edit of another shares the first or the last half of its words with it. Distinct lines whose
@@ -14,8 +17,10 @@ one stays itself. Lines of under `min_words` words always stay; under `min_near`
    verified on the words.
 
 Hashes meet through aggregates and joins that can be split, never in windows, so a line that a third of the
-documents share is added up before it is sent. Null texts stay null; a null id comes before all others. Rows of one id
-are one document's: their lines at the same place don't make each other copies, and equal rows are treated alike.
+documents share is added up before it is sent. Null texts stay null, empty ones empty; a null id comes before all
+others. A long text is cut in lines like others, and a long line is one. Rows of one id are one document's: their lines
+at the same place don't make each other copies, and equal rows are treated alike. An empty table gives an empty one;
+other columns keep their values, but none may have the name of one that is added.
 """
 
 from __future__ import annotations
@@ -23,9 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, new_columns
 
 BLANKS = r"[\x09\x0B-\x0D]"
+ADDED = ["n_lines", "n_copies", "n_near", "emptied"]
 
 
 def tidy(text: Column) -> Column:
@@ -64,7 +70,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def _lines(documents: DataFrame, min_words: int, min_near: int) -> DataFrame:
+def _lines(documents: DataFrame, min_words: int) -> DataFrame:
     """A row for each line with enough words: its place, its hash (k1, k2), and hashes p, q, s, t of its halves.
 
     `at` orders places: the document's id, then the line's number. p and s are of the first and last n/2 words, q and
@@ -76,7 +82,7 @@ def _lines(documents: DataFrame, min_words: int, min_near: int) -> DataFrame:
     cut = each.select("doc_id", "h", "idx", line_words(F.col("line")).alias("w")).where(F.size("w") >= min_words)
     w, n = F.col("w"), F.size("w")
     m = F.floor(n / 2).cast("int")
-    even, near = n % 2 == 0, n >= min_near
+    even = n % 2 == 0
     a, b = F.xxhash64(F.slice(w, F.lit(1), m)), F.xxhash64(F.slice(w, m + 1, n - m))
     tail = F.when(even, b).otherwise(F.xxhash64(F.slice(w, m + 2, m)))
     head2, tail2 = F.xxhash64(F.slice(w, F.lit(1), m - 1)), F.xxhash64(F.slice(w, n - m + 2, m - 1))
@@ -88,32 +94,32 @@ def _lines(documents: DataFrame, min_words: int, min_near: int) -> DataFrame:
         (order + F.col("idx")).cast("decimal(32,0)").alias("at"),
         F.xxhash64(n, a, b).alias("k1"),
         F.hash(w).alias("k2"),
-        F.when(near, F.xxhash64(F.lit(0), m, a)).alias("p"),
-        F.when(near, F.xxhash64(F.lit(1), m, tail)).alias("s"),
-        F.when(near & even, F.xxhash64(F.lit(0), m - 1, head2)).alias("q"),
-        F.when(near & even, F.xxhash64(F.lit(1), m - 1, tail2)).alias("t"),
+        F.xxhash64(F.lit(0), m, a).alias("p"),
+        F.xxhash64(F.lit(1), m, tail).alias("s"),
+        F.when(even, F.xxhash64(F.lit(0), m - 1, head2)).alias("q"),
+        F.when(even, F.xxhash64(F.lit(1), m - 1, tail2)).alias("t"),
     )
 
 
 def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     """(k1, k2) of the distinct lines that are within one edit of an earlier one."""
     sides = F.array(*(F.struct(F.col(c).alias("half"), F.lit(c in "pq").alias("first")) for c in "psqt"))
-    half = distinct.select("k1", "k2", "at", "doc_id", "idx", F.explode(sides).alias("x")).where("x.half IS NOT NULL")
-    half = half.select("k1", "k2", "at", "doc_id", "idx", "x.*")
+    half = distinct.select("k1", "k2", "at", "doc_id", "h", "idx", F.explode(sides).alias("x")).where("x.half IS NOT NULL")
+    half = half.select("k1", "k2", "at", "doc_id", "h", "idx", "x.*")
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     some = (
         half.join(shared, "half", "left_semi")
-        .groupBy("k1", "k2", "at", "doc_id", "idx")
+        .groupBy("k1", "k2", "at", "doc_id", "h", "idx")
         .agg(F.max("first").alias("head"), F.min("first").alias("tail"))  # tail: false if a last half is shared
     )
-    by_doc = some.groupBy(F.col("doc_id").alias("d")).agg(
+    by_text = some.groupBy(F.col("doc_id").alias("d"), "h").agg(
         F.collect_list(F.struct("k1", "k2", "at", "idx", "head", "tail")).alias("lines")
     )
-    texts = documents.select("doc_id", "text")
-    met = texts.join(by_doc, texts.doc_id.eqNullSafe(by_doc.d))
+    texts = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    met = texts.join(by_text, texts.doc_id.eqNullSafe(by_text.d) & (F.col("th") == F.col("h")))
     cut = met.select(F.split(tidy(F.col("text")), "\n", -1).alias("all"), F.explode("lines").alias("x"))
     found = cut.select("x.*", line_words(F.get("all", F.col("x.idx"))).alias("w"))
-    # rows may share an id: only the text that has the line counts, and one of several
+    # rows may be repeated: the line is wanted once
     own = found.where(F.hash("w") == F.col("k2")).dropDuplicates(["k1", "k2"])
     ranked = own.orderBy("at").select("k1", "k2", "head", "tail", "w", F.monotonically_increasing_id().alias("line"))
     known = materialize(ranked)
@@ -130,11 +136,12 @@ def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked.where(within_one_edit(F.col("w"), F.col("v"))).select("k1", "k2").distinct()
 
 
-def removals(documents: DataFrame, min_words: int = 5, min_near: int = 8) -> DataFrame:
+def removals(documents: DataFrame, min_words: int = 5) -> DataFrame:
     """(doc_id, h, copies array<int>, near array<int>): places of the lines to take out of each text."""
-    lines = materialize(_lines(documents, min_words, min_near))
+    lines = materialize(_lines(documents, min_words))
     halves = [F.max(c).alias(c) for c in "psqt"]
-    grouped = lines.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.count("*").alias("n"), *halves)
+    place = [F.min("at").alias("at"), F.min_by("h", "at").alias("h")]
+    grouped = lines.groupBy("k1", "k2").agg(*place, F.count("*").alias("n"), *halves)
     base = F.floor(F.col("at") / F.lit(2**31).cast("decimal(10,0)"))
     distinct = materialize(
         grouped.withColumn("doc_id", F.when(base > -(2**63), base).cast("bigint")).withColumn(
@@ -159,28 +166,30 @@ def removals(documents: DataFrame, min_words: int = 5, min_near: int = 8) -> Dat
     )
 
 
-def dedup_lines(documents: DataFrame, min_words: int = 5, min_near: int = 8) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     """All columns, with `text` less its repeated lines, and n_lines, n_copies, n_near and `emptied`.
 
     A first occurrence that goes for being a near copy counts in n_near; its own copies count in n_copies. A text is
     emptied if lines went and none of min_words words is left.
     """
-    gone = removals(documents, min_words, min_near)
-    r = gone.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "copies", "near")
-    with_hash = documents.withColumn("_th", F.xxhash64("text"))
-    met = with_hash.join(r, with_hash.doc_id.eqNullSafe(r._d) & (F.col("_th") == F.col("_h")), "left")
-    both = F.coalesce(F.concat("copies", "near"), F.array().cast("array<int>"))
-    split = met.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_gone", both)
-    kept = F.when(
-        F.size("_gone") > 0, F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))
-    ).otherwise(F.col("_lines"))
-    out = split.withColumn("_kept", kept)
-    left = F.exists("_kept", lambda x: F.size(line_words(tidy(x))) >= min_words)
-    text = F.when(F.size("_gone") > 0, F.array_join("_kept", "\n")).otherwise(F.col("text"))
+    new_columns(documents.columns, ADDED)
+    gone = removals(documents, min_words).select(F.col("doc_id").alias("d"), "h", F.concat("copies", "near").alias("gone"), "copies", "near")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    id_, text = F.col("row.doc_id"), F.col("row.text")
+    met = rows.join(gone, id_.eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("h")), "left")
+    cut = met.select("row", "copies", "near", "gone", F.split(text, "\n", -1).alias("lines"))
+    stay = F.when(F.size("gone") > 0, F.filter("lines", lambda x, i: ~F.array_contains("gone", i))).otherwise(F.col("lines"))
+    out = cut.select("row", "copies", "near", "lines", (F.size("gone") > 0).alias("lost"), stay.alias("stay"))
+    left = F.exists("stay", lambda x: F.size(line_words(tidy(x))) >= min_words)
+    new = F.when(F.col("lost"), F.array_join("stay", "\n")).otherwise(text)
+
+    def count(c: str) -> Column:
+        return F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+
     return out.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in documents.columns),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("copies"), F.lit(0)).cast("bigint").alias("n_copies"),
-        F.coalesce(F.size("near"), F.lit(0)).cast("bigint").alias("n_near"),
-        F.when(F.size("_gone") > 0, ~left).otherwise(False).alias("emptied"),
+        *(new.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in documents.columns),
+        F.greatest(count("lines"), F.lit(0)).alias("n_lines"),
+        F.greatest(count("copies"), F.lit(0)).alias("n_copies"),
+        F.greatest(count("near"), F.lit(0)).alias("n_near"),
+        F.when(F.col("lost"), ~left).otherwise(False).alias("emptied"),
     )

@@ -43,7 +43,7 @@ WITH l AS (
 ),
 long AS (SELECT doc_id, idx, w, array_to_string(w, ' ') AS k FROM l WHERE len(w) >= 5),
 firsts AS (SELECT k, min((doc_id, idx)) AS place, any_value(w) AS w FROM long GROUP BY k),
-place AS (SELECT k, place, w, unnest(range(0, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 8),
+place AS (SELECT k, place, w, unnest(range(0, len(w) + 1)) AS i FROM firsts),
 variants AS (
   SELECT k, place, i, k AS v FROM place
   UNION ALL
