@@ -45,6 +45,8 @@ TREES, DEPTH = 20, 8
 SAMPLE, SAMPLE_TEXT = 2048, 20_000
 #: Classes in a block: those under one prefix, and those of one component whose sets are compared (and their shingles).
 PREFIX_BLOCK, SET_BLOCK, BLOCK_SHINGLES = 2048, 256, 1 << 18
+#: 64-bit words of the bitmap that spares texts the way to a join.
+BITMAP_WORDS = 1 << 20
 #: Signatures may agree in this much less than the threshold before a pair is passed over: six standard deviations.
 SLACK = 0.2
 
@@ -376,6 +378,19 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         )
 
 
+def _may_be(texts: DataFrame, some: DataFrame) -> DataFrame:
+    """The texts less most of those that aren't among some (doc_id, th), so that few are sent to a join.
+
+    A bitmap of `BITMAP_WORDS` * 64 bits at most is broadcast; a row stays if its bit is set.
+    """
+    bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BITMAP_WORDS * 64))
+    word, place = F.shiftright(bit, 6), (bit % 64).cast("int")
+    one = F.expr("shiftleft(1L, place)")
+    bitmap = some.select(word.alias("word"), place.alias("place")).groupBy("word").agg(F.bit_or(one).alias("bits"))
+    rows = texts.withColumn("word", word).withColumn("place", place).join(F.broadcast(bitmap), "word")
+    return rows.where(one.bitwiseAND(F.col("bits")) != 0).select("doc_id", "th", "text")
+
+
 def _grouped(documents: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(doc_id, th, class_id, n_links, first) of document rows with an id and words.
 
@@ -404,6 +419,7 @@ def _grouped(documents: DataFrame, threshold: float, recall: float) -> DataFrame
     some = materialize(candidates.join(classes.select("id", "row.*", "cls", "size", "n"), "id"))
     sizes = some.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"))
     texts = documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    texts = _may_be(texts, some)
     wanted = texts.join(some.select("doc_id", "th", "id", "cls"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     sets = wanted.select("id", "cls", "text").mapInArrow(_sets, "id bigint, codes binary")
     held = some.select("id", "component", "size").join(sizes, "component").join(sets, "id")
