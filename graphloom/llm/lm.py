@@ -12,10 +12,11 @@ out the document itself (no text is scored by what it taught), a prior weight mu
 Every n-gram of every document is counted, and what is counted grows with the documents, so no table of it is ever in
 one place:
 
-1. Documents are packed in slices of about `SLICE_TOKENS` tokens. A slice adds up its own n-grams and sends each one
-   once, with its counts, to the bucket of the n-gram's hash: an n-gram that all documents share comes once a slice.
-2. A bucket adds up what it got and answers each slice with the totals, in the order that it was asked.
-3. A slice has the totals of all its n-grams now and scores its tokens.
+1. Documents are packed in slices of about `SLICE_TOKENS` tokens, which are written. A slice adds up its own n-grams and
+   sends each one once, with its counts, to the bucket of the n-gram's hash: one that all documents share comes once a
+   slice.
+2. A bucket adds up what it got and answers each slice with the counts of all others, in the order that it was asked.
+3. A slice has the counts of all its n-grams now and scores its tokens.
 
 Buckets hold about `BUCKET_BYTES` of text each, however much there is. Within one, n-grams are told apart by 32 bits of
 their hash: of a million in a bucket about one in 4,000 shares its counts with another.
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import WordHash, byte_words, materialize, new_columns, runs
 
-PLACES = 1 << 24
-SLICE_TOKENS, BUCKET_BYTES = 1 << 19, 8 << 20
-#: Tokens that no word is: of the start and the end of a text.
+#: With the marks, which no word is, a token has 24 bits.
+PLACES = (1 << 24) - 2
 START, END = PLACES, PLACES + 1
+SLICE_TOKENS, BUCKET_BYTES = 1 << 18, 4 << 20
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 ADDED = ["n_tokens", "ce_background", "ce_target", "score"]
 
@@ -52,13 +53,34 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """64-bit numbers as planes of bytes: small ones are mostly zeros, which compress to nothing."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """Numbers as planes of bytes, the lowest `width` of them: those of small numbers are zeros, which compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+def _numbers(b: bytes, width: int = 8) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return out.view("<i8").ravel()
+
+
+def _encode(n: np.ndarray, target: np.ndarray) -> bytes:
+    """Counts from 1 up with the part of each that targets have: a byte each, a bit where the count is 1, more for large ones."""
+    many, large = n > 1, n >= 255
+    parts = [np.minimum(n, 255), np.minimum(target[many], 255), np.packbits(target[~many] > 0)]
+    return b"".join(x.astype(np.uint8).tobytes() for x in parts) + np.stack([n[large], target[large]]).astype("<i8").tobytes()
+
+
+def _decode(b: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b, np.uint8)
+    n, target = raw[:size].astype(np.int64), np.zeros(size, np.int64)
+    many, large = n > 1, n == 255
+    k = int(many.sum())
+    bits = size + k + -(-(size - k) // 8)
+    target[many] = raw[size : size + k]
+    target[~many] = np.unpackbits(raw[size + k : bits])[: size - k]
+    n[large], target[large] = np.frombuffer(b[bits:], "<i8").reshape(2, -1)
+    return n, target
 
 
 class Slice:
@@ -91,9 +113,10 @@ class Slice:
         self.bucket = bucket[order]
         self.grams = (found[order] // np.uint64(buckets)).astype(np.uint32)
 
-    def counts(self, kept: np.ndarray) -> np.ndarray:
+    def counts(self, kept: np.ndarray | None = None) -> np.ndarray:
         """How often each n-gram ends at one of the tokens that are kept."""
-        return np.bincount(self.at[:, kept].ravel(), minlength=len(self.grams))
+        at = self.at if kept is None or kept.all() else self.at[:, kept]
+        return np.bincount(at.ravel(), minlength=len(self.grams))
 
     def own(self) -> np.ndarray:
         """(3, tokens): how often the n-gram at each token occurs in its own document."""
@@ -114,87 +137,97 @@ class Slice:
         return -np.log((c3 + mu * p) / (b2 + mu))
 
 
-def _send(buckets: int, keys: list[str]):
-    """Slices of the documents, as one row of their tokens and a row for each bucket that they ask."""
-    names = ["slice", "bucket", "docs", "member", "sizes", "places", "tokens", "grams", "n", "n_target", "totals"]
+def _pack(keys: list[str]):
+    """Slices of the documents, a row each: the other columns, tokens, and sums of tokens and documents."""
+    names = ["slice", "docs", "member", "sizes", "tokens", "totals"]
 
-    def close(slice_id: int, docs: list[pa.StructArray], texts: list[str | None], member: list[bool], schema: pa.Schema):
-        local: dict[bytes, int] = {}
+    def close(slice_id: int, docs: list[pa.StructArray], texts: list[str | None], member: list[bool]) -> pa.RecordBatch:
+        hashed = WordHash()
         ids, sizes = [], []
         for text in texts:
             w = byte_words(text)
-            ids.append(np.fromiter((local.setdefault(x, len(local)) for x in w), np.uint32, len(w)))
-            sizes.append(len(w) + (len(w) > 0))
-            if len(w):
-                ids.append(np.array([2**32 - 1], np.uint32))
-        hashed = WordHash()
-        places = np.array([hashed[w] % PLACES for w in local] + [END], np.uint32)
-        tokens = np.concatenate([*ids, np.zeros(0, np.uint32)])
-        tokens[tokens == 2**32 - 1] = len(local)
+            if w:
+                ids.append(np.fromiter(map(hashed.__getitem__, w), np.uint64, len(w)) % np.uint64(PLACES))
+                ids.append(np.array([END], np.uint64))
+            sizes.append(len(w) + bool(w))
+        tokens = np.concatenate([*ids, np.zeros(0, np.uint64)])
         size, flag = np.array(sizes, np.int64), np.array(member, bool)
-        s = Slice(places[tokens], size, buckets)
-        n, n_target = (s.counts(k) for k in (np.ones(len(tokens), bool), flag[s.document]))
         totals = [len(tokens), int(size[flag].sum()), int((size > 0).sum()), int((size[flag] > 0).sum())]
-        edges = np.r_[np.flatnonzero(np.r_[True, s.bucket[1:] != s.bucket[:-1]]), len(s.grams)] if len(s.grams) else [0]
-        rows = [(slice_id, -1, pa.concat_arrays(docs), flag.tobytes(), _pack(size), places.tobytes(), _pack(tokens), None, None, None, totals)]
-        rows += [
-            (slice_id, int(s.bucket[a]), None, None, None, None, None, s.grams[a:b].tobytes(), _pack(n[a:b]), _pack(n_target[a:b]), None)
-            for a, b in zip(edges[:-1], edges[1:])
-        ]
-        cols = list(zip(*rows))
-        docs_type = schema.field("docs").type
-        docs_col = pa.ListArray.from_arrays(
-            pa.array([0] + [len(rows[0][2])] * len(rows), pa.int32()), rows[0][2].cast(docs_type.value_type)
-        )
-        arrays = [docs_col if name == "docs" else pa.array(c, schema.field(name).type) for name, c in zip(names, cols)]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
+        rows = pa.concat_arrays(docs)
+        listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+        cells = [flag.tobytes(), _planes(size), _planes(tokens, 3)]
+        arrays = [pa.array([slice_id]), listed, *(pa.array([c], pa.binary()) for c in cells)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([totals], pa.list_(pa.int64()))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slice_id = TaskContext.get().partitionId() << 40
         docs: list[pa.StructArray] = []
         texts: list[str | None] = []
         member: list[bool] = []
-        held, schema = 0, None
+        held = 0
         for batch in batches:
-            kinds = pa.struct([pa.field(f"k{i}", batch.schema.field(i).type) for i in range(len(keys))] or [("k", pa.int8())])
-            binary = {c: pa.binary() for c in ("member", "sizes", "places", "tokens", "grams", "n", "n_target")}
-            types = {"slice": pa.int64(), "bucket": pa.int64(), "docs": pa.list_(kinds), **binary, "totals": pa.list_(pa.int64())}
-            schema = pa.schema([(c, types[c]) for c in names])
-            fields = [batch.column(i) for i in range(len(keys))] or [pa.nulls(batch.num_rows, pa.int8())]
-            rows = pa.StructArray.from_arrays(fields, fields=list(kinds))
+            own = [batch.column(i) for i in range(len(keys))] or [pa.nulls(batch.num_rows, pa.int8())]
+            rows = pa.StructArray.from_arrays(own, names=[f"k{i}" for i in range(len(own))])
             target = batch.column(len(keys) + 1)
             begin = 0
             for i, text in enumerate(batch.column(len(keys))):
                 t = text.as_py()
                 texts.append(t)
                 member.append(bool(target[i].as_py()))
-                held += len(t or "") // 6 + 1  # about a token
-                if held >= SLICE_TOKENS or len(texts) >= SLICE_TOKENS:
+                held += len(t or "") // 6 + 1  # about its tokens
+                if held >= SLICE_TOKENS:
                     docs.append(rows.slice(begin, i + 1 - begin))
-                    yield close(slice_id, docs, texts, member, schema)
+                    yield close(slice_id, docs, texts, member)
                     slice_id, docs, texts, member, held, begin = slice_id + 1, [], [], [], 0, i + 1
             if begin < batch.num_rows:
                 docs.append(rows.slice(begin))
         if texts:
-            yield close(slice_id, docs, texts, member, schema)
+            yield close(slice_id, docs, texts, member)
+
+    return run
+
+
+def _open(row: dict, buckets: int) -> tuple[Slice, np.ndarray]:
+    return Slice(_numbers(row["tokens"], 3), _numbers(row["sizes"]), buckets), np.frombuffer(row["member"], bool)
+
+
+def _ask(buckets: int):
+    """A row for each bucket that a slice asks: the n-grams' hashes and the slice's own counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                s, member = _open(row, buckets)
+                n, target = s.counts(), s.counts(member[s.document])
+                edges = [*np.flatnonzero(np.r_[True, s.bucket[1:] != s.bucket[:-1]]).tolist(), len(s.grams)] if len(s.grams) else [0]
+                spans = list(zip(edges[:-1], edges[1:]))
+                cols = [
+                    pa.array([row["slice"]] * len(spans), pa.int64()),
+                    pa.array([int(s.bucket[a]) for a, _ in spans], pa.int64()),
+                    pa.array([s.grams[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([_encode(n[a:b], target[a:b]) for a, b in spans], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["slice", "bucket", "grams", "counts"])
 
     return run
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The totals of each n-gram of a bucket, for each slice that asks for them."""
+    """For each slice that asks a bucket: how often its n-grams occur in other slices."""
     for t in runs(batches, "bucket"):
         grams = [np.frombuffer(x, np.uint32) for x in t.column("grams").to_pylist()]
         _, at = np.unique(np.concatenate(grams), return_inverse=True)
         cuts = np.cumsum([len(g) for g in grams])[:-1]
+        counts = [_decode(c, len(g)) for c, g in zip(t.column("counts").to_pylist(), grams)]
         out = []
-        for name in ("n", "n_target"):
-            n = np.concatenate([_unpack(x) for x in t.column(name).to_pylist()])
+        for k in range(2):
+            own = np.concatenate([c[k] for c in counts])
             total = np.zeros(int(at.max()) + 1, np.int64)
-            np.add.at(total, at, n)
-            out.append(pa.array([_pack(x) for x in np.split(total[at], cuts)], pa.binary()))
-        own = [t.column(c).combine_chunks() for c in ("slice", "bucket")]
-        yield pa.RecordBatch.from_arrays([*own, *out], names=["slice", "bucket", "n", "n_target"])
+            np.add.at(total, at, own)
+            out.append(pa.array([_planes(x) for x in np.split(total[at] - own, cuts)], pa.binary()))
+        who = [t.column(c).combine_chunks() for c in ("slice", "bucket")]
+        yield pa.RecordBatch.from_arrays([*who, *out], names=["slice", "bucket", "n", "n_target"])
 
 
 def _score(totals: list[int], buckets: int, keys: list[str], mu: float):
@@ -202,23 +235,20 @@ def _score(totals: list[int], buckets: int, keys: list[str], mu: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "slice"):
-            rest = t.slice(1)
-            first = {c: t.column(c)[0].as_py() for c in ("member", "sizes", "places", "tokens")}
-            member = np.frombuffer(first["member"], bool)
-            places, sizes = np.frombuffer(first["places"], np.uint32), _unpack(first["sizes"])
-            s = Slice(places[_unpack(first["tokens"])], sizes, buckets)
-            counts = [np.concatenate([*map(_unpack, rest.column(c).to_pylist()), np.zeros(0, np.int64)]) for c in ("n", "n_target")]
-            own = s.own()
-            background = s.losses(counts[0], own, n_tokens, n_docs, np.ones(len(member), bool), mu)
-            target = s.losses(counts[1], own, n_target, n_target_docs, member, mu)
-            has = sizes > 0
-            cols = [pa.array(np.maximum(sizes - 1, 0))]
+            answers = t.slice(1)
+            s, member = _open({c: t.column(c)[0].as_py() for c in ("member", "sizes", "tokens")}, buckets)
+            own, everyone = s.own(), np.ones(len(member), bool)
+            losses = []
+            for name, who, n, documents in (("n", everyone, n_tokens, n_docs), ("n_target", member, n_target, n_target_docs)):
+                others = np.concatenate([*map(_numbers, answers.column(name).to_pylist()), np.zeros(0, np.int64)])
+                losses.append(s.losses(others + s.counts(who[s.document]), own, n, documents, who, mu))
+            background, target = losses
+            cols = [pa.array(np.maximum(s.sizes - 1, 0))]
             for x in (background, target, target - background):  # the last: loss differences of the tokens
-                mean = np.bincount(s.document, x, len(sizes)) / np.maximum(sizes, 1)
-                cols.append(pa.array(mean, pa.float64(), mask=~has))
+                mean = np.bincount(s.document, x, len(s.sizes)) / np.maximum(s.sizes, 1)
+                cols.append(pa.array(mean, pa.float64(), mask=s.sizes == 0))
             docs = t.column("docs").combine_chunks()[0].values
-            fields = docs.flatten() if keys else []
-            yield pa.RecordBatch.from_arrays([*fields, *cols], names=[*keys, *ADDED])
+            yield pa.RecordBatch.from_arrays([*(docs.flatten() if keys else []), *cols], names=[*keys, *ADDED])
 
     return run
 
@@ -235,19 +265,16 @@ def score(documents: DataFrame, is_target: Column, mu: float = 5.0) -> DataFrame
     size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = 1 + size // BUCKET_BYTES
     docs = f"array<struct<{', '.join(f'k{i}: {kinds[c]}' for i, c in enumerate(keys)) or 'k: tinyint'}>>"
-    sent = materialize(
-        marked.mapInArrow(
-            _send(buckets, keys),
-            f"slice bigint, bucket bigint, docs {docs}, member binary, sizes binary, places binary, tokens binary, "
-            "grams binary, n binary, n_target binary, totals array<bigint>",
-        )
+    cells = "member binary, sizes binary, tokens binary"
+    packed = materialize(marked.mapInArrow(_pack(keys), f"slice bigint, docs {docs}, {cells}, totals array<bigint>"))
+    sums = packed.agg(*(F.coalesce(F.sum(F.get("totals", F.lit(k))), F.lit(0)) for k in range(4))).first()
+    asked = packed.select("slice", "member", "sizes", "tokens").mapInArrow(
+        _ask(buckets), "slice bigint, bucket bigint, grams binary, counts binary"
     )
-    sums = sent.where("bucket < 0").agg(*(F.coalesce(F.sum(F.get("totals", F.lit(k))), F.lit(0)) for k in range(4))).first()
-    asked = sent.where("bucket >= 0").select("slice", "bucket", "grams", "n", "n_target")
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _answer, "slice bigint, bucket bigint, n binary, n_target binary"
     )
-    heads = sent.where("bucket < 0").select("slice", "bucket", "docs", "member", "sizes", "places", "tokens")
+    heads = packed.select("slice", F.lit(-1).cast("bigint").alias("bucket"), "docs", "member", "sizes", "tokens")
     both = heads.unionByName(answers, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "bucket")
     out = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n_tokens bigint", *(f"{n} double" for n in ADDED[1:])])
     return both.mapInArrow(_score(list(sums), buckets, keys, mu), out)
