@@ -489,7 +489,7 @@ def test_presence_kernel_is_the_sets():
 # -- 10
 
 
-def plain_lines(rows, min_words=5, min_near=8):
+def plain_lines(rows, min_words=5):
     seen, out = [], []
     order = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     gone = {}
@@ -499,7 +499,7 @@ def plain_lines(rows, min_words=5, min_near=8):
             if len(w) < min_words:
                 continue
             copy = any(w == v for v in seen)
-            near = any(len(w) >= min_near and len(v) >= min_near and one_edit(w, v) for v in seen)
+            near = any(one_edit(w, v) for v in seen)
             seen.append(w)
             if copy or near:
                 gone.setdefault((doc, text), set()).add(i)
