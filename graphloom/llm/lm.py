@@ -1,18 +1,19 @@
 """Language-model scoring by cross-entropy difference.
 
-Two word n-gram models of order three, one of target documents and one of all documents, are counted alike over one
+Two word n-gram models of one order, one of target documents and one of all documents, are counted alike over one
 shared vocabulary: the words of all documents (`words()`), hashed into `PLACES` places, with a mark for the start and
 one for the end of a text. The score of a document is the mean over its tokens of the loss under the target model less
-that under the background model; lower is closer to the target. Loss of a token x after a and b, with counts c that leave
-out the document itself (no text is scored by what it taught), a prior weight mu and N tokens in all:
+that under the background model; lower is closer to the target. Loss of a token x after a context, with counts c that
+leave out the document itself (no text is scored by what it taught), a prior weight mu and N tokens in all:
 
     p1(x) = (c(x) + mu / PLACES) / (N + mu)     p2(x|b) = (c(bx) + mu p1(x)) / (c(b) + mu)
-    p3(x|ab) = (c(abx) + mu p2(x|b)) / (c(ab) + mu)
+    and so on up to the order, each with the one below as its prior
 
 Every n-gram of every document is counted, and what is counted grows with the documents, so no table of it is ever in
 one place:
 
-1. Documents are packed in slices of about `SLICE_TOKENS` tokens, which are written. A slice adds up its own n-grams and
+1. Documents are packed in slices of about `SLICE_TOKENS` tokens, which are written; the targets' ids meet the slices'
+   ids there, not the texts. A slice adds up its own n-grams and
    sends each one once, with its counts, to the bucket of the n-gram's hash: one that all documents share comes once a
    slice.
 2. A bucket adds up what it got and answers each slice with the counts of all others, in the order that it was asked.
@@ -21,8 +22,8 @@ one place:
 Buckets hold about `BUCKET_BYTES` of text each, however much there is. Within one, n-grams are told apart by 32 bits of
 their hash: of a million in a bucket about one in 4,000 shares its counts with another.
 
-A null text or one without words has no tokens and null losses. A document is a target where `is_target` is true (null
-is false). Repeated rows teach each other. Texts are taken whole: a slice is never less than a text. Rows are returned
+A null text or one without words has no tokens and null losses. A document is a target if its id is among the targets,
+null ids never are. Repeated rows teach each other. Texts are taken whole: a slice is never less than a text. Rows are returned
 one for one, an empty table gives an empty one, and other columns keep their values; the columns added may not be there
 before.
 """
@@ -38,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import WordHash, byte_words, materialize, new_columns, runs
+from graphloom.operators.scratch import release
 
 #: With the marks, which no word is, a token has 24 bits.
 PLACES = (1 << 24) - 2
@@ -86,32 +88,28 @@ def _decode(b: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
 class Slice:
     """Some documents' tokens, each document closed by END, and the n-grams that end at each token.
 
-    grams are the distinct n-grams in the order of (bucket, hash); at[k] are the places in it of each token's 1-, 2- and
-    3-gram.
+    grams are the distinct n-grams in the order of (bucket, hash); at[k] are the places in it of each token's n-gram of
+    k + 1 tokens.
     """
 
-    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, buckets: int):
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, order: int, buckets: int):
         self.sizes = sizes  # tokens of each document, END included; 0 without words
         self.document = np.repeat(np.arange(len(sizes)), sizes)
-        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
         self.begins = np.zeros(len(tokens), bool)
-        self.begins[starts] = True
-        x = tokens.astype(np.uint64)
-        before = np.r_[np.uint64(START), x[:-1]]
-        before[self.begins] = START
-        before2 = np.r_[np.uint64(START), before[:-1]]
-        before2[self.begins] = START
-        one = _mix(x * _STEP[0] + np.uint64(1))
-        two = _mix(one ^ _mix(before * _STEP[0] + np.uint64(2)))
-        three = _mix(two ^ _mix(before2 * _STEP[0] + np.uint64(3)))
-        found, at = np.unique(np.concatenate([one, two, three]), return_inverse=True)
+        self.begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        back = tokens.astype(np.uint64)
+        codes = [_mix(back * _STEP[0] + np.uint64(1))]
+        for k in range(2, order + 1):
+            back = np.where(self.begins, np.uint64(START), np.r_[np.uint64(START), back[:-1]])
+            codes.append(_mix(codes[-1] ^ _mix(back * _STEP[0] + np.uint64(k))))
+        found, at = np.unique(np.concatenate(codes), return_inverse=True)
         bucket = (found % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.at = rank[at].reshape(3, -1)
-        self.bucket = bucket[order]
-        self.grams = (found[order] // np.uint64(buckets)).astype(np.uint32)
+        sort = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(sort), np.int64)
+        rank[sort] = np.arange(len(sort))
+        self.at = rank[at].reshape(order, -1)
+        self.bucket = bucket[sort]
+        self.grams = (found[sort] // np.uint64(buckets)).astype(np.uint32)
 
     def counts(self, kept: np.ndarray | None = None) -> np.ndarray:
         """How often each n-gram ends at one of the tokens that are kept."""
@@ -119,7 +117,7 @@ class Slice:
         return np.bincount(at.ravel(), minlength=len(self.grams))
 
     def own(self) -> np.ndarray:
-        """(3, tokens): how often the n-gram at each token occurs in its own document."""
+        """(order, tokens): how often the n-gram at each token occurs in its own document."""
         out = np.empty(self.at.shape, np.int64)
         for k, at in enumerate(self.at):
             _, place, n = np.unique(at + self.document * max(1, len(self.grams)), return_inverse=True, return_counts=True)
@@ -129,19 +127,20 @@ class Slice:
     def losses(self, total: np.ndarray, own: np.ndarray, n: int, documents: int, member: np.ndarray, mu: float) -> np.ndarray:
         """Loss of each token under the model of these totals, less the document itself where it is a member."""
         leave = member[self.document]
-        c1, c2, c3 = (total[a] - np.where(leave, o, 0) for a, o in zip(self.at, own))
-        first = documents - leave  # texts that start
-        b1, b2 = (np.where(self.begins, first, np.r_[0, c[:-1]]) for c in (c1, c2))
-        p = (c1 + mu / PLACES) / (n - np.where(leave, self.sizes[self.document], 0) + mu)
-        p = (c2 + mu * p) / (b1 + mu)
-        return -np.log((c3 + mu * p) / (b2 + mu))
+        context = n - np.where(leave, self.sizes[self.document], 0)
+        p = 1 / PLACES
+        for at, o in zip(self.at, own):
+            c = total[at] - np.where(leave, o, 0)
+            p = (c + mu * p) / (context + mu)
+            # the next context is the n-gram that ends a token earlier; each text starts once
+            context = np.where(self.begins, documents - leave, np.r_[0, c[:-1]])
+        return -np.log(p)
 
 
 def _pack(keys: list[str]):
-    """Slices of the documents, a row each: the other columns, tokens, and sums of tokens and documents."""
-    names = ["slice", "docs", "member", "sizes", "tokens", "totals"]
+    """Slices of the documents, a row each: the other columns, and tokens."""
 
-    def close(slice_id: int, docs: list[pa.StructArray], texts: list[str | None], member: list[bool]) -> pa.RecordBatch:
+    def close(slice_id: int, docs: list[pa.StructArray], texts: list[str | None]) -> pa.RecordBatch:
         hashed = WordHash()
         ids, sizes = [], []
         for text in texts:
@@ -151,54 +150,51 @@ def _pack(keys: list[str]):
                 ids.append(np.array([END], np.uint64))
             sizes.append(len(w) + bool(w))
         tokens = np.concatenate([*ids, np.zeros(0, np.uint64)])
-        size, flag = np.array(sizes, np.int64), np.array(member, bool)
-        totals = [len(tokens), int(size[flag].sum()), int((size > 0).sum()), int((size[flag] > 0).sum())]
         rows = pa.concat_arrays(docs)
         listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-        cells = [flag.tobytes(), _planes(size), _planes(tokens, 3)]
-        arrays = [pa.array([slice_id]), listed, *(pa.array([c], pa.binary()) for c in cells)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([totals], pa.list_(pa.int64()))], names=names)
+        arrays = [pa.array([slice_id]), listed, pa.array([sizes], pa.list_(pa.int64())), pa.array([_planes(tokens, 3)], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["slice", "docs", "sizes", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slice_id = TaskContext.get().partitionId() << 40
         docs: list[pa.StructArray] = []
         texts: list[str | None] = []
-        member: list[bool] = []
         held = 0
         for batch in batches:
             own = [batch.column(i) for i in range(len(keys))] or [pa.nulls(batch.num_rows, pa.int8())]
             rows = pa.StructArray.from_arrays(own, names=[f"k{i}" for i in range(len(own))])
-            target = batch.column(len(keys) + 1)
             begin = 0
             for i, text in enumerate(batch.column(len(keys))):
                 t = text.as_py()
                 texts.append(t)
-                member.append(bool(target[i].as_py()))
                 held += len(t or "") // 6 + 1  # about its tokens
                 if held >= SLICE_TOKENS:
                     docs.append(rows.slice(begin, i + 1 - begin))
-                    yield close(slice_id, docs, texts, member)
-                    slice_id, docs, texts, member, held, begin = slice_id + 1, [], [], [], 0, i + 1
+                    yield close(slice_id, docs, texts)
+                    slice_id, docs, texts, held, begin = slice_id + 1, [], [], 0, i + 1
             if begin < batch.num_rows:
                 docs.append(rows.slice(begin))
         if texts:
-            yield close(slice_id, docs, texts, member)
+            yield close(slice_id, docs, texts)
 
     return run
 
 
-def _open(row: dict, buckets: int) -> tuple[Slice, np.ndarray]:
-    return Slice(_numbers(row["tokens"], 3), _numbers(row["sizes"]), buckets), np.frombuffer(row["member"], bool)
+def _open(row: dict, order: int, buckets: int) -> tuple[Slice, np.ndarray]:
+    sizes = np.array(row["sizes"], np.int64)
+    member = np.zeros(len(sizes), bool)
+    member[row["targets"] or []] = True
+    return Slice(_numbers(row["tokens"], 3), sizes, order, buckets), member
 
 
-def _ask(buckets: int):
+def _ask(order: int, buckets: int):
     """A row for each bucket that a slice asks: the n-grams' hashes and the slice's own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                s, member = _open(row, buckets)
+                s, member = _open(row, order, buckets)
                 n, target = s.counts(), s.counts(member[s.document])
                 edges = [*np.flatnonzero(np.r_[True, s.bucket[1:] != s.bucket[:-1]]).tolist(), len(s.grams)] if len(s.grams) else [0]
                 spans = list(zip(edges[:-1], edges[1:]))
@@ -230,13 +226,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*who, *out], names=["slice", "bucket", "n", "n_target"])
 
 
-def _score(totals: list[int], buckets: int, keys: list[str], mu: float):
+def _score(totals: list[int], order: int, buckets: int, keys: list[str], mu: float):
     n_tokens, n_target, n_docs, n_target_docs = totals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "slice"):
             answers = t.slice(1)
-            s, member = _open({c: t.column(c)[0].as_py() for c in ("member", "sizes", "tokens")}, buckets)
+            s, member = _open({c: t.column(c)[0].as_py() for c in ("targets", "sizes", "tokens")}, order, buckets)
             own, everyone = s.own(), np.ones(len(member), bool)
             losses = []
             for name, who, n, documents in (("n", everyone, n_tokens, n_docs), ("n_target", member, n_target, n_target_docs)):
@@ -253,28 +249,48 @@ def _score(totals: list[int], buckets: int, keys: list[str], mu: float):
     return run
 
 
-def score(documents: DataFrame, is_target: Column, mu: float = 5.0) -> DataFrame:
+def score(
+    documents: DataFrame, targets: DataFrame | None = None, key: str = "doc_id", order: int = 2, mu: float = 5.0
+) -> DataFrame:
     """The documents' columns but the text, with n_tokens, ce_background, ce_target and their difference, score.
 
-    n_tokens counts words; the losses are means over these and the end of the text.
+    targets has the ids of the target documents in its column `key`. n_tokens counts words; the losses are means over
+    these and the end of the text.
     """
     keys = [c for c in documents.columns if c != "text"]
     new_columns(keys, ADDED)
     kinds = dict(documents.dtypes)
-    marked = documents.select(*keys, "text", F.coalesce(is_target, F.lit(False)).alias("is_target"))
     size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = 1 + size // BUCKET_BYTES
-    docs = f"array<struct<{', '.join(f'k{i}: {kinds[c]}' for i, c in enumerate(keys)) or 'k: tinyint'}>>"
-    cells = "member binary, sizes binary, tokens binary"
-    packed = materialize(marked.mapInArrow(_pack(keys), f"slice bigint, docs {docs}, {cells}, totals array<bigint>"))
-    sums = packed.agg(*(F.coalesce(F.sum(F.get("totals", F.lit(k))), F.lit(0)) for k in range(4))).first()
-    asked = packed.select("slice", "member", "sizes", "tokens").mapInArrow(
-        _ask(buckets), "slice bigint, bucket bigint, grams binary, counts binary"
+    docs = f"array<struct<{', '.join(f'k{i}: {kinds[c]}' for i, c in enumerate(keys)) or 'k0: tinyint'}>>"
+    packed = materialize(
+        documents.select(*keys, "text").mapInArrow(_pack(keys), f"slice bigint, docs {docs}, sizes array<bigint>, tokens binary")
+    )
+    if targets is None:
+        marked = packed.withColumn("targets", F.lit(None).cast("array<int>"))
+    else:
+        ids = packed.select("slice", F.posexplode(F.transform("docs", lambda d: d[f"k{keys.index(key)}"])).alias("at", "id"))
+        known = targets.select(F.col(key).alias("id")).distinct()
+        flags = ids.join(known, "id", "left_semi").groupBy("slice").agg(F.collect_list("at").alias("targets"))
+        marked = materialize(packed.join(flags, "slice", "left"))
+        release(packed)
+    its = F.transform(F.coalesce("targets", F.array().cast("array<int>")), lambda i: F.get("sizes", i))
+    sums = marked.agg(*(F.coalesce(F.sum(f(x)), F.lit(0)) for f, x in ((_total, F.col("sizes")), (_total, its), (_filled, F.col("sizes")), (_filled, its)))).first()
+    asked = marked.select("slice", "targets", "sizes", "tokens").mapInArrow(
+        _ask(order, buckets), "slice bigint, bucket bigint, grams binary, counts binary"
     )
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _answer, "slice bigint, bucket bigint, n binary, n_target binary"
     )
-    heads = packed.select("slice", F.lit(-1).cast("bigint").alias("bucket"), "docs", "member", "sizes", "tokens")
+    heads = marked.select("slice", F.lit(-1).cast("bigint").alias("bucket"), "docs", "targets", "sizes", "tokens")
     both = heads.unionByName(answers, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "bucket")
     out = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n_tokens bigint", *(f"{n} double" for n in ADDED[1:])])
-    return both.mapInArrow(_score(list(sums), buckets, keys, mu), out)
+    return both.mapInArrow(_score([int(x) for x in sums], order, buckets, keys, mu), out)
+
+
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _filled(sizes: Column) -> Column:
+    return F.size(F.filter(sizes, lambda x: x > 0))

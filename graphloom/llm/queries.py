@@ -23,11 +23,13 @@ def edit_log(text: Column) -> Column:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 over `documents`: trees of all texts, then three edits of each (see edit_log)."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_edited(documents.withColumn("edits", edit_log(F.col("text"))))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2: `documents` against the windows of `benchmark`."""
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
@@ -41,6 +43,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over `documents`: the ledger under the policies base-1 and full-1."""
     found = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = rules.apply_policy(found, "base-1").withColumnRenamed("kept", "base_kept").drop("policy")
     return rules.apply_policy(base, "full-1").select(
@@ -60,13 +63,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4 over `documents`; targets are those that a label calls good and none toxic."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(good).alias("is_target"))
-    marked = documents.join(labels, "doc_id", "left")
-    return lm.score(marked.withColumnRenamed("is_target", "label"), F.col("label")).drop("label")
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return lm.score(documents, good)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over `documents`; scores are those of the spans, in their order."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = [
         F.size(pii.of_kinds(F.col("pii"), [k])).cast("bigint").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")
@@ -76,10 +78,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *n,
         F.sha2(pii.spans_text(pii.of_kinds(F.col("pii"), pii.BASE)), 256).alias("base_sha256"),
         pii.spans_text(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda x: x["score"].cast("decimal(3,2)").cast("string")), ",").alias("scores"),
     )
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6: fitted on `labels` outside the held-out fold, scores all of `documents`."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality.train(documents, table(spark, sf_dir, "labels"))
     return quality.classify(documents, forest).select(
@@ -91,14 +95,17 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over `documents`: five words, similarity of 0.8 or more."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over `documents`; the ids themselves are left out, their digest stays."""
     return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9: fitted outside the held-out fold, predicts the language of all of `documents`."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(documents)
     return langid.identify(documents.select("doc_id", "text"), model).select(
@@ -110,6 +117,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over `documents`: lines of five words and more."""
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         "n_lines",
