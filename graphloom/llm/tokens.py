@@ -8,21 +8,28 @@ Why that is exact: where a match of the pre-token pattern ends depends on the te
 than LOOK characters past its end. So pre-tokens that end more than LOOK characters before an edit stay, and once a
 boundary behind the edit coincides with an old one, all later pre-tokens stay too.
 
+Trees are kept: `segment` gives each document its leaves (their characters and tokens) as columns that can be written
+like any others, and `apply_edits` takes them from there. It encodes what edits touch and nothing else, and gives back
+the leaves of the edited text for the next edits.
+
 An edit is (start, end, text) in code points of the text as earlier edits left it; places outside it are moved to
-its ends. A null text is an empty one; a null or empty list of edits changes nothing.
+its ends. A null text is an empty one, a long one is taken whole; a null or empty list of edits changes nothing. Repeated
+rows are counted alike, an empty table gives an empty one, and rows are returned one for one. Other columns keep their
+values, but none may have the name of one that is added.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import map_batches
+from graphloom.llm.common import map_batches, new_columns
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that this vocabulary was made with (a fixed value).
@@ -50,10 +57,16 @@ class Counter(dict):
 class TokenTree:
     """Pre-tokens in blocks of about LEAVES, below a binary tree of (characters, tokens) sums."""
 
-    def __init__(self, pieces: list[str], counter: Counter):
+    def __init__(self, pieces: list[str], counter: Counter, counts: list[int] | None = None):
         self.counter = counter
-        self.encoded = len(pieces)
-        self._build(pieces, list(map(counter.__getitem__, pieces)))
+        self.encoded = 0  # pre-tokens that edits made it encode
+        self._build(pieces, list(map(counter.__getitem__, pieces)) if counts is None else counts)
+
+    @classmethod
+    def of_leaves(cls, text: str, chars: list[int], counts: list[int], counter: Counter) -> TokenTree:
+        """The tree of a text whose leaves are known: nothing is encoded."""
+        ends = list(accumulate(chars))
+        return cls([text[e - n : e] for e, n in zip(ends, chars)], counter, counts)
 
     def _build(self, pieces: list[str], counts: list[int]) -> None:
         starts = range(0, len(pieces) or 1, LEAVES)
@@ -169,35 +182,84 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def count_edited(documents: DataFrame, edits: str = "edits", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Counts before and after a column of edits, array<struct<start:int,end:int,text:string>>, applied in order.
+#: Columns of a tree's leaves, and of the counts that edits give.
+LEAF_COLUMNS = ["leaf_chars", "leaf_tokens", "n_tokens"]
+COUNTS = ["n_pretokens", "n_tokens", "n_edits", "n_tokens_after", "n_reencoded"]
 
-    Returns the other columns with n_pretokens, n_tokens, n_edits, n_tokens_after, and n_reencoded: the pre-tokens
-    that the edits made it encode. The vocabulary is read once, on the driver, and its ranks are sent to the tasks.
-    """
-    keys = [c for c in documents.columns if c not in ("text", edits)]
-    kinds = dict(documents.dtypes)
-    counts = ["n_pretokens", "n_tokens", "n_edits", "n_tokens_after", "n_reencoded"]
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{c} bigint" for c in counts)])
+
+def _counter(documents: DataFrame, vocabulary: str):
+    """Makes a Counter in a task; the vocabulary is read once, on the driver, and its ranks are sent to the tasks."""
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    return lambda: Counter(ranks.value)
+
+
+def segment(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The documents with leaf_chars and leaf_tokens, array<int>, of their pre-tokens, and n_tokens."""
+    keys = documents.columns
+    new_columns(keys, LEAF_COLUMNS)
+    kinds = dict(documents.dtypes)
+    counter_of = _counter(documents, vocabulary)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        counter = Counter(ranks.value)
+        counter = counter_of()
 
-        def one(text: str | None, log: list[dict] | None) -> tuple[int, ...]:
-            pieces = counter.find(text or "")
-            tree = TokenTree(pieces, counter)
-            before = tree.n_tokens
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            leaves = [counter.find(t or "") for t in batch.column("text").to_pylist()]
+            counts = [list(map(counter.__getitem__, x)) for x in leaves]
+            cols = [
+                pa.array([list(map(len, x)) for x in leaves], pa.list_(pa.int32())),
+                pa.array(counts, pa.list_(pa.int32())),
+                pa.array(list(map(sum, counts)), pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*keys, *LEAF_COLUMNS])
+
+        return run
+
+    schema = [*(f"`{k}` {kinds[k]}" for k in keys), "leaf_chars array<int>, leaf_tokens array<int>, n_tokens bigint"]
+    return map_batches(documents, make, ", ".join(schema))
+
+
+def apply_edits(trees: DataFrame, edits: str = "edits", vocabulary: str = VOCABULARY, keep: bool = True) -> DataFrame:
+    """What edits do to segmented documents: array<struct<start:int,end:int,text:string>>, applied in order.
+
+    Returns the other columns with n_pretokens and n_tokens before, n_edits, n_tokens_after, and n_reencoded, the pre-tokens
+    that the edits made it encode; and, to keep them, the edited text with its leaves (leaf_chars, leaf_tokens).
+    """
+    keys = [c for c in trees.columns if c not in ("text", edits, *LEAF_COLUMNS)]
+    kept = ["text", "leaf_chars", "leaf_tokens"] if keep else []
+    new_columns(keys, [*COUNTS, *kept])
+    kinds = dict(trees.dtypes)
+    counter_of = _counter(trees, vocabulary)
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        counter = counter_of()
+
+        def one(text: str | None, chars: list[int], counts: list[int], log: list[dict] | None) -> tuple:
             log = [e for e in log or [] if e is not None]
+            if not log:
+                return len(chars), sum(counts), 0, sum(counts), 0, text, chars, counts
+            tree = TokenTree.of_leaves(text or "", chars, counts, counter)
             for e in log:
                 tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
-            return len(pieces), before, len(log), tree.n_tokens, tree.encoded - len(pieces)
+            numbers = len(chars), sum(counts), len(log), tree.n_tokens, tree.encoded
+            if not keep:
+                return numbers
+            leaves = [len(x) for b in tree.blocks for x in b], [n for b in tree.counts for n in b]
+            return *numbers, tree.text, *leaves
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [one(*x) for x in zip(batch.column("text").to_pylist(), batch.column(edits).to_pylist())]
-            cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(len(counts))]
-            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], names=keys + counts)
+            got = [one(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", edits)))]
+            types = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate(types[: len(COUNTS) + len(kept)])]
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], names=[*keys, *COUNTS, *kept])
 
         return run
 
-    return map_batches(documents, make, schema)
+    schema = [*(f"`{k}` {kinds[k]}" for k in keys), *(f"{c} bigint" for c in COUNTS)]
+    schema += ["text string, leaf_chars array<int>, leaf_tokens array<int>"] * keep
+    return map_batches(trees, make, ", ".join(schema))
+
+
+def count_edited(documents: DataFrame, edits: str = "edits", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Counts before and after edits of documents without leaves: segmented first, then edited."""
+    return apply_edits(segment(documents, vocabulary), edits, vocabulary, keep=False)
