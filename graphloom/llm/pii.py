@@ -14,7 +14,9 @@ in linear time and no long run overflows the matcher's stack; the matches are th
     local  ten digits written as a phone number       a context word must stand before it
 
 The first four are the base kinds: they are reported whatever their score. The others need a score of
-`threshold`. A null text has no spans, and rows are returned one for one.
+`threshold`, and no base span may touch them. A null or empty text has no spans, a long one is read whole, equal rows
+give equal spans, and an empty table gives an empty one. Rows are returned one for one with all their columns, none of
+which may be called `pii`.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import new_columns
+
 KINDS = ["email", "ip", "card", "phone", "iban", "local"]
 BASE = KINDS[:4]
 
@@ -91,58 +95,80 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+#: Matches whose places are added up at a time, so that long lists aren't copied for each of their entries.
+BLOCK = 64
+
+
 def _spans(kind: str) -> Column:
     """Valid matches of a kind as SPANs, from its matches m_<kind> and the pieces between them p_<kind>."""
     words, low, high = CONTEXT[kind]
+    none = F.array().cast(f"array<{SPAN}>")
+    n = F.size(f"m_{kind}")
 
     def step(a: Column, i: Column) -> Column:
         piece, m = F.get(F.col(f"p_{kind}"), i), F.get(F.col(f"m_{kind}"), i)
         start = a["at"] + F.char_length(piece)
         end = start + F.char_length(m)
-        score = F.when(F.lower(F.right(piece, F.lit(NEAR))).rlike(words), high).otherwise(low)
+        near = F.right(F.concat(a["tail"], piece), F.lit(NEAR))
+        score = F.when(F.lower(near).rlike(words), high).otherwise(low)
         span = F.struct(
             start.alias("start"), F.lit(KINDS.index(kind)).alias("k"), end.alias("end"), score.alias("score")
         )
         return F.struct(
             end.alias("at"),
             F.when(_valid(kind, m), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"),
+            F.right(F.concat(near, m), F.lit(NEAR)).alias("tail"),
         )
 
-    none = F.array().cast(f"array<{SPAN}>")
-    n = F.size(f"m_{kind}")
-    found = F.aggregate(
-        F.sequence(F.lit(0), n - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"]
-    )
-    return F.when(n > 0, found).otherwise(none)
+    def block(first: Column) -> Column:
+        """The matches from one on, with places counted from the front of its piece."""
+        own = F.sequence(first, F.least(first + BLOCK - 1, n - 1))
+        k = F.least(first, F.lit(NEAR // 4))  # a match has five characters or more
+        last = F.zip_with(F.slice(f"p_{kind}", first - k + 1, k), F.slice(f"m_{kind}", first - k + 1, k), lambda a, b: F.concat(a, b))
+        tail = F.right(F.array_join(last, ""), F.lit(NEAR))
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), none.alias("out"), tail.alias("tail")), step)
+
+    def place(a: Column, x: Column) -> Column:
+        moved = F.transform(
+            x["out"],
+            lambda y: F.struct((y["start"] + a["at"]).alias("start"), y["k"].alias("k"), (y["end"] + a["at"]).alias("end"), y["score"].alias("score")),
+        )
+        return F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(moved)).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(BLOCK)), block)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+    return F.when(n > 0, F.flatten(F.aggregate(blocks, start, place, lambda a: a["out"]))).otherwise(none)
 
 
 def find_pii(documents: DataFrame, text: str = "text", threshold: float = 0.6) -> DataFrame:
     """The documents with `pii`, an array of (kind, start, end, score) by start, then kind as listed."""
-    body = F.col(text)
+    kept = documents.columns
+    new_columns(kept, ["pii"])
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
+    body = F.col("row").getField(text)
     matches, pieces = {}, {}
     none = F.array().cast("array<string>")
     for kind in KINDS:
         gate = F.contains(body, F.lit(GATES[kind])) if kind in GATES else body.rlike("[0-9]")
         matches[f"m_{kind}"] = F.when(gate, F.regexp_extract_all(body, F.lit(PATTERNS[kind]), 0)).otherwise(none)
         pieces[f"p_{kind}"] = F.when(F.size(f"m_{kind}") > 0, F.split(body, PATTERNS[kind], -1)).otherwise(none)
-    kept = documents.columns
-    found = documents.withColumns(matches).withColumns(pieces)
-    found = found.select(*kept, *(_spans(k).alias(f"s_{k}") for k in KINDS))
+    found = rows.withColumns(matches).withColumns(pieces)
+    found = found.select("row", *(_spans(k).alias(f"s_{k}") for k in KINDS))
     base = F.concat(*(F.col(f"s_{k}") for k in BASE))
     extra = F.concat(*(F.col(f"s_{k}") for k in KINDS[4:]))
 
     def clear(x: Column) -> Column:
         """Scored high enough and apart from every base span."""
-        apart = F.forall(F.col("_base"), lambda b: (b["end"] <= x["start"]) | (b["start"] >= x["end"]))
+        apart = F.forall(F.col("base"), lambda b: (b["end"] <= x["start"]) | (b["start"] >= x["end"]))
         return (x["score"] >= threshold) & apart
 
     named = F.transform(
-        F.array_sort(F.concat("_base", F.filter("_extra", clear))),
+        F.array_sort(F.concat("base", F.filter("extra", clear))),
         lambda x: F.struct(
             F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1).alias("kind"), x["start"], x["end"], x["score"]
         ),
     )
-    return found.select(*kept, base.alias("_base"), extra.alias("_extra")).select(*kept, named.alias("pii"))
+    return found.select("row", base.alias("base"), extra.alias("extra")).select("row", named.alias("pii")).select("row.*", "pii")
 
 
 def spans_text(spans: Column) -> Column:
