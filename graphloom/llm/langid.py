@@ -10,7 +10,10 @@ the alphabet is bounded. The model is fitted on at most `max_rows` documents wit
 each, chosen by a hash of their id, and at most `max_chars` characters (see `train`); every document is scored over
 its whole text.
 
-A text that is null or has no letter gets `und` with score 0. Without a single document to learn from, all do.
+A text that is null or has no letter gets `und` with score 0. Without a single document to learn from, all do. Of equal
+margins the language that comes first by name is taken; repeated rows are learned from as often as they are taken and
+are predicted alike; an empty table gives an empty one. Other columns keep their values, but none may have the name of
+one that is added.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_batches
+from graphloom.llm.common import map_batches, new_columns
 from graphloom.llm.quality import fold
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -44,6 +47,8 @@ def grams(text: str) -> list[np.ndarray]:
 
 
 N_CODES = SIZE + SIZE**2 + SIZE**3
+#: Numbers of a presence matrix that are held at once.
+DENSE = 1 << 24
 
 
 @dataclass
@@ -64,7 +69,10 @@ class Model:
         return x / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
 
     def margins(self, texts: list[str]) -> np.ndarray:
-        return (self.presence(texts) @ self.landmarks) @ self.weights + self.bias
+        """Batched products, of as many texts at a time as DENSE numbers hold."""
+        n = max(1, DENSE // (self.width + 1))
+        parts = [(self.presence(texts[a : a + n]) @ self.landmarks) @ self.weights for a in range(0, len(texts), n)]
+        return np.concatenate(parts) + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score (share of the winner's margin in a softmax) of each text."""
@@ -96,8 +104,9 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 160, ridge: float =
     by = {name: [i for i, x in enumerate(langs) if x == name] for name in languages}
     order = [by[n][k] for k in range(max(map(len, by.values()))) for n in languages if k < len(by[n])]
     model.landmarks = np.ascontiguousarray(model.presence([texts[i] for i in order[:landmarks]]).T)
+    step = max(1, DENSE // (width + 1))
     kernel = np.concatenate(
-        [model.presence(texts[a : a + 256]) @ model.landmarks for a in range(0, len(texts), 256)]
+        [model.presence(texts[a : a + step]) @ model.landmarks for a in range(0, len(texts), step)]
     ).astype(np.float64)
     own = kernel[np.array(order[:landmarks])]
     values, vectors = np.linalg.eigh((own + own.T) / 2)
@@ -127,12 +136,17 @@ def train(documents: DataFrame, max_rows: int = 4_000, max_chars: int = 20_000_0
     )
     n_langs = max(1, known.agg(F.count_distinct("lang")).first()[0])
     share, chars = max(1, max_rows // n_langs), max(1, max_chars // n_langs)
-    ids = known.select("doc_id", "lang", F.char_length("text").alias("n"), F.xxhash64("doc_id").alias("h"))
+    h = F.xxhash64("doc_id")
+    ids = known.select("doc_id", "lang", F.char_length("text").alias("n"), h.alias("h"))
     order = [F.col("n") > chars, F.col("h"), F.col("doc_id")]
-    # the share of each language by hash; a first cut by task keeps the window small
-    part = ids.withColumn("part", F.spark_partition_id())
-    near = part.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
-    near = near.where(F.col("r") <= share)
+    # a language's share by hash: rows beyond about twice the share in that order can't be in it and aren't sent
+    sizes = ids.groupBy("lang").agg(F.sum((F.col("n") <= chars).cast("long")).alias("fit"), F.count("*").alias("all"))
+    low = F.col("h").cast("double") / 2.0**64 + 0.5  # the hash's place among all hashes, 0 to 1
+    room = F.lit(2.0 * share + 200)
+    fits = F.when(F.col("n") <= chars, low * F.col("fit") <= room).otherwise(
+        (F.col("fit") < share) & (low * (F.col("all") - F.col("fit")) <= room)
+    )
+    near = ids.join(F.broadcast(sizes), "lang").where(fits).drop("fit", "all")  # one row a language
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     by_length = Window.partitionBy("lang").orderBy("n", "h", "doc_id")
     chosen = ranked.where(F.col("r") <= share).select(
@@ -148,6 +162,7 @@ def train(documents: DataFrame, max_rows: int = 4_000, max_chars: int = 20_000_0
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """The documents' columns but the text, with lang_pred and score; rows are returned one for one."""
     keys = [c for c in documents.columns if c != "text"]
+    new_columns(keys, ["lang_pred", "score"])
     kinds = dict(documents.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "lang_pred string", "score double"])
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded: max_rows texts, N_CODES codes
