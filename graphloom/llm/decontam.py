@@ -6,8 +6,9 @@ necessary prefix is one token: the rarest. Documents meet windows on that token
 gives where the window would have to start, the document's length and that position bound it, and the
 words of that item-sized window are then compared one by one.
 
-Null or wordless texts have no words and no hits. Items with a null id or without words are left out. A document
-row that occurs n times is returned n times.
+Null or wordless texts have no words and no hits, long ones are searched whole. Items with a null id or without words
+are left out, and items that share a window each have it. A document row that occurs n times is returned n times, an
+empty table of either kind gives no hits. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,16 +42,20 @@ def item_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
     )
 
 
-def word_counts(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def word_counts(documents: DataFrame, vocabulary: DataFrame, few: bool) -> DataFrame:
     """How often each word of `vocabulary` occurs in all the documents: (word, df)."""
     said = documents.select(F.explode(words(F.col("text"))).alias("word"))
-    if vocabulary.count() <= BROADCAST_WORDS:
+    if few:
         return said.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("df"))
     return said.groupBy("word").agg(F.count("*").alias("df")).join(vocabulary, "word")
 
 
-def anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each window with its rarest token and that token's place; windows with a token in no document go."""
+def anchors(windows: DataFrame, counts: DataFrame, few: bool = False) -> DataFrame:
+    """Each window with its rarest token and that token's place; windows with a token in no document go.
+
+    If the counted words are few, they are sent to all windows: no window's words are dealt by a frequent one then.
+    """
+    counts = F.broadcast(counts) if few else counts
     spread = windows.select("win", "items", "n", F.posexplode("win").alias("off", "word"))
     rated = spread.join(counts, "word", "left").select(
         "win", "items", "n", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "off").alias("rank")
@@ -86,7 +91,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     """
     windows = item_windows(benchmark, window)
     vocabulary = windows.select(F.explode("win").alias("word")).distinct()
-    found = materialize(anchors(windows, word_counts(documents, vocabulary)))
+    few = vocabulary.count() <= BROADCAST_WORDS
+    found = materialize(anchors(windows, word_counts(documents, vocabulary, few), few))
     blocks = max(1, -(-found.count() // BLOCK_WINDOWS))
     base = documents.select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), words(F.col("text")).alias("w")
