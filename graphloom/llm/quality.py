@@ -4,8 +4,10 @@ Trees are grown level by level on binned features and flattened into arrays, one
 so that scoring a batch walks all trees at once in numpy. The model is fitted on the driver from at most
 `max_rows` labelled documents, chosen by a hash of their id; scoring covers every document.
 
-A null text is an empty one and gets the score of its (zero) statistics. Labels that contradict each other or
-repeat count as often as they stand. Without any label, every score is 1.0: nothing is rejected.
+A null text is an empty one and gets the score of its (zero) statistics; a long one is measured whole. Labels that
+contradict each other or repeat count as often as they stand, repeated documents too; of equal splits the first feature
+and the lowest cut are taken. Without any label, every score is 1.0: nothing is rejected. An empty table gives an empty
+one. Other columns keep their values, but none may be called `score`.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_batches
+from graphloom.llm.common import map_batches, new_columns
 from graphloom.llm.textstats import measure
 
 FOLDS = 5
@@ -135,6 +137,7 @@ def _featured(documents: DataFrame, keys: list[str], forest: Forest | None) -> D
     """Keys (the text may be one) with `x`, the features, or with `score` if there is a forest."""
     kinds = dict(documents.dtypes)
     value = "score double" if forest else "x array<double>"
+    new_columns(keys, [value.split()[0]])
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), value])
 
     def make():
@@ -154,7 +157,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Fo
     known = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
     chosen = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = _featured(texts, ["doc_id", "quality"], None).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = _featured(texts, ["doc_id", "quality"], None).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(max_rows)
     got = rows.toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, N_FEATURES)
     return fit(x, np.array(got.column("quality").to_pylist(), np.float64))

@@ -4,7 +4,9 @@
 new version of it, or leaving a rule out, needs no second look at any text: `apply_policy` is a bitwise test, and
 `ablation` counts the documents by their masked bits and derives what each rule does alone.
 
-A null text is an empty one: it has no words and fails `few_words`. Rows are returned one for one.
+A null text is an empty one: it has no words and fails `few_words`. A long text is measured whole. Rows are returned
+one for one, equal ones with equal bits, and an empty table gives an empty one. Other columns keep their values, but
+none may have the name of one that is added.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_batches
+from graphloom.llm.common import map_batches, new_columns
 from graphloom.llm.textstats import measure
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower",
@@ -53,6 +55,7 @@ POLICIES = {
 def ledger(documents: DataFrame, text: str = "text") -> DataFrame:
     """The key columns given besides `text`, with all measurements and failure_bits."""
     keys = [c for c in documents.columns if c != text]
+    new_columns(keys, [*MEASURES, "failure_bits"])
     fields = [f.simpleString() for f in documents.select(*keys).schema.fields]
     schema = ", ".join([f"`{k}` {s.split(':', 1)[1]}" for k, s in zip(keys, fields)] + [f"{m} bigint" for m in MEASURES])
 
@@ -75,6 +78,7 @@ def ledger(documents: DataFrame, text: str = "text") -> DataFrame:
 def apply_policy(rows: DataFrame, version: str) -> DataFrame:
     """The ledger with `policy`, and `kept`: whether none of the policy's rules failed."""
     mask = F.lit(POLICIES[version]).cast("bigint")
+    new_columns(rows.columns, ["policy", "kept"])
     return rows.withColumn("policy", F.lit(version)).withColumn("kept", F.col("failure_bits").bitwiseAND(mask) == 0)
 
 

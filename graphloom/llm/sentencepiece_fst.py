@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import map_batches
+from graphloom.llm.common import map_batches, new_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -356,6 +356,7 @@ def encode_documents(documents: DataFrame, model: str = MODEL, ids: bool = True)
     keys = [c for c in documents.columns if c != "text"]
     kinds = dict(documents.dtypes)
     names = [*keys, "n_tokens", "ids_sha256", "round_trip", *["token_ids"] * ids]
+    new_columns(keys, names[len(keys) :])
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n_tokens bigint, ids_sha256 string, round_trip boolean"])
     with open(model, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
