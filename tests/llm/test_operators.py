@@ -52,19 +52,52 @@ def test_token_tree_follows_edits():
             assert tree.n_tokens == len(counter.encoding.encode_ordinary(text))
 
 
+def edited(text, log):
+    for start, end, new in log:
+        s = min(max(0, start), len(text))
+        text = text[:s] + new + text[min(max(s, end), len(text)) :]
+    return text
+
+
 def test_token_counts(documents, rows, empty):
     from graphloom.llm.queries import edit_log
 
     counter = tokens.Counter(tokens.read_ranks(tokens.VOCABULARY))
-    got = tokens.count_edited(documents.select("doc_id", "text", "n").withColumn("edits", edit_log(F.col("text"))))
-    want = Counter((r[0], len(counter.encoding.encode_ordinary(r[1] or ""))) for r in rows)
-    assert Counter((r.doc_id, r.n_tokens) for r in got.collect()) == want
-    log = F.lit(None).cast("array<struct<start:int,end:int,text:string>>")
-    same = tokens.count_edited(documents.select("doc_id", "text").withColumn("edits", log)).collect()
-    assert all(r.n_tokens == r.n_tokens_after and r.n_edits == 0 for r in same)
+
+    def plain(text):
+        return len(counter.encoding.encode_ordinary(text))
+
+    def log(text):
+        n = len(text)
+        return [(n // 4, n // 4 + 12, ""), (n // 2, n // 2, " [edited] "), (3 * n // 4, 3 * n // 4 + 5, "\u00e9 ")]
+
+    got = tokens.count_edited(documents.select("doc_id", "text", "n").withColumn("edits", edit_log(F.col("text")))).collect()
+    want = Counter((r[0], plain(r[1] or ""), plain(edited(r[1] or "", log(r[1] or "")))) for r in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.n_tokens_after) for r in got) == want
+    assert all(r.n_reencoded < 60 for r in got) and max(r.n_pretokens for r in got) > 4000
+    none = F.lit(None).cast("array<struct<start:int,end:int,text:string>>")
+    same = tokens.count_edited(documents.select("doc_id", "text").withColumn("edits", none)).collect()
+    assert all(r.n_tokens == r.n_tokens_after and r.n_edits == 0 and not r.n_reencoded for r in same)
     assert tokens.count_edited(empty.select("doc_id", "text").withColumn("edits", edit_log(F.col("text")))).count() == 0
 
 
+def test_token_trees_are_kept(documents, rows):
+    """Edits of a written table of trees, twice: no text is encoded anew, and the leaves are those of the edited text."""
+    from graphloom.llm.queries import edit_log
+
+    counter = tokens.Counter(tokens.read_ranks(tokens.VOCABULARY))
+    trees = tokens.segment(documents.where("doc_id IS NOT NULL").select("doc_id", "text").distinct())
+    for _ in range(2):
+        trees = tokens.apply_edits(trees.withColumn("edits", edit_log(F.col("text")))).cache()
+        for r in trees.collect():
+            leaves = counter.find(r.text or "")
+            assert r.leaf_chars == list(map(len, leaves)) and r.leaf_tokens == [counter[x] for x in leaves]
+            assert sum(r.leaf_tokens) == r.n_tokens_after
+        trees = trees.select("doc_id", "text", "leaf_chars", "leaf_tokens", F.col("n_tokens_after").alias("n_tokens"))
+    with pytest.raises(ValueError, match="n_tokens"):
+        tokens.segment(documents.withColumn("N_Tokens", F.lit(1)))
+
+
 # -- 2
 
 
@@ -159,42 +192,45 @@ def test_ablation(documents):
 # -- 4
 
 
-def plain_scores(rows, mu=5.0):
+def plain_scores(rows, order, mu=5.0):
     """(doc_id, n_tokens, ce_background, ce_target) of (doc_id, text, is_target) rows, counting without the row itself."""
     docs = []
     for _, text, _ in rows:
         w = [xxhash.xxh64_intdigest(x) % lm.PLACES for x in byte_words(text)]
-        docs.append(["s", "s", *w, "e"] if w else [])
-    grams = [[tuple(d[i - k : i + 1]) for i in range(2, len(d)) for k in range(3)] for d in docs]
+        docs.append(["s"] * order + [*w, "e"] if w else [])
+    grams = [[tuple(d[i - k : i + 1]) for i in range(order, len(d)) for k in range(order)] for d in docs]
     out = []
     for me, (doc_id, _, is_target) in enumerate(rows):
         means = []
         for model in range(2):
             others = [k for k in range(len(rows)) if k != me and (model == 0 or rows[k][2])]
             c = Counter(g for k in others for g in grams[k])
-            c["s",] = c["s", "s"] = sum(bool(docs[k]) for k in others)
-            n = sum(max(0, len(docs[k]) - 2) for k in others)
+            for k in range(1, order):
+                c[("s",) * k] = sum(bool(docs[k]) for k in others)
+            c[()] = sum(max(0, len(docs[k]) - order) for k in others)
 
-            def loss(a, b, x):
-                p = (c[x,] + mu / lm.PLACES) / (n + mu)
-                p = (c[b, x] + mu * p) / (c[b,] + mu)
-                return -np.log((c[a, b, x] + mu * p) / (c[a, b] + mu))
+            def loss(g):
+                p = 1 / lm.PLACES
+                for k in range(1, order + 1):
+                    p = (c[g[-k:]] + mu * p) / (c[g[-k:-1]] + mu)
+                return -np.log(p)
 
             d = docs[me]
-            means.append(np.mean([loss(*d[i - 2 : i + 1]) for i in range(2, len(d))]) if d else None)
-        out.append((doc_id, max(0, len(docs[me]) - 3), *means))
+            means.append(np.mean([loss(tuple(d[i - order + 1 : i + 1])) for i in range(order, len(d))]) if d else None)
+        out.append((doc_id, max(0, len(docs[me]) - order - 1), *means))
     return out
 
 
 def test_lm_scores(spark, documents, rows, empty, monkeypatch):
     short = [r for r in rows if len(r[1] or "") < 1000]
     docs = documents.where("text IS NULL OR length(text) < 1000")
-    target = F.col("doc_id") < 3
-    want = sorted(plain_scores([(r[0], r[1], r[0] is not None and r[0] < 3) for r in short]), key=key)
-    for tokens_, bytes_ in ((lm.SLICE_TOKENS, lm.BUCKET_BYTES), (40, 300)):
+    target = documents.where("doc_id < 3 OR doc_id IS NULL")
+    marked = [(r[0], r[1], r[0] is not None and r[0] < 3) for r in short]
+    for tokens_, bytes_, order in ((lm.SLICE_TOKENS, lm.BUCKET_BYTES, 2), (40, 300, 3), (40, 300, 1)):
+        want = sorted(plain_scores(marked, order), key=key)
         monkeypatch.setattr(lm, "SLICE_TOKENS", tokens_)
         monkeypatch.setattr(lm, "BUCKET_BYTES", bytes_)
-        out = lm.score(docs, target)
+        out = lm.score(docs, target, order=order)
         assert out.columns == [c for c in documents.columns if c != "text"] + lm.ADDED
         got = sorted([(r.doc_id, r.n_tokens, r.ce_background, r.ce_target, r.score, r.w) for r in out.collect()], key=key)
         for g, w in zip(got, want, strict=True):
@@ -202,7 +238,7 @@ def test_lm_scores(spark, documents, rows, empty, monkeypatch):
             assert g[2:4] == (w[2:] if w[2] is None else pytest.approx(w[2:]))
             assert g[4] is None if w[2] is None else g[4] == pytest.approx(w[3] - w[2])
     assert lm.score(empty, target).count() == 0
-    assert lm.score(documents.select("text"), F.lit(None).cast("boolean")).count() == len(rows)
+    assert lm.score(documents.select("text")).count() == len(rows)
     with pytest.raises(ValueError, match="score"):
         lm.score(documents.withColumn("Score", F.lit(1)), target)
 
@@ -255,9 +291,40 @@ def test_pii(spark, documents, rows, empty):
 
 def test_pii_checksums_and_context(spark):
     rows = [("pay to IBAN GB82 WEST 1234 5698 7654 32 now",), ("code GB82 WEST 1234 5698 7654 33 now",),
-            ("call 555-123-4567 today",), ("part 555-123-4567 today",)]
+            ("call 555-123-4567 today",), ("part 555-123-4567 today",), ("call 555-123-4567 or 555-765-4321",)]
     got = [r.s for r in pii.find_pii(spark.createDataFrame(rows, "text string")).select(pii.spans_text(F.col("pii")).alias("s")).collect()]
-    assert got == ["iban:12:39", "", "local:5:17", ""]
+    assert got == ["iban:12:39", "", "local:5:17", "", "local:5:17,local:21:33"]
+
+
+def plain_extras(text):
+    """Account numbers and local phone numbers, with the context in the 40 characters before them."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in plain_spans(text).split(",") if x]
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", text):
+        t = m[0].replace(" ", "")
+        if int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1:
+            out.append((m.start(), 4, m.end(), "iban"))
+    near = re.compile("phone|tel|call|mobile|fax|téléphone|telefon|teléfono")
+    for m in re.finditer(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])", text):
+        if near.search(text[max(0, m.start() - 40) : m.start()].lower()):
+            out.append((m.start(), 5, m.end(), "local"))
+    return [(s, k, f"{name}:{s}:{e}") for s, k, e, name in out if all(b <= s or a >= e for a, b in base)]
+
+
+def test_pii_extras_are_the_plain_ones(spark):
+    import random
+
+    r = random.Random(9)
+    parts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89370400440532013001", "555-123-4567", "(555) 765 4321", "call ", "Tel. ", "x",
+             " ", ", ", "part ", "+1 555 123 4567", "4539 1488 0343 6467", "12", "lorem ipsum dolor sit amet "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 30))) for _ in range(300)] + ["call 555-123-4567, " * 3000]
+    made = spark.createDataFrame([(i, t, "mine", [1]) for i, t in enumerate(texts)], "doc_id bigint, text string, m_card string, base array<int>")
+    for x in pii.find_pii(made).select("doc_id", "m_card", "base", pii.spans_text(F.col("pii")).alias("s"), "pii").collect():
+        base = [(int(y.split(":")[1]), pii.KINDS.index(y.split(":")[0]), y) for y in plain_spans(texts[x.doc_id]).split(",") if y]
+        assert x.s == ",".join(y[2] for y in sorted(base + plain_extras(texts[x.doc_id])))
+        assert (x.m_card, x.base) == ("mine", [1]) and all(0 < y.score <= 1 for y in x.pii)
+    with pytest.raises(ValueError, match="pii"):
+        pii.find_pii(made.withColumn("pii", F.lit(1)))
 
 
 # -- 6
@@ -283,6 +350,39 @@ def test_forest_walk_is_the_trees():
     assert ((got > 0.5) == y[600:]).mean() > 0.9
 
 
+def test_fit_is_the_plain_one():
+    """Boosting by trying every cut of every feature on the rows themselves."""
+    r = np.random.Generator(np.random.PCG64(3))
+    x = r.integers(0, 9, size=(120, 4)).astype(float)
+    y = ((x[:, 0] + x[:, 1] > 8) ^ (r.random(120) < 0.1)).astype(float)
+    rate, l2, least = 0.3, 1.0, 1.0
+    forest = quality.fit(x, y, trees=3, depth=2, rate=rate, bins=64, l2=l2, least=least)
+    margin = np.full(len(y), forest.bias)
+
+    def grow(rows, depth):
+        g, h = grad[rows], hess[rows]
+        best = (1e-9, None, None)
+        for j in range(x.shape[1]) if depth else ():
+            for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])):
+                left = x[rows, j] <= cut
+                gl, hl, gr, hr = g[left].sum(), h[left].sum(), g[~left].sum(), h[~left].sum()
+                gain = gl**2 / (hl + l2) + gr**2 / (hr + l2) - g.sum() ** 2 / (h.sum() + l2)
+                if hl >= least and hr >= least and gain > best[0] + 1e-9:
+                    best = (gain, j, cut)
+        if best[1] is None:
+            margin[rows] += -rate * g.sum() / (h.sum() + l2)
+            return
+        left = x[rows, best[1]] <= best[2]
+        grow(rows[left], depth - 1)
+        grow(rows[~left], depth - 1)
+
+    for _ in range(3):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = p - y, p * (1 - p)
+        grow(np.arange(len(y)), 2)
+    assert np.allclose(forest.score(x), 1 / (1 + np.exp(-margin)))
+
+
 def test_quality(spark, documents, empty):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (14, 0, 0), (14, 0, 0), (99, 0, 0), (2, None, 0)], "doc_id bigint, quality int, toxic int")
     forest = quality.train(documents, labels)
@@ -477,6 +577,24 @@ def test_langid_held_out(spark):
     assert np.mean([x.lang == x.lang_pred for x in out]) > 0.9
 
 
+def test_fit_is_kernel_ridge():
+    """With every text a landmark, Nyström's map is exact: the fit is ridge regression in the kernel's own space."""
+    import random
+
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdefgh"[k : k + 5]) for _ in range(4)) for _ in range(6)) for k in (0, 1, 2, 3) for _ in range(8)]
+    langs = [f"l{k}" for k in (0, 1, 2, 3) for _ in range(8)]
+    model = langid.fit(texts, langs, landmarks=len(texts), ridge=1e-2)
+    sets = [{(k, int(c)) for k, g in enumerate(langid.grams(t)) for c in g} for t in texts]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    target = np.where(np.array(langs)[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
+    n = len(texts)
+    centre = np.eye(n) - 1 / n  # classes are of one size, so weights are 1
+    dual = np.linalg.solve(centre @ kernel @ centre + 1e-2 * n * np.eye(n), target - target.mean(axis=0))
+    want = centre @ kernel @ centre @ dual + target.mean(axis=0)
+    assert np.allclose(model.margins(texts), want, atol=1e-3)
+
+
 def test_presence_kernel_is_the_sets():
     texts = ["The cat sat", "the  CAT!", "xyz", "cat the"]
     model = langid.fit(texts, ["a", "b", "a", "b"], landmarks=4)
@@ -543,3 +661,74 @@ def test_lines(spark, documents, rows, empty):
     made = [(i, "\n".join(edit(r.choice(base)) for _ in range(4)), *rows[0][2:]) for i in range(60)]
     got = lines.dedup_lines(spark.createDataFrame(made, documents.schema))
     assert sorted((x.doc_id, x.text) for x in got.collect()) == sorted(plain_lines(made))
+
+
+# -- names, ids and long texts
+
+
+@pytest.mark.parametrize(
+    "column, run",
+    [
+        ("N_Words", lambda d: rules.ledger(d)),
+        ("kept", lambda d: rules.apply_policy(rules.ledger(d.drop("kept")).withColumn("kept", F.lit(1)), "base-1")),
+        ("SCORE", lambda d: quality.classify(d, quality.fit(np.zeros((0, quality.N_FEATURES)), np.zeros(0)))),
+        ("lang_pred", lambda d: langid.identify(d, None)),
+        ("n_tokens", lambda d: sentencepiece_fst.encode_documents(d)),
+        ("emptied", lambda d: lines.dedup_lines(d)),
+    ],
+)
+def test_taken_names_are_refused(spark, column, run):
+    docs = spark.createDataFrame([(1, "a b c", 5)], f"doc_id bigint, text string, `{column}` int")
+    with pytest.raises(ValueError, match=column.lower()):
+        run(docs)
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from graphloom.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (common.SLICE_BYTES // 2), "", None, "y" * common.SLICE_BYTES, "z"])], names=["t"])
+    sizes = common._sizes(batch)
+    assert sizes.tolist() == [common.SLICE_BYTES // 2, 0, 0, common.SLICE_BYTES, 1]
+
+
+def test_links_of_rows_that_share_an_id(spark):
+    """Rows of one id with different texts are matched each for itself, and one of each group stays."""
+    w = [str(i) for i in range(40)]
+    a, b = " ".join(w), " ".join([w[0], "changed", *w[2:]])
+    c, d = " ".join(f"c{x}" for x in w), " ".join([f"c{x}" for x in w[:39]] + ["other"])
+    made = [(1, a), (1, c), (2, b), (3, d), (3, d), (4, "alone " * 9)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string")
+    got = Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect())
+    assert got == Counter([(1, 1, 1), (2, 1, 1), (1, 1, 2), (3, 1, 2), (3, 1, 2), (4, 4, 0)])
+    kept = Counter(tuple(r) for r in jaccard.keep_first(docs).collect())
+    assert kept == Counter([(1, a), (1, c), (4, "alone " * 9)])
+
+
+def test_measured_recall(spark):
+    """Prefixes are shortened until the links of the sampled ids, found by brute force, are reached."""
+    assert jaccard.fit_depth({8: 90, 7: 9, 3: 1}, 0.8, 0.9).depth == 8
+    assert jaccard.fit_depth({8: 90, 7: 9, 3: 1}, 0.8, 0.95).depth == 7
+    assert jaccard.fit_depth({8: 90, 7: 9, 3: 1}, 0.8, 0.999) == jaccard.Fit(3, 100, 1.0)
+    assert jaccard.fit_depth({}, 0.8, 0.999).depth == 5
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    near = docs.where("doc_id % 3 = 0").select((F.col("doc_id") * 100).alias("doc_id"), F.concat("text", F.lit(" one more word")).alias("text"))
+    both = docs.select((F.col("doc_id") + 10_000_001).alias("doc_id"), "text").unionAll(near.dropDuplicates(["text"]))
+    _, fit = jaccard.sign_documents(both, 0.8, 0.999)
+    rows = [tuple(r) for r in both.collect()]
+    sets = {r: jaccard.shingles(r[1], jaccard.WordHash()) for r in rows}
+    asked = {jaccard.class_of(s): s for (i, t), s in sets.items() if i % 100 == 0 and len(s) and len(t) <= jaccard.SAMPLE_TEXT}
+    links = 0
+    for s in (s for s in sets.values() if len(s)):
+        for cls, q in asked.items():
+            both_ = len(np.intersect1d(s, q, assume_unique=True)) if min(len(s), len(q)) >= 0.8 * max(len(s), len(q)) else 0
+            links += cls != jaccard.class_of(s) and both_ >= round(0.8 * (len(s) + len(q) - both_), 6)
+    assert fit.links == links > 100 and fit.recall >= 0.999
+
+
+def test_many_null_ids(spark):
+    """Rows without an id are told apart by their texts, each read for its own lines."""
+    made = [(None, f"the same line of six words\nown line number {i} of them") for i in range(30)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string")
+    assert Counter(r.text for r in lines.dedup_lines(docs).collect()) == Counter(t for _, t in plain_lines(made))
