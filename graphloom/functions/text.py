@@ -115,8 +115,13 @@ def iso_utc(epoch: Column) -> Column:
 # -- generated text
 
 
+def trimmed(c: Column) -> Column:
+    """A text without blanks of any kind at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def n_sentences(c: Column) -> Column:
-    return F.greatest(F.lit(1), F.size(F.filter(F.split(c, r"[.!?]+(?:\s|$)"), lambda s: F.trim(s) != "")))
+    return F.greatest(F.lit(1), F.size(F.filter(F.split(c, r"[.!?]+(?:\s|$)"), lambda s: s.rlike(r"\S"))))
 
 
 def n_words(c: Column) -> Column:
@@ -143,9 +148,9 @@ REFUSALS = [
 
 def unfenced(c: Column) -> Column:
     """A text without the code fence around all of it, trimmed."""
-    t = F.trim(c)
+    t = trimmed(c)
     inner = F.regexp_extract(t, r"(?s)^```[^\n]*\n(.*)\n\s*```[^\n]*$", 1)
-    return F.when(t.rlike(r"(?s)^```[^\n]*\n(?:.*\n)?\s*```[^\n]*$"), F.trim(inner)).otherwise(t)
+    return F.when(t.rlike(r"(?s)^```[^\n]*\n(?:.*\n)?\s*```[^\n]*$"), trimmed(inner)).otherwise(t)
 
 
 def rejection(kind: Column, raw: Column) -> Column:

@@ -11,7 +11,7 @@ from graphloom.operators import relational as op
 from graphloom.operators import vectors as v
 from graphloom.operators.components import connected_components
 from graphloom.plans.registry import query
-from graphloom.plans.tables import EDGES_SQL, all_edges, edges, table, whole_edges
+from graphloom.plans.tables import EDGES_SQL, all_edges, edges, table
 
 # -- walks
 
@@ -50,7 +50,7 @@ def file_impact(spark: SparkSession, d: str) -> DataFrame:
 @query("walk_limited")
 def walk_limited(spark: SparkSession, d: str) -> DataFrame:
     """The first fifty nodes of a walk, in its order, with the truncation flag."""
-    return g.walk_limited(whole_edges(spark, d), 1, 4, 50)
+    return g.walk_limited(edges(spark, d), 1, 4, 50)
 
 
 _COOC = """
@@ -133,9 +133,9 @@ def import_cycles(spark: SparkSession, d: str) -> DataFrame:
 @query("build_order")
 def build_order(spark: SparkSession, d: str) -> DataFrame:
     """Build layers over components, and a step number in layer and key order."""
-    x = g.scc_layers(whole_edges(spark, d))
-    w = Window.orderBy("layer", "component", "node")
-    return x.withColumn("step", F.row_number().over(w))
+    x = g.scc_layers(edges(spark, d))
+    ranked = op.dense_ids(x, ["layer", "component", "node"])
+    return ranked.withColumn("step", (F.col("row") + 1).cast("int")).drop("row")
 
 
 @query(
@@ -216,7 +216,7 @@ def region_bundles(spark: SparkSession, d: str) -> DataFrame:
 @query("pagerank")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
     """Rank after ten rounds."""
-    return g.pagerank(whole_edges(spark, d))
+    return g.pagerank(edges(spark, d))
 
 
 # -- vectors
@@ -404,8 +404,8 @@ def support_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "answer_verdicts",
-    r"""WITH t AS (SELECT conv_id, turn, trim(text, ' ') AS t FROM conversations WHERE role = 'assistant'),
-    n AS (SELECT *, greatest(1, len(list_filter(regexp_split_to_array(t, '[.!?]+(\s|$)'), lambda x: trim(x, ' ') <> ''))) AS k,
+    r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE role = 'assistant'),
+    n AS (SELECT *, greatest(1, len(list_filter(regexp_split_to_array(t, '[.!?]+(\s|$)'), lambda x: regexp_matches(x, '\S')))) AS k,
       len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS w FROM t)
     SELECT conv_id, turn, CASE WHEN t IS NULL THEN 'not_a_string' WHEN t = '' THEN 'empty' WHEN lower(t) = 'empty file' THEN NULL
       WHEN len(t) > 2000 THEN 'too_long' WHEN k > 3 THEN 'sentence_count' WHEN w > 60 THEN 'too_many_words' END AS reason FROM n""",

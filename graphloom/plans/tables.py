@@ -30,16 +30,7 @@ def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("dst IS NOT NULL AND src <> dst")
 
 
-#: Edges lighter than this are left out of the graph that is traversed.
-STRONG = 48
-
-
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strong imports, each once: a sparse graph with cycles."""
-    return all_edges(spark, sf_dir).where(F.col("w") >= STRONG).select("src", "dst").distinct()
-
-
-def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All imports, each once, whatever their weight."""
     return all_edges(spark, sf_dir).select("src", "dst").distinct()
 
@@ -49,4 +40,4 @@ all_edges AS (SELECT * FROM (
   SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS dst,
          l_quantity AS w FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"""
 EDGES_SQL = f"""{ALL_EDGES_SQL},
-edges AS (SELECT DISTINCT src, dst FROM all_edges WHERE w >= {STRONG})"""
+edges AS (SELECT DISTINCT src, dst FROM all_edges)"""

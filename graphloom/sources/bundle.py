@@ -31,12 +31,26 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: What a character behind a backslash stands for (fixed values of N-Triples).
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+PARTS = r"(?s)(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\"
+
+
 def unescape(c: Column) -> Column:
-    """The characters of an escaped literal; a doubled backslash is kept apart until last."""
-    out = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-    for code, char in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        out = F.replace(out, F.lit(code), F.lit(char))
-    return F.replace(out, F.lit("\x00"), F.lit("\\"))
+    """The characters of an escaped literal. An escape that isn't one stays as it is."""
+
+    def one(part: Column) -> Column:
+        code = F.substring(part, 3, 8)
+        plain = F.element_at(F.create_map(*(F.lit(x) for pair in ESCAPES.items() for x in pair)), F.substring(part, 2, 1))
+        return (
+            F.when(~F.startswith(part, F.lit("\\")), part)
+            .when(part.rlike(r"^\\u[0-9A-Fa-f]{4}"), F.decode(F.unhex(F.replace(part, F.lit("\\u"), F.lit(""))), "UTF-16BE"))
+            .when(part.rlike(r"^\\U0{0,2}(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}$"), F.decode(F.unhex(code), "UTF-32"))
+            .otherwise(F.coalesce(plain, part))
+        )
+
+    parts = F.regexp_extract_all(c, F.lit(PARTS), 0)
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
 def escape(c: Column) -> Column:
@@ -58,7 +72,10 @@ def ntriples(triples: DataFrame) -> DataFrame:
 
 
 def read_jsonld(spark: SparkSession, path: str) -> DataFrame:
-    """(id, types array<string>, node variant) of the @graph of JSON-LD documents; one type or many read alike."""
+    """(id, types array<string>, node variant) of the @graph of JSON-LD documents; one type or many read alike.
+
+    A document is one text here, whatever its layout; those with a node a line are for `scan_jsonld`, at any size.
+    """
     docs = spark.read.text(path, wholetext=True)
     graph = F.from_json(F.get_json_object("value", "$['@graph']"), "array<string>")
     nodes = docs.select(F.explode(graph).alias("n"))
@@ -78,6 +95,30 @@ def jsonld(triples: DataFrame) -> DataFrame:
     return nodes.select(F.col("s").alias("id"), F.to_json("m").alias("node"))
 
 
+def jsonld_lines(nodes: DataFrame) -> DataFrame:
+    """(value) lines of a document (id, node as JSON text) in order of ids: a head, a node a line, a foot.
+
+    Written with its order kept, the text is one JSON document, and every line of it can be read by itself.
+    """
+    body = nodes.select(F.lit(1).alias("part"), "id", F.col("node").alias("value"))
+    ends = nodes.sparkSession.createDataFrame([(0, None, '{"@graph": ['), (2, None, "]}")], "part int, id string, value string")
+    last = nodes.agg(F.max("id").alias("last"))
+    commas = body.join(F.broadcast(last), F.lit(True), "left").withColumn(
+        "value", F.when(F.col("id") < F.col("last"), F.concat("value", F.lit(","))).otherwise(F.col("value"))
+    )
+    return commas.drop("last").unionByName(ends).orderBy("part", "id").select("value")
+
+
+def scan_jsonld(spark: SparkSession, path: str) -> DataFrame:
+    """(id, types, node) of JSON-LD documents with a node a line: lines are read apart, in splits of any size."""
+    line = F.regexp_replace(F.btrim(F.col("value")), ",$", "")
+    rows = spark.read.text(path).select(line.alias("n")).where("n LIKE '{%}'")
+    kind = F.get_json_object("n", "$['@type']")
+    types = F.when(F.startswith(kind, F.lit("[")), F.from_json(kind, "array<string>")).otherwise(F.array(kind))
+    nodes = rows.select(F.get_json_object("n", "$['@id']").alias("id"), F.array_compact(types).alias("types"), F.try_parse_json("n").alias("node"))
+    return nodes.where("id IS NOT NULL")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines with `_corrupt_record` where a line isn't one; blank lines are skipped."""
     return spark.read.schema(f"{schema}, _corrupt_record string").json(path)

@@ -175,3 +175,9 @@ def test_guard(spark):
     for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "INSERT INTO t SELECT 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "x" * 20000):
         with pytest.raises(guard.Refused):
             guard.check(bad)
+
+
+def test_blank_answers_are_empty(spark):
+    rows = [("\n\t \n",), ("  ",), ("\nfine words\t",), ("```\n\n```",)]
+    got = [r.x for r in spark.createDataFrame(rows, "t string").select(tx.rejection(F.lit("file_summary"), F.col("t")).alias("x")).collect()]
+    assert got == ["empty", "empty", None, "empty"]
