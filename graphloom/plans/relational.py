@@ -405,12 +405,12 @@ def strongest_edge(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "dead_code",
-    f"""WITH {EDGES_SQL} SELECT p_partkey, p_size >= 25 AS sure FROM part
-    WHERE NOT EXISTS (SELECT 1 FROM edges WHERE dst = p_partkey) AND p_type NOT LIKE 'STANDARD%'""",
+    f"""WITH {ALL_EDGES_SQL} SELECT p_partkey, p_size >= 25 AS sure FROM part
+    WHERE NOT EXISTS (SELECT 1 FROM all_edges WHERE dst = p_partkey AND w = 50) AND p_type NOT LIKE 'STANDARD%'""",
 )
 def dead_code(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes that nothing imports and that aren't entry points."""
-    used = edges(spark, d).select(F.col("dst").alias("p_partkey")).distinct()
+    """Nodes that nothing imports at full weight and that aren't entry points."""
+    used = all_edges(spark, d).where("w = 50").select(F.col("dst").alias("p_partkey")).distinct()
     p = table(spark, d, "part").where(~F.startswith("p_type", F.lit("STANDARD")))
     return p.join(used, "p_partkey", "left_anti").select("p_partkey", (F.col("p_size") >= 25).alias("sure"))
 
