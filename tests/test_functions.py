@@ -38,6 +38,40 @@ def test_file_types(spark):
     assert [r.t for r in shell.select(cl.file_type(F.col("p"), F.col("h")).alias("t")).collect()] == ["source_code", "binary"]
 
 
+#: Paths in which several pieces of evidence meet: the earlier one counts.
+CONTESTED = {
+    ".github/workflows/compose.yml": "container", "tests/setup.py": "dependency_manifest", "tests/x.rake": "build_script",
+    "tests/jest.config.js": "test_code", "tests/tsconfig.json": "configuration", "docs/robots.txt": "documentation",
+    "tests/jquery.min.js": "generated", ".circleci/Makefile": "ci_cd", ".github/a/workflows/b/x.YAML": "ci_cd", "x/buildkite/p.yml": "ci_cd",
+    "workflows/x.yml": "source_code", "a/x.cmake.in": "build_script", "src/rails": "unknown", "Fooacknowledgements.plist": "configuration",
+    "a-acknowledgements.markdown": "generated", "x.dockerfile": "container", "husky/a.py": "configuration", "a.snap": "data",
+    "a.txt": "source_code", "a~": "data", "Tests/a/Utilities/x": "data", "testdata/x": "data", "selftests/a.c": "test_code",
+    "spec/a_helper.rb": "test_code", "COPYING.lib": "license", "copyright.py": "source_code", "my.test.TSX": "source_code",
+    "AbcIT.KT": "test_code", "x_kunit.c": "test_code", "docs/a.html": "documentation", "docs/a.py": "source_code", "a.9": "documentation",
+}
+
+
+def test_contested_types(spark):
+    df = spark.createDataFrame([(k,) for k in CONTESTED], "path string")
+    got = {r.path: r.t for r in df.select("path", cl.file_type(F.col("path")).alias("t")).collect()}
+    assert got == CONTESTED
+
+
+def test_every_listed_value_speaks(spark):
+    """Each name and extension gives its type, or one whose evidence stands before it."""
+    rows = [(n, e.type, k) for k, e in enumerate(cl.EVIDENCE) for n in [*e.names, *("x" + x for x in e.extensions)]]
+    before = {t: k for k, t in reversed([(k, e.type) for k, e in enumerate(cl.EVIDENCE)])}
+    df = spark.createDataFrame(rows, "path string, type string, k int")
+    wrong = [(r.path, r.type, r.t) for r in df.select("*", cl.file_type(F.col("path")).alias("t")).collect() if r.t != r.type and before[r.t] > r.k]
+    assert not wrong
+
+
+def test_m_files(spark):
+    heads = [("#import <a.h>", "objective-c"), ("% a comment\nx = 1", "matlab"), ("function y = f(x)", "matlab"), ("", "objective-c"), ("// c\n% d", "objective-c")]
+    df = spark.createDataFrame([("a.m", h) for h, _ in heads], "p string, h string")
+    assert [r.x for r in df.select(cl.language(F.col("p"), F.col("h")).alias("x")).collect()] == [x for _, x in heads]
+
+
 def test_language_layer_entry(spark):
     assert one(spark, "a/B.PY", cl.language) == "python"
     assert one(spark, "Makefile.am", cl.language) == "make"
