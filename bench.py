@@ -14,6 +14,8 @@ HEADLINE = [
     "xref_grouping_sets", "inventory_fold", "enrichment_buckets", "top_files_per_module", "file_page", "dense_rows",
     "suffix_join", "longest_prefix", "containment_join", "mutual_imports", "cooccurrence", "identifier_tokens",
     "concept_frequency", "semantic_neighbors", "concept_centroids", "walk_paths", "constraint_report", "snapshot_diff",
+    "scc", "build_order", "transitive_dependents", "class_components", "pagerank", "duplicated_responsibilities",
+    "source_chunks", "imports_typescript", "file_details",
 ]
 
 

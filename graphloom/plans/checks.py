@@ -52,7 +52,7 @@ def constraint_report(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'discount', round(discount, 9), 0.5::DOUBLE, discount <= 0.5 FROM m""",
 )
 def bundle_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Ratios against their budgets."""
+    """Ratios against their budgets."""
     m = table(spark, d, "lineitem").agg(
         (F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("unresolved"), F.avg("l_discount").alias("discount")
     )
@@ -64,7 +64,7 @@ def bundle_gate(spark: SparkSession, d: str) -> DataFrame:
     """SELECT doc_id, sha256(coalesce(text, '')) AS digest, count(*) OVER (PARTITION BY text) AS n_copies FROM documents""",
 )
 def hash_verify(spark: SparkSession, d: str) -> DataFrame:
-    """The digest of each file, and how many files share it."""
+    """Q04: the digest of each file, and how many files share it."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     n = docs.groupBy("digest").agg(F.count("*").alias("n_copies"))
     return docs.join(n, "digest")

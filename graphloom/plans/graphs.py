@@ -130,9 +130,17 @@ def import_cycles(spark: SparkSession, d: str) -> DataFrame:
     return g.cycles(edges(spark, d))
 
 
-@query("build_order")
+@query(
+    "build_order",
+    f"""WITH RECURSIVE {EDGES_SQL}, {_CLOSURE}, ce AS (SELECT DISTINCT a.component AS x, z.component AS y FROM edges JOIN scc a ON a.node = src JOIN scc z ON z.node = dst
+      WHERE a.component <> z.component),
+    l(c, d) AS (SELECT component, 0 FROM scc UNION SELECT x, d + 1 FROM l JOIN ce ON y = c),
+    o AS (SELECT node, s.component, size, layer FROM scc s JOIN (SELECT component, count(*) AS size FROM scc GROUP BY 1) z ON z.component = s.component
+      JOIN (SELECT c, max(d) AS layer FROM l GROUP BY 1) y ON y.c = s.component)
+    SELECT node, component, size, layer, CAST(row_number() OVER (ORDER BY layer, component, node) AS INT) AS step FROM o""",
+)
 def build_order(spark: SparkSession, d: str) -> DataFrame:
-    """Build layers over components, and a step number in layer and key order."""
+    """Build layers over components, and a step number in layer and key order."""
     x = g.scc_layers(edges(spark, d))
     ranked = op.dense_ids(x, ["layer", "component", "node"])
     return ranked.withColumn("step", (F.col("row") + 1).cast("int")).drop("row")
@@ -172,7 +180,7 @@ def revision_chain(spark: SparkSession, d: str) -> DataFrame:
     SELECT dst AS node, arg_max(src, (coalesce(k, 0), -src)) AS parent FROM edges LEFT JOIN f ON f.node = src GROUP BY 1""",
 )
 def primary_parents(spark: SparkSession, d: str) -> DataFrame:
-    """Each node's parent in the forest."""
+    """G11 (its parents alone): each node's parent in the forest."""
     return g.primary_parents(edges(spark, d))
 
 
@@ -197,7 +205,7 @@ def module_witnesses(spark: SparkSession, d: str) -> DataFrame:
        JOIN nation b ON b.n_nationkey = s_nationkey GROUP BY 1, 2""",
 )
 def region_bundles(spark: SparkSession, d: str) -> DataFrame:
-    """Edges and their summed demand between regions."""
+    """Edges and their summed demand between regions."""
     t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier", "nation")}
     a = t["nation"].select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("s"))
     b = t["nation"].select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("d"))
@@ -213,10 +221,22 @@ def region_bundles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("pagerank")
+def _ranks_sql(rounds: int) -> str:
+    """Rounds written out one after the other."""
+    out = f"""WITH {EDGES_SQL}, o AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n FROM edges),
+    v AS MATERIALIZED (SELECT src AS node FROM edges UNION SELECT dst FROM edges), t AS (SELECT count(*) AS t FROM v),
+    r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / t AS rank FROM v, t)"""
+    for i in range(1, rounds + 1):
+        out += f""", g{i} AS MATERIALIZED (SELECT dst AS node, sum(rank / n) AS got FROM o JOIN r{i - 1} ON node = src GROUP BY 1),
+    r{i} AS MATERIALIZED (SELECT v.node, 0.15 / t + 0.85 * (coalesce(got, 0) + (1 - (SELECT coalesce(sum(got), 0) FROM g{i})) / t) AS rank
+      FROM v LEFT JOIN g{i} ON g{i}.node = v.node, t)"""
+    return f"{out} SELECT node, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query("pagerank", _ranks_sql(10))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    """Rank after ten rounds."""
-    return g.pagerank(edges(spark, d))
+    """Rank after ten rounds, to nine places."""
+    return g.pagerank(edges(spark, d)).withColumn("rank", F.round("rank", 9))
 
 
 # -- vectors
@@ -273,7 +293,7 @@ def edge_distances(spark: SparkSession, d: str) -> DataFrame:
     """SELECT label, count(*) AS size, round(avg(CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END), 6) AS even_share FROM embeddings GROUP BY 1""",
 )
 def neighbourhood_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Size and shares of each neighbourhood."""
+    """Size and shares of each neighbourhood."""
     share = F.avg((F.col("vec_id") % 2 == 0).cast("int"))
     return table(spark, d, "embeddings").groupBy("label").agg(
         F.count("*").alias("size"), F.round(share, 6).alias("even_share")
@@ -315,12 +335,15 @@ def identifier_tokens(spark: SparkSession, d: str) -> DataFrame:
 def concept_frequency(spark: SparkSession, d: str) -> DataFrame:
     """Concepts with how often, in how many files, and under which forms they occur."""
     t = _identifiers(spark, d).select("id", F.explode(tx.split_identifier(F.col("s"))).alias("t"))
-    forms = t.groupBy("id", "t").agg(F.count("*").alias("n"))  # each form of a file is made canonical once
-    c = forms.select("id", "t", "n", tx.canonical(F.col("t")).alias("concept")).where("concept IS NOT NULL")
-    return c.groupBy("concept").agg(
-        F.sum("n").alias("frequency"),
-        F.count_distinct("id").alias("file_count"),
-        F.array_join(F.array_sort(F.collect_set("t")), ",").alias("alt_labels"),
+    forms = t.groupBy("id", "t").agg(F.count("*").alias("n"))
+    concept = tx.canonical(F.col("t")).alias("concept")
+    # each distinct form is made canonical once; the forms of a file serve both sides of the join
+    counts = forms.groupBy("t").agg(F.sum("n").alias("n")).select(concept, "t", "n").where("concept IS NOT NULL")
+    labels = F.array_join(F.array_sort(F.collect_list("t")), ",").alias("alt_labels")
+    total = counts.groupBy("concept").agg(F.sum("n").alias("frequency"), labels)
+    inside = forms.select("id", concept).where("concept IS NOT NULL").distinct()
+    return total.join(inside.groupBy("concept").agg(F.count("*").alias("file_count")), "concept").select(
+        "concept", "frequency", "file_count", "alt_labels"
     )
 
 
@@ -361,7 +384,7 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
       ELSE 'missing' END AS kind, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM h GROUP BY 1""",
 )
 def unresolved_links(spark: SparkSession, d: str) -> DataFrame:
-    """IR18, §1.4: links of pages by what becomes of them; what isn't found is counted too."""
+    """Links of pages by what becomes of them; what isn't found is counted too."""
     h = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("h"))
     kind = (
         F.when(F.col("h").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:|^//"), "external")

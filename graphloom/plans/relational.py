@@ -341,7 +341,7 @@ def role_rows(spark: SparkSession, d: str) -> DataFrame:
     """SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_type, p_name, p_partkey) - 1 AS row FROM part""",
 )
 def dense_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Dense row numbers in a total order, counted by partitions."""
+    """Dense row numbers in a total order, counted by partitions."""
     p = table(spark, d, "part").select("p_brand", "p_type", "p_name", "p_partkey")
     return op.dense_ids(p, ["p_brand", "p_type", "p_name", "p_partkey"]).select("p_partkey", "row")
 
@@ -389,7 +389,7 @@ def test_subject(spark: SparkSession, d: str) -> DataFrame:
        HAVING count(DISTINCT p_partkey) = 1""",
 )
 def module_index(spark: SparkSession, d: str) -> DataFrame:
-    """W06, U07, IX02, IX08, IX10: index keys with exactly one target; ambiguous ones are dropped."""
+    """Index keys with exactly one target; ambiguous ones are dropped."""
     name = F.concat_ws(".", "p_brand", "p_type", "p_name").alias("module")
     return op.unambiguous(table(spark, d, "part").select(name, "p_partkey"), "module", "p_partkey")
 
@@ -478,7 +478,7 @@ def chunk_file_join(spark: SparkSession, d: str) -> DataFrame:
     GROUP BY c.key, c.prio HAVING count(DISTINCT target) = 1""",
 )
 def priority_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """J10, IR01, IR02, IR05, IR19, IR22: the candidate of the best priority, none if that is ambiguous."""
+    """The candidate of the best priority, none if that is ambiguous."""
     p = table(spark, d, "part")
     prio = F.when(F.col("p_size") <= 10, 0).when(F.col("p_size") <= 30, 1).otherwise(2)
     cand = p.select(F.concat_ws(".", "p_brand", "p_name").alias("key"), F.col("p_partkey").alias("target"), prio.alias("prio"))
@@ -508,7 +508,7 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
     SELECT spec, path, n, n = 1 AS resolved FROM m WHERE r <= 16""",
 )
 def suffix_join(spark: SparkSession, d: str) -> DataFrame:
-    """J11, IR10, IR11, IR14, IX14: paths that end in a spec, met on their last segment."""
+    """Paths that end in a spec, met on their last segment."""
     p = _paths(spark, d)
     return op.suffix_join(p, p, "spec", "path")
 
@@ -520,7 +520,7 @@ def suffix_join(spark: SparkSession, d: str) -> DataFrame:
     SELECT path, max_by(root, len(root)) AS root FROM p JOIN owners ON starts_with(path, root || '/') GROUP BY path""",
 )
 def longest_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """J12, IR03, IR04, IR06, IR13, IX04: the deepest owner directory of each path."""
+    """The deepest owner directory of each path."""
     x = table(spark, d, "documents")
     owners = x.select(F.col("source").alias("root")).unionAll(
         x.where("lang <> 'en'").select(F.concat("source", F.lit("/"), "lang").alias("root"))
@@ -602,7 +602,7 @@ def interface_symbols(spark: SparkSession, d: str) -> DataFrame:
            count(*) FILTER (n_foreign >= 2) AS interchanges FROM m GROUP BY 1""",
 )
 def anchor_vote(spark: SparkSession, d: str) -> DataFrame:
-    """The heaviest file of each subsystem, and how many serve several others."""
+    """The heaviest file of each subsystem, and how many serve several others."""
     x, p = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", "p_brand")
     m = x.join(p, x.l_partkey == p.p_partkey).groupBy("p_brand", "p_partkey")
     m = m.agg(F.sum("l_quantity").alias("mass"), F.count_distinct("l_suppkey").alias("n_foreign"))
@@ -739,7 +739,7 @@ def projection_parity(spark: SparkSession, d: str) -> DataFrame:
     FROM o FULL JOIN n ON o.k = n.k WHERE o.k IS NULL OR n.k IS NULL OR o.v <> n.v""",
 )
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Rows added, modified or deleted between two snapshots."""
+    """Rows added, modified or deleted between two snapshots."""
     o = table(spark, d, "orders")
     new = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     old = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))

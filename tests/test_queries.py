@@ -119,7 +119,7 @@ def test_whole_graph(spark, tmp_path):
         got = {x: sum(rank[a] / len(out[a]) for a, b in e if b == x) + lost / len(nodes) for x in nodes}
         rank = {x: 0.15 / len(nodes) + 0.85 * got[x] for x in nodes}
     assert {r.node for r in run["pagerank"]} == set(nodes)
-    assert all(r.rank == pytest.approx(rank[r.node]) for r in run["pagerank"])
+    assert all(r.rank == pytest.approx(rank[r.node], abs=1e-9) for r in run["pagerank"])
 
     reach = {x: {x} for x in nodes}
     for _ in nodes:
