@@ -11,6 +11,7 @@ from graphloom.operators import decompose as dc
 from graphloom.operators.scratch import checkpoint_dir
 from graphloom.plans.registry import query
 from graphloom.plans.tables import table
+from graphloom.sources import artifacts as ar
 from graphloom.sources import bundle as b
 from graphloom.sources import sparql
 
@@ -269,3 +270,56 @@ def weakest_confidence(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*map(F.lit, ["unknown", "weak", "probable", "strong", "certain"]))
     x, y = (F.element_at(names, (F.col(c) % 5 + 1).cast("int")) for c in ("o_custkey", "o_orderkey"))
     return table(spark, d, "orders").select("o_orderkey", dc.weakest(x, y).alias("confidence"))
+
+
+# -- whole bundles
+
+
+def _bundle(spark: SparkSession, d: str) -> str:
+    place = _place(spark)
+    part = table(spark, d, "part")
+    tables = {
+        "files": part.selectExpr("p_partkey AS id", "p_name AS path", "p_size AS size"),
+        "concepts": part.select(F.explode(F.split("p_name", " ")).alias("name")).groupBy("name").agg(F.count("*").alias("frequency")),
+        "chunks": part.selectExpr("p_partkey AS file", "p_brand AS kind", "p_type AS symbol"),
+    }
+    ar.emit(tables, part_triples(spark, d), place, {"source": "part"})
+    return place
+
+
+@query(
+    "bundle_loaded",
+    """SELECT 'files' AS name, count(*) AS n FROM part UNION ALL SELECT 'chunks', count(*) FROM part UNION ALL SELECT 'triples', 4 * count(*) FROM part
+    UNION ALL SELECT 'concepts', count(DISTINCT c) FROM (SELECT unnest(string_split(p_name, ' ')) AS c FROM part)""",
+)
+def bundle_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """A bundle emitted, read again and checked against its manifest: rows of each table. K01, S12, S15, S16, K06."""
+    tables = ar.load(spark, _bundle(spark, d))
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in sorted(tables.items())]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionAll(x)
+    return out
+
+
+@query("bundle_files", "SELECT p_partkey AS id, p_name AS path, p_size AS size FROM part")
+def bundle_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a loaded bundle. S12, S20."""
+    return ar.load(spark, _bundle(spark, d))["files"]
+
+
+@query("turtle_roundtrip", f"WITH {_TRIPLES} SELECT * FROM t")
+def turtle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Triples written as Turtle, a block for each subject, and read in splits. S06, S08, K02."""
+    place = _place(spark)
+    ar.turtle(part_triples(spark, d)).write.text(place)
+    return ar.read_turtle(spark, place)
+
+
+@query("vectors_kept", "SELECT vec_id AS id, len(embedding) AS width FROM embeddings")
+def vectors_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written with their digest and read again. K05."""
+    place = _place(spark)
+    e = table(spark, d, "embeddings")
+    ar.write_vectors(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("v")), place, "given")
+    return ar.read_vectors(spark, place).select("id", F.size("v").cast("bigint").alias("width"))
