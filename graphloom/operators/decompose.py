@@ -165,6 +165,25 @@ def build_plan(files: DataFrame, edges: DataFrame, phase_of: DataFrame) -> DataF
     return placed.select("unit", "module").join(numbered, "unit").select("step", "unit", "module", "phase", "layer")
 
 
+def cycle_resolutions(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(unit, path, layer, resolvable) of the files of modules that import each other in a ring, a unit for each ring.
+
+    If the files of a unit have no ring of their own among them, they can be ordered by layer; else the layers are null.
+    """
+    m = modules(files)
+    rolled = op.module_edges(edges, m).select(F.col("sm").alias("src"), F.col("dm").alias("dst"))
+    rings = scc_layers(rolled).where("size > 1").select(F.col("node").alias("module"), F.col("component").alias("unit"))
+    inside = m.join(rings, "module").select("node", "unit")
+    s = inside.select(F.col("node").alias("src"), "unit")
+    d = inside.select(F.col("node").alias("dst"), F.col("unit").alias("other"))
+    own = edges.join(s, "src").join(d, "dst").where("unit = other").select("src", "dst")
+    layered = scc_layers(own).select("node", F.col("size").alias("ring"), F.col("layer").alias("at"))
+    placed = inside.join(layered, "node", "left").withColumn("ring", F.coalesce("ring", F.lit(1)))
+    able = placed.groupBy("unit").agg((F.max("ring") == 1).alias("resolvable"))
+    order = F.when(F.col("resolvable"), F.coalesce("at", F.lit(0)))
+    return placed.join(able, "unit").select("unit", F.col("node").alias("path"), order.alias("layer"), "resolvable")
+
+
 def forward_dependencies(plan: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
     """Steps of a plan that need a later one; there must be none."""
     rolled = op.module_edges(edges, modules(files))

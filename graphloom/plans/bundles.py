@@ -99,12 +99,11 @@ def jsonld_scan(spark: SparkSession, d: str) -> DataFrame:
     return _routed(b.scan_jsonld(spark, place))
 
 
-@query("jsonld_document", f"WITH {_NODES} SELECT * FROM n WHERE id LIKE '%/1_'")
+@query("jsonld_document", f"WITH {_NODES} SELECT * FROM n")
 def jsonld_document(spark: SparkSession, d: str) -> DataFrame:
     """The same written as one text, read whole. S05."""
     place = _place(spark)
-    some = part_nodes(spark, d).where("id LIKE '%/1_'")
-    b.jsonld_lines(some).coalesce(1).write.text(place)
+    b.jsonld_lines(part_nodes(spark, d)).coalesce(1).write.text(place)
     return _routed(b.read_jsonld(spark, place))
 
 
@@ -183,17 +182,17 @@ _CODE = """
 f AS (SELECT p_partkey, 'm' || (p_partkey % 20) || '/' || CASE WHEN p_partkey % 7 = 0 THEN 'test_f' ELSE 'f' END || p_partkey || '.py' AS path,
              CASE WHEN p_partkey % 7 = 0 THEN 'test_code' WHEN p_partkey % 11 = 0 THEN 'generated' WHEN p_partkey % 13 = 0 THEN 'unknown' ELSE 'source_code' END AS type,
              'm' || (p_partkey % 20) AS module FROM part),
-e AS (SELECT a.path AS src, z.path AS dst, a.module AS sm, z.module AS dm, a.type AS st FROM (SELECT *, p_partkey * 3 % 101 AS t FROM f WHERE p_partkey <= 100) a
+e AS (SELECT a.path AS src, z.path AS dst, a.module AS sm, z.module AS dm, a.type AS st FROM (SELECT *, p_partkey * 3 % 101 AS t FROM f) a
       JOIN f z ON z.p_partkey = a.t WHERE z.path <> a.path)"""
 
 
 def code_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Files (path, type, language) in twenty folders, and imports among the first hundred."""
+    """Files (path, type, language) in twenty folders, each importing one of the first hundred."""
     k = F.col("p_partkey")
     kind = F.when(k % 7 == 0, "test_code").when(k % 11 == 0, "generated").when(k % 13 == 0, "unknown").otherwise("source_code")
     name = F.concat(F.lit("m"), (k % 20).cast("string"), F.lit("/"), F.when(k % 7 == 0, "test_f").otherwise("f"), k.cast("string"), F.lit(".py"))
     files = table(spark, d, "part").select("p_partkey", name.alias("path"), kind.alias("type"), F.lit("python").alias("language"))
-    a = files.where("p_partkey <= 100").select(F.col("path").alias("src"), (k * 3 % 101).alias("t"))
+    a = files.select(F.col("path").alias("src"), (k * 3 % 101).alias("t"))
     edges = a.join(files.select(F.col("p_partkey").alias("t"), F.col("path").alias("dst")), "t").where("src <> dst").select("src", "dst")
     return files.drop("p_partkey"), edges
 
@@ -323,3 +322,20 @@ def vectors_kept(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     ar.write_vectors(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("v")), place, "given")
     return ar.read_vectors(spark, place).select("id", F.size("v").cast("bigint").alias("width"))
+
+
+@query(
+    "cycle_resolutions",
+    """WITH w(unit, path, layer, resolvable) AS (VALUES ('a', 'a/x', 1, true), ('a', 'a/w', 0, true), ('a', 'b/y', 0, true), ('a', 'b/z', 1, true), ('a', 'a/free', 0, true),
+      ('c', 'c/x', NULL, false), ('c', 'd/y', NULL, false))
+    SELECT 'r' || p_partkey || unit AS unit, 'r' || p_partkey || path AS path, layer, resolvable FROM part, w""",
+)
+def cycle_resolutions(spark: SparkSession, d: str) -> DataFrame:
+    """Rings of modules and the order of their files, where there is one. G09."""
+    keys = table(spark, d, "part").select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("k"))
+    names = ["a/x", "a/w", "a/free", "b/y", "b/z", "c/x", "d/y", "e/alone"]
+    links = [("a/x", "b/y"), ("b/z", "a/w"), ("c/x", "d/y"), ("d/y", "c/x"), ("e/alone", "a/x")]
+    files = keys.select(F.explode(F.transform(F.array(*map(F.lit, names)), lambda n: F.concat("k", n))).alias("path"))
+    pairs = F.array(*(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in links))
+    edges = keys.select("k", F.explode(pairs).alias("p")).select(F.concat("k", "p.a").alias("src"), F.concat("k", "p.b").alias("dst"))
+    return dc.cycle_resolutions(files, edges)

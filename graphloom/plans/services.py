@@ -173,11 +173,11 @@ def most_connected(spark: SparkSession, d: str) -> DataFrame:
     return c.select("module", F.col("ca").cast("bigint").alias("ca"), F.col("ce").cast("bigint").alias("ce")).orderBy(F.desc(F.col("ca") + F.col("ce")), "module").limit(12)
 
 
-@query("inheritance_depth", "SELECT p_partkey AS node, CAST(floor(log2(p_partkey)) AS INT) AS depth FROM part WHERE p_partkey BETWEEN 1 AND 8191")
+@query("inheritance_depth", "SELECT p_partkey AS node, CAST(length(to_base(p_partkey, 8)) - 1 AS INT) AS depth FROM part WHERE p_partkey > 0")
 def inheritance_depth(spark: SparkSession, d: str) -> DataFrame:
-    """How deep each class lies below one without a base; a class has the base of half its number. G13."""
-    k = table(spark, d, "part").select("p_partkey").where("p_partkey > 1 AND p_partkey < 8192")
-    return sv.inheritance_depth(k.select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 2).alias("base")))
+    """How deep each class lies below one without a base; a class has the base of an eighth of its number. G13."""
+    k = table(spark, d, "part").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 8).alias("base"))
+    return sv.inheritance_depth(k.where("base > 0"))
 
 
 @query(
