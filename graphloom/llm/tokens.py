@@ -21,9 +21,10 @@ values, but none may have the name of one that is added.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -193,6 +194,12 @@ def _counter(documents: DataFrame, vocabulary: str):
     return lambda: Counter(ranks.value)
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of a column, without a Python object for each number that isn't looked at."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return (values[a:b].tolist() for a, b in zip(ends[:-1], ends[1:]))
+
+
 def segment(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents with leaf_chars and leaf_tokens, array<int>, of their pre-tokens, and n_tokens."""
     keys = documents.columns
@@ -205,12 +212,13 @@ def segment(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             leaves = [counter.find(t or "") for t in batch.column("text").to_pylist()]
-            counts = [list(map(counter.__getitem__, x)) for x in leaves]
-            cols = [
-                pa.array([list(map(len, x)) for x in leaves], pa.list_(pa.int32())),
-                pa.array(counts, pa.list_(pa.int32())),
-                pa.array(list(map(sum, counts)), pa.int64()),
-            ]
+            ends = np.cumsum([0, *map(len, leaves)], dtype=np.int64)
+            flat = list(chain.from_iterable(leaves))
+            chars = np.fromiter(map(len, flat), np.int32, len(flat))
+            counts = np.fromiter(map(counter.__getitem__, flat), np.int32, len(flat))
+            sums = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+            offsets = pa.array(ends, pa.int32())
+            cols = [*(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (chars, counts)), pa.array(sums[ends[1:]] - sums[ends[:-1]])]
             return pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*keys, *LEAF_COLUMNS])
 
         return run
@@ -248,7 +256,8 @@ def apply_edits(trees: DataFrame, edits: str = "edits", vocabulary: str = VOCABU
             return *numbers, tree.text, *leaves
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [one(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", edits)))]
+            texts, logs = batch.column("text").to_pylist(), batch.column(edits).to_pylist()
+            got = [one(*x) for x in zip(texts, _lists(batch.column("leaf_chars")), _lists(batch.column("leaf_tokens")), logs)]
             types = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate(types[: len(COUNTS) + len(kept)])]
             return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], names=[*keys, *COUNTS, *kept])
