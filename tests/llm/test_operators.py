@@ -728,7 +728,10 @@ def test_measured_recall(spark):
 
 
 def test_many_null_ids(spark):
-    """Rows without an id are told apart by their texts, each read for its own lines."""
-    made = [(None, f"the same line of six words\nown line number {i} of them") for i in range(30)]
-    docs = spark.createDataFrame(made, "doc_id bigint, text string")
-    assert Counter(r.text for r in lines.dedup_lines(docs).collect()) == Counter(t for _, t in plain_lines(made))
+    """Rows without an id are one document's, so equal lines at one place stay; each text is read for its own lines."""
+    own = [" ".join(f"w{i}x{k}" for k in range(7)) for i in range(30)]
+    made = [(None, f"the same line of six words\n{line}") for line in own]
+    near = [(i, line.replace("x3", "changed")) for i, line in enumerate(own[:3])]
+    docs = spark.createDataFrame(made + near, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.text) for r in lines.dedup_lines(docs).collect())
+    assert got == Counter([*made, (0, ""), (1, ""), (2, "")])
