@@ -114,9 +114,45 @@ JOIN (SELECT id, min(c) AS class_id FROM r GROUP BY 1) ON id = d.doc_id
 LEFT JOIN (SELECT x, count(*) AS n_links FROM both_ways GROUP BY 1) l ON l.x = d.doc_id
 """
 
+
+
+def _sort_means_sql(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    """Every vector against every centroid in each round, the rounds written out."""
+    away = f"list_sum(list_transform(range(1, {size + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+    parts = [
+        f"""x AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {size})""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+  FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, v FROM x WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))""",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(xv) AS v, min((d, c)) AS m
+  FROM (SELECT x.r, x.vec_id, x.v AS xv, c.c, {away} AS d FROM x, c{n} c) GROUP BY r)""")
+        if n < rounds:
+            parts.append(f"""s{n} AS (
+  SELECT c, i, sum(e) AS s, count(*) AS n
+  FROM (SELECT m[2] AS c, unnest(v) AS e, unnest(range(1, {size + 1})) AS i FROM a{n}) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (
+  SELECT c0.c, coalesce(t.v, c0.v) AS v FROM c{n} c0 LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{n} GROUP BY c) t ON t.c = c0.c)""")
+    return f"""WITH {", ".join(parts)},
+one AS (SELECT vec_id, CAST(m[2] AS INTEGER) AS cluster, CAST(m[1] AS BIGINT) AS distance FROM a{rounds})
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM one JOIN c{rounds} c ON c.c = cluster
+"""
+
+
+OP11 = _sort_means_sql()
+
 ORACLES = {
     "op2_decontamination": OP2,
     "op3_quality_rules": OP3,
     "op7_ngram_jaccard": OP7,
     "op10_line_dedup": OP10,
+    "op11_sort_means": OP11,
 }

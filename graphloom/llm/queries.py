@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, jaccard, langid, lines, lm, pii, quality, rules, sentencepiece_fst, tokens
+from graphloom.llm import decontam, jaccard, langid, lines, lm, pii, quality, rules, sentencepiece_fst, sortmeans, tokens
 from graphloom.llm.common import table
 
 
@@ -128,6 +128,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over `embeddings`: 40 centroids, five rounds and a last assignment."""
+    return sortmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = [
     op1_token_counts,
     op2_decontamination,
@@ -139,6 +144,7 @@ QUERIES = [
     op8_sentencepiece,
     op9_language_id,
     op10_line_dedup,
+    op11_sort_means,
 ]
 
 
