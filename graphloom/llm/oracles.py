@@ -149,10 +149,28 @@ FROM one JOIN c{rounds} c ON c.c = cluster
 
 OP11 = _sort_means_sql()
 
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+q AS (SELECT item_id, t, count(*) AS reps FROM (
+  SELECT item_id, unnest({_WORDS}) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d)
+       WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(total.n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+           FROM tf, total GROUP BY t),
+score AS (
+  SELECT item_id, r, doc_id, CAST(sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * tf.n * total.n) // total.l)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN weight USING (t), total GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
+WHERE rank <= 10
+"""
+
 ORACLES = {
     "op2_decontamination": OP2,
     "op3_quality_rules": OP3,
     "op7_ngram_jaccard": OP7,
     "op10_line_dedup": OP10,
     "op11_sort_means": OP11,
+    "op12_block_max": OP12,
 }

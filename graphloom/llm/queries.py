@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, jaccard, langid, lines, lm, pii, quality, rules, sentencepiece_fst, sortmeans, tokens
+from graphloom.llm import blockmax, decontam, jaccard, langid, lines, lm, pii, quality, rules, sentencepiece_fst, sortmeans, tokens
 from graphloom.llm.common import table
 
 
@@ -133,6 +133,11 @@ def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sortmeans.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: the 10 best of all `documents` for each item of `benchmark`."""
+    return blockmax.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = [
     op1_token_counts,
     op2_decontamination,
@@ -145,6 +150,7 @@ QUERIES = [
     op9_language_id,
     op10_line_dedup,
     op11_sort_means,
+    op12_block_max,
 ]
 
 

@@ -38,7 +38,7 @@ def plain(rows, size, k, rounds):
 
 def vectors(n, size, seed):
     r = random.Random(seed)
-    grid = [[r.choice([-1, -0.5, 0, 0.25, 0.5, 1]) for _ in range(size)] for _ in range(n)]
+    grid = [[r.choice([-1.0, -0.5, 0.0, 0.25, 0.5, 1.0]) for _ in range(size)] for _ in range(n)]
     rows = [(i, v, i % 3, 7, "x") for i, v in enumerate(grid)]
     rows += [(n + i, list(grid[0]), 0, 7, "x") for i in range(n // 3)]  # a third are copies of one vector
     rows += [rows[1], rows[1], (None, grid[2], 1, None, None), (-5, None, 1, 1, ""), (-6, [], 1, 1, "")]
