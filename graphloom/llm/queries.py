@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import blockmax, decontam, jaccard, langid, lines, lm, pii, quality, rules, sentencepiece_fst, sortmeans, tokens
+from graphloom.llm import blockmax, decontam, jaccard, langid, lines, lm, pii, quality, rules, sentencepiece_fst, sortmeans, syncmers, tokens
 from graphloom.llm.common import table
 
 
@@ -138,6 +138,11 @@ def op12_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockmax.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13 over `documents`: anchors of every text, of its edited one, and how alike they are."""
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_token_counts,
     op2_decontamination,
@@ -151,6 +156,7 @@ QUERIES = [
     op10_line_dedup,
     op11_sort_means,
     op12_block_max,
+    op13_closed_syncmers,
 ]
 
 
