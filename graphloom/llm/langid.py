@@ -18,18 +18,20 @@ one that is added.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import map_batches, new_columns
 from graphloom.llm.quality import fold
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter, in Python as in Spark; numbers such as a half or a Roman eight are none.
+LETTERS = r"\p{L}"
+LETTER = regex.compile(LETTERS)
 FOLDS, HELD_OUT = 4, 2
 #: Symbols: blank, a-z, and the 128 bytes that are not ASCII.
 SIZE = 1 + 26 + 128
@@ -129,10 +131,10 @@ def train(documents: DataFrame, max_rows: int = 4_000, max_chars: int = 20_000_0
 
     max_chars bounds the driver's memory; languages have equal shares of it too. Documents are taken in the order of
     their id's hash, those too long for the share last. Where the taken texts exceed the share, the longest are left
-    out. A language always keeps its shortest taken text, of which no more than the share is read.
+    out. A language always keeps its shortest taken text, whole, so one with long texts alone may exceed its share by it.
     """
     known = documents.where(
-        F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").rlike(r"\p{L}")
+        F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").rlike(LETTERS)
     )
     n_langs = max(1, known.agg(F.count_distinct("lang")).first()[0])
     share, chars = max(1, max_rows // n_langs), max(1, max_chars // n_langs)
@@ -153,7 +155,7 @@ def train(documents: DataFrame, max_rows: int = 4_000, max_chars: int = 20_000_0
         "*", F.sum("n").over(by_length).alias("sum_n"), F.row_number().over(by_length).alias("place")
     )
     chosen = chosen.where((F.col("sum_n") <= chars) | (F.col("place") == 1)).select("doc_id", "lang", "h")
-    texts = documents.select("doc_id", F.left("text", F.lit(chars)).alias("text"), F.col("lang").alias("l"))
+    texts = documents.select("doc_id", "text", F.col("lang").alias("l"))
     rows = texts.join(F.broadcast(chosen), "doc_id").where("l = lang").orderBy("h", "doc_id").limit(max_rows)
     rows = rows.select("text", "lang").toArrow()
     return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())

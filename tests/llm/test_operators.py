@@ -567,7 +567,18 @@ def test_langid_long_texts(spark, monkeypatch):
     model = langid.train(spark.createDataFrame(made, "doc_id bigint, text string, lang string"), 400, 4000)
     assert model.languages == ["a", "b", "c", "d"]
     assert Counter(seen[0][1]) == {"a": 20, "b": 19, "c": 1, "d": 19}
-    assert all(sum(len(t) for t, x in zip(*seen[0]) if x == lang) <= 1000 for lang in "abcd")
+    assert all(sum(len(t) for t, x in zip(*seen[0]) if x == lang) <= 1000 for lang in "abd")
+    assert [len(t) for t, x in zip(*seen[0]) if x == "c"] == [8000]  # the shortest, whole
+
+
+def test_langid_without_a_letter(spark):
+    """Numbers that are no digits, marks and digits of any script are no letters; a letter of any script is one."""
+    docs = spark.createDataFrame([(i, "le chat est la", "fr") for i in range(40)], "doc_id bigint, text string, lang string")
+    model = langid.train(docs)
+    none = ["\u00bd \u00b2 12", "\u2460 \u2167", "\u0663\u0664", "_ - \u0301", "\U0001f600", "", " \n", "%&"]
+    some = ["\u00aa", "\u65e5", "x\u00bd", "\u02b0"]
+    names, scores = model.predict([*none, None, *some])
+    assert names == ["und"] * (len(none) + 1) + ["fr"] * len(some) and scores[: len(none) + 1] == [0.0] * (len(none) + 1)
 
 
 def test_langid_held_out(spark):
