@@ -15,6 +15,7 @@ from graphloom.functions import classify as cl
 from graphloom.functions.text import basename, dirname
 from graphloom.operators import relational as op
 from graphloom.operators.graph import cycles, scc_layers
+from graphloom.operators.setjoin import jaccard_pairs
 
 ROOT = "."
 #: Coupling from which a module is a hub, the alikeness of duplicated ones, and the concepts they need.
@@ -80,7 +81,7 @@ def gates(files: DataFrame, edges: DataFrame, concepts: DataFrame, xref_targets:
     found.append(_finding(hidden, "hidden_entrypoint", "info", F.col("path"), "weak", F.lit("imports_in=0 imports_out>0")))
 
     owned = concepts.join(m.withColumnRenamed("node", "path"), "path").select("module", "concept")
-    alike = op.jaccard_pairs(owned, "module", "concept", ALIKE, LEAST_CONCEPTS)
+    alike = jaccard_pairs(owned, "module", "concept", ALIKE, LEAST_CONCEPTS)
     both = F.concat(_name("a"), F.lit(", "), _name("b"))
     found.append(_finding(alike, "duplicated_responsibility", "info", both, "weak", F.format_string("jaccard=%.2f", "jaccard")))
 

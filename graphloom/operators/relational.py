@@ -189,25 +189,6 @@ def containment_join(inner: DataFrame, outer: DataFrame, key: list[str]) -> Data
     return met.groupBy(*key, "id").agg(tight.alias("outer_id"))
 
 
-def pairs_within(df: DataFrame, group: str, item: str, least: int = 2) -> DataFrame:
-    """(a, b, n): items a < b that occur in n groups together, for n of `least` or more."""
-    once = df.select(group, item).distinct()
-    a, b = once.select(group, F.col(item).alias("a")), once.select(group, F.col(item).alias("b"))
-    return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-
-
-def jaccard_pairs(df: DataFrame, group: str, item: str, threshold: float, least: int = 1) -> DataFrame:
-    """(a, b, jaccard) of groups whose item sets are alike; groups under `least` items are left out."""
-    once = df.select(group, item).distinct()
-    sizes = once.groupBy(group).agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    kept = once.join(sizes, group)
-    a = kept.select(F.col(group).alias("a"), item, F.col("size").alias("na"))
-    b = kept.select(F.col(group).alias("b"), item, F.col("size").alias("nb"))
-    met = a.join(b, item).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    j = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return met.withColumn("jaccard", j).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
-
-
 def mutual(edges: DataFrame) -> DataFrame:
     """Pairs that point at each other, each once: (a, b) with a < b."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -10,6 +10,7 @@ from graphloom.operators import graph as g
 from graphloom.operators import relational as op
 from graphloom.operators import vectors as v
 from graphloom.operators.components import connected_components
+from graphloom.operators.setjoin import pairs_within
 from graphloom.plans.registry import query
 from graphloom.plans.tables import EDGES_SQL, all_edges, edges, table
 
@@ -66,7 +67,7 @@ def _concepts(spark: SparkSession, d: str) -> DataFrame:
 @query("cooccurrence", f"WITH {_COOC} SELECT * FROM co")
 def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     """Concepts that occur in two files or more together."""
-    return op.pairs_within(_concepts(spark, d), "file", "concept", 2)
+    return pairs_within(_concepts(spark, d), "file", "concept", 2)
 
 
 @query(
@@ -78,7 +79,7 @@ def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
 )
 def concept_neighborhood(spark: SparkSession, d: str) -> DataFrame:
     """Concepts around one over links of at least mean weight."""
-    co = op.pairs_within(_concepts(spark, d), "file", "concept", 2)
+    co = pairs_within(_concepts(spark, d), "file", "concept", 2)
     least = co.agg(F.avg("n")).first()[0] or 0.0
     both = co.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("w"))
     both = both.unionAll(co.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("n").alias("w")))
@@ -93,7 +94,7 @@ def concept_neighborhood(spark: SparkSession, d: str) -> DataFrame:
 )
 def concept_graph(spark: SparkSession, d: str) -> DataFrame:
     """The ten heaviest concepts and the links among them."""
-    co = op.pairs_within(_concepts(spark, d), "file", "concept", 2)
+    co = pairs_within(_concepts(spark, d), "file", "concept", 2)
     ends = co.select(F.col("a").alias("node"), "n").unionAll(co.select(F.col("b").alias("node"), "n"))
     top = ends.groupBy("node").agg(F.sum("n").alias("w")).orderBy(F.desc("w"), "node").limit(10)
     e = co.withColumnsRenamed({"a": "src", "b": "dst"})

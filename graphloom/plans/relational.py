@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import relational as op
+from graphloom.operators.setjoin import jaccard_pairs
 from graphloom.plans.registry import query
 from graphloom.plans.tables import ALL_EDGES_SQL, EDGES_SQL, all_edges, edges, files, table
 
@@ -564,7 +565,7 @@ def mutual_imports(spark: SparkSession, d: str) -> DataFrame:
 def duplicated_responsibilities(spark: SparkSession, d: str) -> DataFrame:
     """Modules whose sets of concepts are alike."""
     o = table(spark, d, "orders").select("o_custkey", F.concat("o_orderpriority", "o_orderstatus").alias("c"))
-    return op.jaccard_pairs(o, "o_custkey", "c", 0.85, 5).withColumn("jaccard", F.round("jaccard", 6))
+    return jaccard_pairs(o, "o_custkey", "c", 0.85, 5).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(

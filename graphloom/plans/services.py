@@ -12,6 +12,7 @@ from graphloom.operators import services as sv
 from graphloom.operators.scratch import checkpoint_dir
 from graphloom.plans.codebase import sql_rows
 from graphloom.plans.imports import repositories
+from graphloom.operators.setjoin import pairs_within
 from graphloom.plans.registry import query
 from graphloom.plans.tables import EDGES_SQL, edges, table
 
@@ -255,7 +256,7 @@ def file_details(spark: SparkSession, d: str) -> DataFrame:
 def concept_details(spark: SparkSession, d: str) -> DataFrame:
     """Each concept with its first files and heaviest neighbours. E11."""
     m = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("concept"), F.col("p_partkey").alias("path"))
-    pairs = op.pairs_within(m.select(F.col("path").alias("file"), "concept"), "file", "concept", 1).withColumnRenamed("n", "weight")
+    pairs = pairs_within(m.select(F.col("path").alias("file"), "concept"), "file", "concept", 1).withColumnRenamed("n", "weight")
     found = sv.concept_details(m, pairs, 10, 5)
     return found.select("concept", "file_count", F.array_join(F.col("files").cast("array<string>"), ",").alias("files"), F.array_join("cooccurring", ",").alias("cooccurring"))
 
