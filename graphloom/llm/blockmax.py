@@ -150,21 +150,25 @@ class Queries:
         return np.add.reduceat(most[self.term] * self.repeats, self.starts[:-1])
 
 
+def _numbers(batch: pa.RecordBatch, column: str, row: int, kind: type) -> np.ndarray:
+    """A binary value as numbers, in place."""
+    return np.frombuffer(batch.column(column)[row].as_buffer(), kind)
+
+
 class Block:
-    """The impacts of the query terms in a block's documents."""
-
-    def __init__(self, row: dict, queries: Queries):
-        terms = np.frombuffer(row["terms"], np.uint64)
-        self.ids, self.here, at = row["documents"], *queries.found(terms)
-        starts = np.frombuffer(row["starts"], np.int32)
-        entries = np.frombuffer(row["entries"], np.uint16 if len(terms) <= 1 << 16 else np.uint32)
-        place = np.full(len(terms), -1, np.int64)
+    """The impacts of the query terms in the documents of a block, a row of a batch."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, queries: Queries):
+        terms = _numbers(batch, "terms", row, np.uint64)
+        self.ids, self.here, at = batch.column("documents")[row].as_py(), *queries.found(terms)
+        entries = _numbers(batch, "entries", row, np.uint16 if len(terms) <= 1 << 16 else np.uint32)
+        place = np.full(len(terms), -1, np.int32)
         place[at] = np.arange(len(at))
         line = place[entries]
         kept = np.flatnonzero(line >= 0)
-        document = np.searchsorted(starts, kept, side="right") - 1
-        self.impacts = np.zeros((len(at), len(self.ids)), np.int64)
-        self.impacts[line[kept], document] = np.frombuffer(row["impacts"], np.int32)[kept]
+        document = np.searchsorted(_numbers(batch, "starts", row, np.int32), kept, side="right") - 1
+        self.impacts = np.zeros((len(at), len(self.ids)), np.int32)
+        self.impacts[line[kept], document] = _numbers(batch, "impacts", row, np.int32)[kept]
 
     def scores(self, queries: Queries, q: int) -> np.ndarray:
         a, b = queries.starts[q], queries.starts[q + 1]
@@ -196,15 +200,20 @@ def _holders(queries: Queries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(queries.terms), np.int64)
         for batch in batches:
-            for terms, holders in zip(*(batch.column(c).to_pylist() for c in ("terms", "holders"))):
-                here, at = queries.found(np.frombuffer(terms, np.uint64))
-                n[here] += np.frombuffer(holders, np.int32)[at]
+            for row in range(batch.num_rows):
+                here, at = queries.found(_numbers(batch, "terms", row, np.uint64))
+                n[here] += _numbers(batch, "holders", row, np.int32)[at]
         met = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met])], names=["term", "n"])
 
     return run
 
 
+def _bounds(batch: pa.RecordBatch, row: int, queries: Queries) -> np.ndarray:
+    here, at = queries.found(_numbers(batch, "terms", row, np.uint64))
+    return queries.bounds(here, _numbers(batch, "maxima", row, np.int32)[at])
+
+
 def _tops(queries: Queries, seeds: int):
     """For each query the blocks of a task with the greatest bounds."""
 
@@ -213,9 +222,8 @@ def _tops(queries: Queries, seeds: int):
         most, block = np.zeros((seeds, n), np.int64), np.zeros((seeds, n), np.int64)
         each = np.arange(n)
         for batch in batches:
-            for number, terms, maxima in zip(*(batch.column(c).to_pylist() for c in ("block", "terms", "maxima"))):
-                here, at = queries.found(np.frombuffer(terms, np.uint64))
-                bounds = queries.bounds(here, np.frombuffer(maxima, np.int32)[at])
+            for row, number in enumerate(batch.column("block").to_pylist()):
+                bounds = _bounds(batch, row, queries)
                 least = most.argmin(axis=0)
                 better = np.flatnonzero(bounds > most[least, each])
                 most[least[better], better], block[least[better], better] = bounds[better], number
@@ -237,18 +245,17 @@ def _asked(queries: Queries, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Best] = {}
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                block = Block(row, queries)
-                for q in row["asking"]:
+            for row, asking in enumerate(batch.column("asking").to_pylist()):
+                block = Block(batch, row, queries)
+                for q in asking:
                     found.setdefault(q, Best(k, 1)).add(block.scores(queries, q), block.ids)
         yield _rows(found)
 
     return run
 
 
-#: Bounds of blocks for queries that are held at once.
-BOUNDS = 1 << 22
+#: Bounds that are held at once, and blocks that are sorted, and may be open, together.
+BOUNDS, OPEN = 1 << 21, 64
 
 
 def _pruned(queries: Queries, k: int, thresholds: np.ndarray):
@@ -256,15 +263,11 @@ def _pruned(queries: Queries, k: int, thresholds: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Best] = {}
-        step = max(1, BOUNDS // len(queries.items))
+        step = max(1, min(OPEN, BOUNDS // len(queries.items)))
         for batch in batches:
             for begin in range(0, batch.num_rows, step):
-                part = batch.slice(begin, step)
-                bounds = []
-                for terms, maxima in zip(part.column("terms").to_pylist(), part.column("maxima").to_pylist()):
-                    here, at = queries.found(np.frombuffer(terms, np.uint64))
-                    bounds.append(queries.bounds(here, np.frombuffer(maxima, np.int32)[at]))
-                bound = np.array(bounds)
+                rows = range(begin, min(begin + step, batch.num_rows))
+                bound = np.array([_bounds(batch, row, queries) for row in rows])
                 blocks: dict[int, Block] = {}
                 for q in np.flatnonzero((bound >= thresholds).any(axis=0)).tolist():
                     best = found.setdefault(q, Best(k, int(thresholds[q])))
@@ -272,7 +275,7 @@ def _pruned(queries: Queries, k: int, thresholds: np.ndarray):
                         if bound[at, q] < best.threshold:
                             break
                         if at not in blocks:
-                            blocks[at] = Block(part.slice(at, 1).to_pylist()[0], queries)
+                            blocks[at] = Block(batch, rows[at], queries)
                         best.add(blocks[at].scores(queries, q), blocks[at].ids)
         yield _rows(found)
 

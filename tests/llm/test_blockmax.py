@@ -86,11 +86,12 @@ def test_blocks_are_pruned(spark, texts, monkeypatch):
     held = index.rows.toArrow()
     opened = []
     real = blockmax.Block
-    monkeypatch.setattr(blockmax, "Block", lambda row, q: opened.append(row["block"]) or real(row, q))
+    monkeypatch.setattr(blockmax, "Block", lambda batch, row, q: opened.append(row) or real(batch, row, q))
     (out,) = blockmax._pruned(queries, 3, np.array([1]))(held.to_batches())
     everything = []
-    for row in held.to_pylist():
-        b = real(row, queries)
-        everything += [(-int(s), i) for s, i in zip(b.scores(queries, 0), b.ids) if s > 0]
+    for batch in held.to_batches():
+        for row in range(batch.num_rows):
+            b = real(batch, row, queries)
+            everything += [(-int(s), i) for s, i in zip(b.scores(queries, 0), b.ids) if s > 0]
     assert [(r["doc_id"], r["score"]) for r in out.to_pylist()] == [(i, -s) for s, i in sorted(everything)[:3]]
     assert 0 < len(opened) < held.num_rows / 3 < len(everything) / 4
