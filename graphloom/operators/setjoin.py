@@ -3,11 +3,13 @@
 Groups with equal sets are one class, found by sums of hashes that are added up before they are shuffled, so that however
 many groups are equal, one of them is compared. A class is known by the size of its set and 124 bits of hash.
 
-Classes meet on the items of their prefixes alone (Chaudhuri et al., 2006; Xiao et al., "PPJoin", 2008): with items in the
-order of their rarity, two sets of Jaccard t or more share one of the first n - ceil(t n) + 1 of either. Sizes bound which
-sets can be alike, and the places of the item that they share bound how many items they can have in common. What is
-left is counted exactly. An item that many classes have in their prefix is cut into blocks, and each pair of blocks is a unit
-of its own, so no task gets all of a hot item's classes.
+Classes meet on their prefixes alone (Chaudhuri et al., 2006; Xiao et al., "PPJoin", 2008; Wang et al., "AdaptJoin", 2012):
+with items in the order of their rarity, two sets of Jaccard t or more share `l` of the first n - ceil(t n) + l items of
+either. Their keys are all choices of l of these items. l is as large as KEYS choices a set allow, so small sets
+meet on many items at once, also where there are few different items in all; large sets meet on one. Sizes bound which
+sets can be alike, and the places of the first item of the key bound how many items they can have in common. What is
+left is counted exactly. A key that many classes have is cut into blocks, and each pair of blocks is a unit
+of its own, so no task gets all of a hot key's classes.
 
 Null groups and null items are left out, repeated rows count once.
 """
@@ -15,12 +17,15 @@ Null groups and null items are left out, repeated rows count once.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.scratch import materialize
 
+#: Keys of a set at most, where a key has more than one item, and items of a key.
+KEYS, KEY_ITEMS = 24, 8
 #: Rows of a key that meet in one unit, at most twice as many where hashes are uneven.
 BLOCK = 2_048
 
@@ -70,20 +75,52 @@ def _needed(n: Column, threshold: float) -> Column:
     return F.ceil(n * threshold - 1e-9)
 
 
+def _key_items(n: Column, threshold: float) -> Column:
+    """Items of a key of a set of n: of l among those that may be missing and l more, there are KEYS choices at most."""
+    missing = n - _needed(n, threshold)
+    most = [max(l for l in range(1, KEY_ITEMS + 1) if l == 1 or math.comb(k + l, l) <= KEYS) for k in range(KEYS)]
+    by_missing = F.coalesce(F.get(F.array(*map(F.lit, most)), missing.cast("int")), F.lit(1))
+    return F.greatest(F.lit(1), F.least(by_missing, _needed(n, threshold))).cast("int")
+
+
+def _keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, class, size, place): the keys of each class, with the place of the key's first item.
+
+    Sets meet on keys of as many items as the smaller of their two numbers, so a set has keys of every number that a set
+    alike to it may have, up to its own.
+    """
+    rarity = sets.groupBy("item").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("class").orderBy("df", "item")
+    placed = sets.join(rarity, "item").withColumn("place", F.row_number().over(order))
+    n = F.col("size")
+    own = _key_items(n, threshold)
+    least = F.least(own, _key_items(_needed(n, threshold), threshold), _key_items(F.floor(n / threshold + 1e-9), threshold))
+    missing = (n - _needed(n, threshold)).cast("int")
+    known = placed.select("class", "item", "size", "place", own.alias("own"), least.alias("least"), missing.alias("missing"))
+    single = known.where((F.col("least") == 1) & (F.col("place") <= F.col("missing") + 1))
+    several = known.where((F.col("own") > 1) & (F.col("place") <= F.col("missing") + F.col("own")))  # a few rows a class
+    listed = several.groupBy("class", "size", "own", "least", "missing").agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("items"))
+    chosen = [
+        (k, l, list(c)) for k in range(KEYS) for l in range(2, KEY_ITEMS + 1) if math.comb(k + l, l) <= KEYS for c in combinations(range(k + l), l)
+    ]
+    choices = sets.sparkSession.createDataFrame(chosen, "missing int, l int, at array<int>")  # fixed, some hundred rows
+    met = listed.join(F.broadcast(choices), "missing").where("l <= own AND l >= least")
+    key = F.xxhash64(F.transform("at", lambda i: F.get("items", i)["item"]))  # two keys of one hash add a candidate, no more
+    return single.select(F.xxhash64(F.array("item")).alias("key"), "class", "size", "place").unionAll(
+        met.select(key.alias("key"), "class", "size", (F.col("at")[0] + 1).alias("place"))
+    )
+
+
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, na, nb, both) of classes (class, item, size) whose Jaccard is at least `threshold` (above 0), a < b."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    rarity = sets.groupBy("item").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("class").orderBy("df", "item")
-    placed = sets.join(rarity, "item").withColumn("place", F.row_number().over(order))
-    prefix = placed.where(F.col("place") <= F.col("size") - _needed(F.col("size"), threshold) + 1)
-    pairs = meet(prefix.select("item", "class", "size", "place"), ["item"], "class", ["size", "place"])
+    pairs = meet(materialize(_keys(sets, threshold)), ["key"], "class", ["size", "place"])
     na, nb = F.col("a_size"), F.col("b_size")
-    common = 1 + F.least(na - F.col("a_place"), nb - F.col("b_place"))  # at most, if this is the first they share
+    common = 1 + F.least(na - F.col("a_place"), nb - F.col("b_place"))  # at most, if it is the first item they share
     wanted = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
     fits = (F.least(na, nb) >= _needed(F.greatest(na, nb), threshold)) & (common >= wanted)
-    # a later shared item only lowers the bound, so a pair is kept if its first shared item keeps it
+    # the key of the first items that they share has the largest bound, so a pair is kept if that one keeps it
     found = pairs.where(fits).select(F.col("a_class").alias("a"), F.col("b_class").alias("b"), na.alias("na"), nb.alias("nb")).distinct()
     of_a = found.join(sets.select(F.col("class").alias("a"), "item"), "a")
     both = of_a.join(sets.select(F.col("class").alias("b"), "item"), ["b", "item"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
