@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WordHash, byte_words, materialize, words
+from graphloom.llm.common import byte_words, materialize, words
 from graphloom.operators.scratch import release
 
 #: A block ends with so many documents, or with so many different terms of its documents, added up.
@@ -84,7 +84,6 @@ def _pack(n_documents: int, n_terms: int):
     names = [x.split()[0] for x in INDEX.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        hashed = WordHash()
         number = TaskContext.get().partitionId() << 40
         ids, terms, impacts, held = [], [], [], 0
         for batch in batches:
@@ -92,7 +91,7 @@ def _pack(n_documents: int, n_terms: int):
                 counted = Counter(byte_words(text.as_py()))
                 tf = np.fromiter(counted.values(), np.int64, len(counted))
                 ids.append(doc_id)
-                terms.append(np.fromiter(map(hashed.__getitem__, counted), np.uint64, len(counted)))
+                terms.append(np.fromiter(map(xxhash.xxh64_intdigest, counted), np.uint64, len(counted)))
                 impacts.append(impact(tf, tf.sum(), n_documents, n_terms).astype(np.int32))
                 held += len(counted)
                 if len(ids) >= BLOCK_DOCUMENTS or held >= BLOCK_ENTRIES:
