@@ -1,23 +1,22 @@
 """Graph operators on an edge DataFrame (src, dst).
 
 Bounded walks are a fixed number of joins in one plan. Fix-points run in rounds, each written to shared storage.
-Strongly connected components and build layers have two ways: graphs of up to SMALL edges, as module graphs are, go
-through one task; larger ones through rounds of joins.
+Components, layers and cycles are in `condense`, reachable sets in `closure`, forests in `forest`, weighted paths in `paths`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.closure import closure_counts
+from graphloom.operators.condense import cycles, scc_layers
 from graphloom.operators.scratch import materialize
 
-#: Edges that one task may hold (about 16 MB).
-SMALL = 500_000
-
+__all__ = [
+    "chain_order", "closure_counts", "cycles", "edges_between", "pagerank", "primary_parents", "scc_layers", "walk",
+    "walk_limited", "weighted_neighborhood",
+]
 
 def walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(node, depth) of the nodes reached from `starts` (node) in up to `depth` steps, without the starts."""
@@ -67,190 +66,6 @@ def weighted_neighborhood(edges: DataFrame, start: str | int, depth: int, least:
     return seen.where("depth > 0")
 
 
-#: Nodes whose reachable sets one task may hold as bits (at most 50 MB).
-SMALL_CLOSURE = 20_000
-
-
-def _reach(pdf: pd.DataFrame) -> pd.DataFrame:
-    adjacent: dict = {}
-    for s, d in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
-        adjacent.setdefault(s, []).append(d)
-    parts = tarjan(sorted(set(pdf["src"].tolist()) | set(pdf["dst"].tolist())), adjacent)
-    place = {n: i for i, n in enumerate(n for p in parts for n in p)}
-    of = {n: i for i, p in enumerate(parts) for n in p}
-    reach: list[int] = []
-    for i, p in enumerate(parts):  # what a component depends on comes before it
-        bits = sum(1 << place[n] for n in p)
-        for c in {of[d] for n in p for d in adjacent.get(n, ())} - {i}:
-            bits |= reach[c]
-        reach.append(bits)
-    rows = [(n, reach[i].bit_count() - 1) for i, p in enumerate(parts) for n in p if n in adjacent]
-    return pd.DataFrame([r for r in rows if r[1]], columns=["node", "n"])
-
-
-def closure_counts(edges: DataFrame, small: int = SMALL_CLOSURE, rounds: int = 10_000) -> DataFrame:
-    """(node, n): how many other nodes each node reaches, of those that reach any.
-
-    Up to `small` nodes (counted first), one task holds the sets as bits. Beyond, pairs are extended by an edge a round,
-    the new ones alone; the pairs are O(V * V), so this is for module graphs.
-    """
-    kind = dict(edges.dtypes)["src"]
-    e = edges.select("src", "dst").where("src <> dst").distinct()
-    nodes = e.select("src").unionAll(e.select("dst")).distinct()
-    if nodes.count() <= small:
-        return e.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(_reach, f"node {kind}, n bigint")
-    step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    pairs = new = materialize(e)
-    for _ in range(rounds):
-        more = new.join(step, "dst").select("src", F.col("next").alias("dst")).where("src <> dst").distinct()
-        new = materialize(more.join(pairs, ["src", "dst"], "left_anti"))
-        if new.isEmpty():
-            break
-        pairs = materialize(pairs.unionAll(new))
-    return pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
-
-
-# -- strongly connected components and layers
-
-
-def tarjan(nodes: Iterable, adjacent: dict) -> list[list]:
-    """Components, each sorted, the ones that depend on none first; without recursion."""
-    index: dict = {}
-    low: dict = {}
-    on: set = set()
-    stack: list = []
-    out: list[list] = []
-    for start in nodes:
-        if start in index:
-            continue
-        work = [(start, iter(adjacent.get(start, ())))]
-        index[start] = low[start] = len(index)
-        stack.append(start)
-        on.add(start)
-        while work:
-            node, rest = work[-1]
-            for nxt in rest:
-                if nxt not in index:
-                    index[nxt] = low[nxt] = len(index)
-                    stack.append(nxt)
-                    on.add(nxt)
-                    work.append((nxt, iter(adjacent.get(nxt, ()))))
-                    break
-                if nxt in on:
-                    low[node] = min(low[node], index[nxt])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    part = []
-                    while True:
-                        x = stack.pop()
-                        on.discard(x)
-                        part.append(x)
-                        if x == node:
-                            break
-                    out.append(sorted(part))
-    return out
-
-
-def _layered(pdf: pd.DataFrame) -> pd.DataFrame:
-    adjacent: dict = {}
-    for s, d in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
-        adjacent.setdefault(s, []).append(d)
-    for v in adjacent.values():
-        v.sort()
-    nodes = sorted(set(pdf["src"].tolist()) | set(pdf["dst"].tolist()))
-    parts = tarjan(nodes, adjacent)
-    of = {n: i for i, p in enumerate(parts) for n in p}
-    layer = [0] * len(parts)
-    for i, p in enumerate(parts):  # what a component depends on comes before it
-        deps = {of[d] for n in p for d in adjacent.get(n, ())} - {i}
-        layer[i] = 1 + max((layer[d] for d in deps), default=-1)
-    rows = [(n, p[0], len(p), layer[i]) for i, p in enumerate(parts) for n in p]
-    return pd.DataFrame(rows, columns=["node", "component", "size", "layer"])
-
-
-def scc_layers(edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """(node, component, size, layer) of every node with an edge: its strongly connected component, named by the
-    least node, its size, and its build layer: components without dependencies are 0, others one above the highest
-    that they depend on."""
-    kind = dict(edges.dtypes)["src"]
-    edges = edges.select("src", "dst").distinct()
-    if edges.count() <= small:
-        one = edges.withColumn("_one", F.lit(1)).groupBy("_one")
-        return one.applyInPandas(_layered, f"node {kind}, component {kind}, size bigint, layer bigint")
-    found = materialize(_components_by_rounds(edges))
-    return _layers_by_rounds(edges, found)
-
-
-def _spread(edges: DataFrame, start: DataFrame, combine: Callable) -> DataFrame:
-    """Fix-point of values (node, v) along edges: each node takes combine(own, those of its sources)."""
-    now = materialize(start)
-    while True:
-        sent = now.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(
-            combine("v").alias("s")
-        )
-        new = materialize(now.join(sent, "node", "left").select("node", F.col("v").alias("o"), F.coalesce(F.least("v", "s"), "v").alias("v")))
-        if new.where("v < o").isEmpty():
-            return new.select("node", "v")
-        now = new.select("node", "v")
-
-
-def _components_by_rounds(edges: DataFrame) -> DataFrame:
-    """(node, component): forward colours, then backward within a colour, round after round (Orzan, 2004)."""
-    nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).distinct()
-    left = materialize(nodes)
-    out = None
-    while True:
-        here = edges.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(
-            left.select(F.col("node").alias("dst")), "dst", "left_semi"
-        )
-        colour = _spread(here, left.select("node", F.col("node").alias("v")), F.min)
-        c = colour.select("node", F.col("v").alias("c"))
-        same = (
-            here.join(c.withColumnsRenamed({"node": "src", "c": "cs"}), "src")
-            .join(c.withColumnsRenamed({"node": "dst", "c": "cd"}), "dst")
-            .where("cs = cd")
-            .select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        )
-        reach = _spread(
-            materialize(same), c.select("node", F.when(F.col("node") == F.col("c"), 0).otherwise(1).alias("v")), F.min
-        )
-        done = materialize(reach.where("v = 0").join(c, "node").select("node", F.col("c").alias("component")))
-        out = done if out is None else out.unionAll(done)
-        left = materialize(left.join(done, "node", "left_anti"))
-        if left.isEmpty():
-            return out
-
-
-def _layers_by_rounds(edges: DataFrame, found: DataFrame) -> DataFrame:
-    s = found.select(F.col("node").alias("src"), F.col("component").alias("a"))
-    d = found.select(F.col("node").alias("dst"), F.col("component").alias("b"))
-    rest = materialize(edges.join(s, "src").join(d, "dst").where("a <> b").select("a", "b").distinct())
-    todo = materialize(found.select(F.col("component").alias("a")).distinct())
-    out, layer = None, 0
-    while not todo.isEmpty():
-        ready = materialize(todo.join(rest.select("a"), "a", "left_anti"))
-        done = ready.withColumn("layer", F.lit(layer).cast("bigint"))
-        out = done if out is None else out.unionAll(done)
-        todo = materialize(todo.join(ready, "a", "left_anti"))
-        rest = materialize(rest.join(ready.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
-        layer += 1
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    return found.join(sizes, "component").join(out.withColumnRenamed("a", "component"), "component").select(
-        "node", "component", "size", "layer"
-    )
-
-
-def cycles(edges: DataFrame) -> DataFrame:
-    """(component, size) of components of more than one node, and of nodes that point at themselves."""
-    parts = scc_layers(edges).groupBy("component").agg(F.max("size").alias("size")).where("size > 1")
-    own = edges.where("src = dst").select(F.col("src").alias("component")).distinct()
-    alone = own.join(parts, "component", "left_anti").withColumn("size", F.lit(1).cast("bigint"))
-    return parts.unionAll(alone)
-
-
 def chain_order(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, position) of revisions (id, parent) that form one chain, by pointer doubling.
 

@@ -12,7 +12,7 @@ from graphloom.operators import vectors as v
 from graphloom.operators.components import connected_components
 from graphloom.operators.setjoin import pairs_within
 from graphloom.plans.registry import query
-from graphloom.plans.tables import EDGES_SQL, all_edges, edges, table
+from graphloom.plans.tables import EDGES_SQL, ORDER_EDGES_SQL, all_edges, edges, order_edges, table
 
 # -- walks
 
@@ -113,27 +113,27 @@ scc AS (SELECT node, least(node, coalesce(min(a.dst), node)) AS component FROM n
 
 @query(
     "scc",
-    f"""WITH RECURSIVE {EDGES_SQL}, {_CLOSURE}
+    f"""WITH RECURSIVE {ORDER_EDGES_SQL}, {_CLOSURE}
     SELECT node, s.component, size FROM scc s JOIN (SELECT component, count(*) AS size FROM scc GROUP BY 1) z
       ON z.component = s.component""",
 )
 def scc(spark: SparkSession, d: str) -> DataFrame:
     """Strongly connected components, named by their least node."""
-    return g.scc_layers(edges(spark, d)).select("node", "component", "size")
+    return g.scc_layers(order_edges(spark, d)).select("node", "component", "size")
 
 
 @query(
     "import_cycles",
-    f"""WITH RECURSIVE {EDGES_SQL}, {_CLOSURE} SELECT component, count(*) AS size FROM scc GROUP BY 1 HAVING count(*) > 1""",
+    f"""WITH RECURSIVE {ORDER_EDGES_SQL}, {_CLOSURE} SELECT component, count(*) AS size FROM scc GROUP BY 1 HAVING count(*) > 1""",
 )
 def import_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Cycles of imports."""
-    return g.cycles(edges(spark, d))
+    return g.cycles(order_edges(spark, d))
 
 
 @query(
     "build_order",
-    f"""WITH RECURSIVE {EDGES_SQL}, {_CLOSURE}, ce AS (SELECT DISTINCT a.component AS x, z.component AS y FROM edges JOIN scc a ON a.node = src JOIN scc z ON z.node = dst
+    f"""WITH RECURSIVE {ORDER_EDGES_SQL}, {_CLOSURE}, ce AS (SELECT DISTINCT a.component AS x, z.component AS y FROM edges JOIN scc a ON a.node = src JOIN scc z ON z.node = dst
       WHERE a.component <> z.component),
     l(c, d) AS (SELECT component, 0 FROM scc UNION SELECT x, d + 1 FROM l JOIN ce ON y = c),
     o AS (SELECT node, s.component, size, layer FROM scc s JOIN (SELECT component, count(*) AS size FROM scc GROUP BY 1) z ON z.component = s.component
@@ -142,29 +142,29 @@ def import_cycles(spark: SparkSession, d: str) -> DataFrame:
 )
 def build_order(spark: SparkSession, d: str) -> DataFrame:
     """Build layers over components, and a step number in layer and key order."""
-    x = g.scc_layers(edges(spark, d))
+    x = g.scc_layers(order_edges(spark, d))
     ranked = op.dense_ids(x, ["layer", "component", "node"])
     return ranked.withColumn("step", (F.col("row") + 1).cast("int")).drop("row")
 
 
 @query(
     "transitive_dependents",
-    f"""WITH RECURSIVE {EDGES_SQL}, {_CLOSURE} SELECT src AS node, count(*) AS n FROM reach WHERE src <> dst GROUP BY 1""",
+    f"""WITH RECURSIVE {ORDER_EDGES_SQL}, {_CLOSURE} SELECT src AS node, count(*) AS n FROM reach WHERE src <> dst GROUP BY 1""",
 )
 def transitive_dependents(spark: SparkSession, d: str) -> DataFrame:
     """How many other nodes each one reaches."""
-    return g.closure_counts(edges(spark, d))
+    return g.closure_counts(order_edges(spark, d))
 
 
 @query(
     "class_components",
-    f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+    f"""WITH RECURSIVE {ORDER_EDGES_SQL}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
     r(id, component) AS (SELECT src, src FROM both_ways UNION SELECT dst, component FROM r JOIN both_ways ON src = id)
     SELECT id, min(component) AS component FROM r GROUP BY 1""",
 )
 def class_components(spark: SparkSession, d: str) -> DataFrame:
     """Components of the undirected graph."""
-    return connected_components(edges(spark, d))
+    return connected_components(order_edges(spark, d))
 
 
 @query("revision_chain", """SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders""")

@@ -49,30 +49,6 @@ def parts(df):
     return {r.node: (r.component, r["size"], r.layer) for r in df.collect()}
 
 
-def test_scc_both_ways(spark):
-    e = edges(spark, [(1, 2), (2, 3), (3, 1), (4, 3), (5, 4), (6, 6), (7, 5)])
-    want = {1: (1, 3, 0), 2: (1, 3, 0), 3: (1, 3, 0), 4: (4, 1, 1), 5: (5, 1, 2), 6: (6, 1, 0), 7: (7, 1, 3)}
-    assert parts(g.scc_layers(e)) == want
-    assert parts(g.scc_layers(e, small=0)) == want
-    assert {(r.component, r["size"]) for r in g.cycles(e).collect()} == {(1, 3), (6, 1)}
-    assert g.cycles(edges(spark, [(1, 2), (2, 3)])).count() == 0
-
-
-def test_random_graph(spark):
-    import random
-
-    r = random.Random(1)
-    e = edges(spark, list({(a, b) for a, b in ((r.randint(0, 9), r.randint(0, 9)) for _ in range(13)) if a != b}))
-    assert parts(g.scc_layers(e, small=0)) == parts(g.scc_layers(e))
-
-
-def test_closure_both_ways(spark):
-    e = edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (5, 4), (6, 6)])
-    want = {1: 3, 2: 3, 3: 3, 5: 1}
-    assert {r.node: r.n for r in g.closure_counts(e).collect()} == want
-    assert {r.node: r.n for r in g.closure_counts(e, small=0).collect()} == want
-
-
 def test_components(spark):
     e = edges(spark, [(i, i + 1) for i in range(1, 20)] + [(100, 101), (102, 101), (7, 7), (None, 3), (5, 4)])
     got = {r.id: r.component for r in connected_components(e).collect()}
