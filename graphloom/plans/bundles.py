@@ -179,22 +179,34 @@ for _name in ASKED:
 # -- decomposition
 
 _CODE = """
-f AS (SELECT p_partkey, 'm' || (p_partkey % 20) || '/' || CASE WHEN p_partkey % 7 = 0 THEN 'test_f' ELSE 'f' END || p_partkey || '.py' AS path,
+f AS (SELECT p_partkey, 'm' || (p_partkey // 40) || '/' || CASE WHEN p_partkey % 7 = 0 THEN 'test_f' ELSE 'f' END || p_partkey || '.py' AS path,
              CASE WHEN p_partkey % 7 = 0 THEN 'test_code' WHEN p_partkey % 11 = 0 THEN 'generated' WHEN p_partkey % 13 = 0 THEN 'unknown' ELSE 'source_code' END AS type,
-             'm' || (p_partkey % 20) AS module FROM part),
-e AS (SELECT a.path AS src, z.path AS dst, a.module AS sm, z.module AS dm, a.type AS st FROM (SELECT *, p_partkey * 3 % 101 AS t FROM f) a
-      JOIN f z ON z.p_partkey = a.t WHERE z.path <> a.path)"""
+             'm' || (p_partkey // 40) AS module, p_size FROM part),
+links AS (SELECT p_partkey AS k, p_partkey + 1 + p_size % 4 AS t FROM f WHERE p_size % 3 > 0
+  UNION SELECT p_partkey, p_partkey - 3 FROM f WHERE p_size % 13 = 0
+  UNION SELECT p_partkey, p_partkey + 40 + p_size % 9 FROM f WHERE p_size % 17 = 0
+  UNION SELECT p_partkey, p_partkey - 80 FROM f WHERE p_size = 25),
+e AS (SELECT a.path AS src, z.path AS dst, a.module AS sm, z.module AS dm, a.type AS st FROM links JOIN f a ON a.p_partkey = k JOIN f z ON z.p_partkey = t)"""
 
 
 def code_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Files (path, type, language) in twenty folders, each importing one of the first hundred."""
-    k = F.col("p_partkey")
+    """Files (path, type, language) in folders of forty: most import one further on, some one before, some another folder's."""
+    k, n = F.col("p_partkey"), F.col("p_size")
     kind = F.when(k % 7 == 0, "test_code").when(k % 11 == 0, "generated").when(k % 13 == 0, "unknown").otherwise("source_code")
-    name = F.concat(F.lit("m"), (k % 20).cast("string"), F.lit("/"), F.when(k % 7 == 0, "test_f").otherwise("f"), k.cast("string"), F.lit(".py"))
-    files = table(spark, d, "part").select("p_partkey", name.alias("path"), kind.alias("type"), F.lit("python").alias("language"))
-    a = files.select(F.col("path").alias("src"), (k * 3 % 101).alias("t"))
-    edges = a.join(files.select(F.col("p_partkey").alias("t"), F.col("path").alias("dst")), "t").where("src <> dst").select("src", "dst")
-    return files.drop("p_partkey"), edges
+    name = F.concat(F.lit("m"), F.floor(k / 40).cast("string"), F.lit("/"), F.when(k % 7 == 0, "test_f").otherwise("f"), k.cast("string"), F.lit(".py"))
+    files = table(spark, d, "part").select("p_partkey", "p_size", name.alias("path"), kind.alias("type"), F.lit("python").alias("language"))
+    to = F.array_compact(
+        F.array(F.when(n % 3 > 0, k + 1 + n % 4), F.when(n % 13 == 0, k - 3), F.when(n % 17 == 0, k + 40 + n % 9), F.when(n == 25, k - 80))
+    )
+    a = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(to)).alias("t"))
+    edges = a.join(files.select(F.col("p_partkey").alias("t"), F.col("path").alias("dst")), "t").select("src", "dst")
+    return files.drop("p_partkey", "p_size"), edges
+
+
+def _ring(src: str, dst: str, links: str) -> str:
+    """(n, c): each end of a link with the least one that it reaches and that reaches it."""
+    return f"""WITH RECURSIVE r(a, b) AS (SELECT DISTINCT {src}, {dst} FROM {links} UNION SELECT r.a, x.{dst} FROM r JOIN {links} x ON x.{src} = r.b)
+      SELECT x.a AS n, min(x.b) AS c FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1"""
 
 
 @query(
@@ -210,14 +222,15 @@ def code_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     UNION ALL SELECT 'test_gap', 'warning', 'module:' || module, 'probable', 'code_files=' || count(*) FROM f WHERE type = 'source_code'
       AND module NOT IN (SELECT dm FROM e WHERE st = 'test_code') GROUP BY module
     UNION ALL SELECT 'missing_evidence', 'info', 'file-type=unknown', 'certain', CAST(count(*) AS VARCHAR) FROM f WHERE type = 'unknown' HAVING count(*) > 0
-    UNION ALL SELECT 'ambiguous_ownership', 'info', 'module:' || dm, 'probable', string_agg(DISTINCT sm, ',' ORDER BY sm) FROM roll GROUP BY dm HAVING count(DISTINCT sm) >= 2""",
+    UNION ALL SELECT 'ambiguous_ownership', 'info', 'module:' || dm, 'probable', string_agg(DISTINCT sm, ',' ORDER BY sm) FROM roll GROUP BY dm HAVING count(DISTINCT sm) >= 2
+    UNION ALL SELECT 'circular_dependency', 'warning', c, 'certain', 'files=' || count(*) FROM ({_ring('src', 'dst', 'e')}) GROUP BY c HAVING count(*) > 1
+    UNION ALL SELECT 'directory_cycle', 'info', 'module:' || c, 'probable', 'directories=' || count(*) FROM ({_ring('sm', 'dm', 'roll')}) GROUP BY c HAVING count(*) > 1""",
 )
 def decompose_gates(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of a decomposition, but for its cycles. Q05, Q07, U06."""
+    """Findings of a decomposition. Q05, Q07, U06, G07."""
     files, edges = code_tree(spark, d)
     none = files.limit(0).select("path")
-    found = dc.gates(files, edges, none.withColumn("concept", F.lit("")), none, none)
-    return found.where("gate NOT IN ('circular_dependency', 'directory_cycle')")
+    return dc.gates(files, edges, none.withColumn("concept", F.lit("")), none, none)
 
 
 @query(

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
+from graphloom.operators import forest as fo
 from graphloom.operators import graph as g
+from graphloom.operators import paths as pa
 from graphloom.operators import relational as op
 from graphloom.operators import vectors as v
 from graphloom.operators.components import connected_components
+from graphloom.operators.scratch import materialize
 from graphloom.operators.setjoin import pairs_within
 from graphloom.plans.registry import query
 from graphloom.plans.tables import EDGES_SQL, ORDER_EDGES_SQL, all_edges, edges, order_edges, table
@@ -438,3 +441,82 @@ def answer_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Why each generated text isn't taken."""
     c = table(spark, d, "conversations").where("role = 'assistant'")
     return c.select("conv_id", "turn", tx.rejection(F.lit("file_summary"), F.col("text")).alias("reason"))
+
+
+# -- forests and weighted paths over the graph of orders
+
+_SUPPORT = f"""{ORDER_EDGES_SQL},
+reach AS (WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src)
+  SELECT * FROM r WHERE src <> dst),
+nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+ins AS (SELECT dst AS node, count(*) AS i FROM edges GROUP BY 1), outs AS (SELECT src AS node, count(*) AS o FROM edges GROUP BY 1),
+below AS (SELECT dst AS node, count(*) AS n FROM reach GROUP BY 1),
+score AS (SELECT node, coalesce(i, 0) AS i, coalesce(o, 0) AS o,
+    round(1 + 2 * ln(1 + coalesce(n, 0)) + ln(1 + coalesce(i, 0)) + 0.25 * ln(1 + coalesce(o, 0)), 9) AS support
+  FROM nodes LEFT JOIN ins USING (node) LEFT JOIN outs USING (node) LEFT JOIN below USING (node)),
+parent AS (SELECT src AS node, arg_max(dst, (support, i, -o, dst)) AS parent FROM edges JOIN score ON node = dst GROUP BY 1)"""
+
+
+def _supports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = materialize(order_edges(spark, d))
+    users = g.closure_counts(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return e, materialize(fo.support_scores(e, users))
+
+
+@query("support_scores", f"WITH RECURSIVE {_SUPPORT} SELECT node, support, i AS n_in, o AS n_out FROM score")
+def support_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How much rests on each node, from all that depend on it."""
+    return _supports(spark, d)[1].select("node", "support", F.col("n_in").cast("bigint").alias("n_in"), F.col("n_out").cast("bigint").alias("n_out"))
+
+
+@query(
+    "import_forest",
+    f"""WITH RECURSIVE {_SUPPORT},
+    up AS (WITH RECURSIVE r(node, anc) AS (SELECT node, parent FROM parent UNION SELECT r.node, p.parent FROM r JOIN parent p ON p.node = r.anc) SELECT * FROM r),
+    ring AS (SELECT a.node, b.node AS member FROM up a JOIN up b ON a.anc = b.node AND b.anc = a.node),
+    cut AS (SELECT DISTINCT c AS node FROM (SELECT ring.node, arg_max(member, (support, i, member)) AS c FROM ring JOIN score ON score.node = member GROUP BY 1)),
+    kept AS (SELECT * FROM parent ANTI JOIN cut USING (node)),
+    leaf AS (SELECT node FROM nodes ANTI JOIN (SELECT parent AS node FROM kept) USING (node)),
+    under AS (WITH RECURSIVE r(leaf, anc) AS (SELECT node, node FROM leaf UNION SELECT r.leaf, k.parent FROM r JOIN kept k ON k.node = r.anc) SELECT * FROM r)
+    SELECT nodes.node, kept.parent, CASE WHEN cut.node IS NOT NULL THEN parent.parent END AS cut, demand
+    FROM nodes JOIN (SELECT anc AS node, count(*) AS demand FROM under GROUP BY 1) USING (node)
+    LEFT JOIN kept ON kept.node = nodes.node LEFT JOIN cut ON cut.node = nodes.node LEFT JOIN parent ON parent.node = nodes.node""",
+)
+def import_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Primary parents with rings cut, and the leaves that each node carries."""
+    return fo.forest(*_supports(spark, d))
+
+
+_WEIGHTED = f"{ORDER_EDGES_SQL}, weighted AS (SELECT src, dst, 1 + (7 * src + dst) % 9 AS w FROM edges)"
+_FLOOD = f"""{_WEIGHTED},
+r AS (WITH RECURSIVE x(node, distance, source) AS (SELECT k, CAST(0 AS BIGINT), k FROM ordered WHERE c % 50 = 0
+    UNION SELECT dst, distance + w, source FROM x JOIN weighted ON src = node WHERE distance + w <= 25) SELECT * FROM x),
+best AS (SELECT node, min((distance, source)) AS b FROM r GROUP BY 1),
+flood AS (SELECT node, b[1] AS distance, b[2] AS source FROM best),
+led AS (SELECT f.node, min(w.src) AS parent FROM flood f JOIN weighted w ON w.dst = f.node JOIN flood p ON p.node = w.src
+  WHERE p.distance + w.w = f.distance AND p.source = f.source GROUP BY 1)"""
+
+
+def _flood(spark: SparkSession, d: str) -> DataFrame:
+    e = order_edges(spark, d).withColumn("w", F.expr("1 + (7 * src + dst) % 9"))
+    sources = table(spark, d, "orders").where("o_custkey % 50 = 0").select(F.col("o_orderkey").alias("node"))
+    return pa.shortest_paths(e, sources, limit=25)
+
+
+@query("impact_flood", f"WITH RECURSIVE {_FLOOD} SELECT node, distance, source, parent FROM flood LEFT JOIN led USING (node)")
+def impact_flood(spark: SparkSession, d: str) -> DataFrame:
+    """What changes of some nodes flood, by weighted distance, each node with its source and the node that it came by."""
+    return _flood(spark, d)
+
+
+@query(
+    "impact_traces",
+    f"""WITH RECURSIVE {_FLOOD},
+    way AS (WITH RECURSIVE x(node, path) AS (SELECT node, CAST(node AS VARCHAR) FROM flood WHERE distance = 0
+      UNION ALL SELECT led.node, path || '>' || led.node FROM x JOIN led ON led.parent = x.node) SELECT * FROM x)
+    SELECT way.node, path FROM way JOIN flood USING (node) WHERE distance >= 15""",
+)
+def impact_traces(spark: SparkSession, d: str) -> DataFrame:
+    """The way of a change to the nodes that are 15 away or more."""
+    found = materialize(_flood(spark, d))
+    return pa.traced(found, found.where("distance >= 15")).select("node", F.array_join("path", ">").alias("path"))
