@@ -50,6 +50,24 @@ def _learn(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return now
 
 
+def least_above(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, value): the least value (node, value) of each node and of all that reach it.
+
+    The node that a value comes from goes along, so what is known there is taken over in one step.
+    """
+    now = values.select("node", F.struct("value", "node").alias("f"))
+    while True:
+        got = edges.join(now.select(F.col("node").alias("src"), "f"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("f").alias("g"))
+        near = now.join(got, "node", "left").select("node", F.col("f").alias("old"), F.least("f", "g").alias("f"))
+        far = near.join(now.select(F.col("node").alias("from"), F.col("f").alias("jump")), near["f"]["node"] == F.col("from"))
+        new, changed = _write(far.select("node", "old", F.least("f", "jump").alias("f")), "f < old")
+        release(now)
+        now = new.select("node", "f")
+        now.scratch_path = new.scratch_path
+        if not changed:
+            return now.select("node", F.col("f.value").alias("value"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; a component is named by its least node."""
     now = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import classify as cl
 from graphloom.functions.text import basename, dirname
 from graphloom.operators import relational as op
-from graphloom.operators.graph import cycles, scc_layers
+from graphloom.operators.condense import cycles, dependencies, least_above, scc_layers
+from graphloom.operators.scratch import materialize
 from graphloom.operators.setjoin import jaccard_pairs
 
 ROOT = "."
@@ -138,34 +139,41 @@ def part_kinds(files: DataFrame) -> DataFrame:
     return files.groupBy(kind.alias("kind"), part.alias("part")).agg(F.count("*").alias("n_files"))
 
 
-def build_plan(files: DataFrame, edges: DataFrame, phase_of: DataFrame) -> DataFrame:
+def build_plan(files: DataFrame, edges: DataFrame, phase_of: DataFrame, relax: bool = True) -> DataFrame:
     """(step, unit, module, phase, layer): modules in an order in which no step needs a later one.
 
-    phase_of: (module, phase). Modules of one cycle are one unit, at its latest member's phase; a dependency's phase is
-    pulled down to the earliest of those that depend on it, directly or not. Steps are numbered by phase, layer and name.
+    phase_of: (module, phase). Modules of one cycle are one unit, at its earliest member's phase. A dependency's phase is
+    pulled down to the earliest of those that depend on it, directly or not; without `relax` it stays, and steps may need later
+    ones. Steps are numbered by phase, layer and name.
     """
     m = modules(files)
-    rolled = op.module_edges(edges, m).select(F.col("sm").alias("src"), F.col("dm").alias("dst"))
+    rolled = materialize(op.module_edges(edges, m).select(F.col("sm").alias("src"), F.col("dm").alias("dst")))
     layered = scc_layers(rolled).select(F.col("node").alias("module"), F.col("component").alias("unit"), "layer")
     every = m.select("module").distinct().join(layered, "module", "left")
-    units = every.withColumn("unit", F.coalesce("unit", "module")).withColumn("layer", F.coalesce("layer", F.lit(0)))
-    own = units.join(phase_of, "module", "left").groupBy("unit").agg(F.max(F.coalesce("phase", F.lit(0))).alias("phase"))
-    u = units.select("module", "unit")
-    s = u.select(F.col("module").alias("src"), F.col("unit").alias("node"))
-    d = u.select(F.col("module").alias("dst"), F.col("unit").alias("needs"))
-    needs = rolled.join(s, "src").join(d, "dst").where("node <> needs").select("node", "needs").distinct()
-    now = own
-    for _ in range(max(0, (units.agg(F.max("layer")).first()[0] or 0))):  # one pull a layer
-        pulled = needs.join(now.select(F.col("unit").alias("node"), "phase"), "node").groupBy(F.col("needs").alias("unit")).agg(
-            F.min("phase").alias("p")
-        )
-        now = now.join(pulled, "unit", "left").select("unit", F.coalesce(F.least("phase", "p"), "phase").alias("phase"))
-    placed = units.join(now, "unit")
+    units = materialize(every.withColumn("unit", F.coalesce("unit", "module")).withColumn("layer", F.coalesce("layer", F.lit(0))))
+    own = units.join(phase_of, "module", "left").groupBy(F.col("unit").alias("node")).agg(F.min(F.coalesce("phase", F.lit(0))).alias("value"))
+    if relax:
+        found = units.select(F.col("module").alias("node"), F.col("unit").alias("component"))
+        own = least_above(materialize(dependencies(rolled, found)), own)
+    placed = units.join(own.select(F.col("node").alias("unit"), F.col("value").alias("phase")), "unit")
     by_unit = placed.groupBy("unit").agg(F.min("phase").alias("phase"), F.min("layer").alias("layer"))
-    numbered = by_unit.withColumn("step", F.row_number().over(Window.orderBy("phase", "layer", "unit")))  # modules, not files
+    numbered = op.dense_ids(by_unit, ["phase", "layer", "unit"]).withColumn("step", (F.col("row") + 1).cast("int")).drop("row")
     return placed.select("unit", "module").join(numbered, "unit").select("step", "unit", "module", "phase", "layer")
 
 
+def unit_steps(files: DataFrame, edges: DataFrame, plan: DataFrame) -> DataFrame:
+    """(step, creates, tests, requires) of a plan's units: its files, those of them that are tests, and the steps that it needs."""
+    at = modules(files).withColumnRenamed("node", "path").join(plan.select("module", "step"), "module")
+    made = files.join(at.select("path", "step"), "path").groupBy("step").agg(
+        F.array_sort(F.collect_set("path")).alias("creates"),
+        F.array_sort(F.collect_set(F.when(F.col("type") == "test_code", F.col("path")))).alias("tests"),
+    )
+    s = at.select(F.col("path").alias("src"), "step")
+    d = at.select(F.col("path").alias("dst"), F.col("step").alias("needs"))
+    needs = edges.join(s, "src").join(d, "dst").where("step <> needs").groupBy("step").agg(F.array_sort(F.collect_set("needs")).alias("requires"))
+    return made.join(needs, "step", "left").select("step", "creates", "tests", F.coalesce("requires", F.array().cast("array<int>")).alias("requires"))
+
+
 def cycle_resolutions(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(unit, path, layer, resolvable) of the files of modules that import each other in a ring, a unit for each ring.
 

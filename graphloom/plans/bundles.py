@@ -253,12 +253,53 @@ def mutual_modules(spark: SparkSession, d: str) -> DataFrame:
     return dc.architecture_violations(*code_tree(spark, d))
 
 
-@query("forward_steps", f"WITH {_CODE} SELECT '' AS sm, '' AS dm, 0 AS at, 0 AS needs WHERE false")
+_PLAN = f"""{_CODE}, roll AS (SELECT DISTINCT sm, dm FROM e WHERE sm <> dm),
+mods AS (SELECT DISTINCT module, CAST(substr(module, 2) AS INT) % 5 + 1 AS phase FROM f),
+units AS (SELECT module, phase, coalesce(c, module) AS unit FROM mods LEFT JOIN ({_ring('sm', 'dm', 'roll')}) ON n = module),
+ue AS (SELECT DISTINCT x.unit AS a, z.unit AS b FROM roll JOIN units x ON x.module = sm JOIN units z ON z.module = dm WHERE x.unit <> z.unit),
+own AS (SELECT unit, min(phase) AS phase FROM units GROUP BY 1),
+pulled AS (WITH RECURSIVE p(unit, phase) AS (SELECT unit, phase FROM own UNION SELECT b, p.phase FROM p JOIN ue ON a = p.unit) SELECT unit, min(phase) AS phase FROM p GROUP BY 1),
+depth AS (WITH RECURSIVE l(unit, d) AS (SELECT unit, CAST(0 AS BIGINT) FROM own UNION SELECT a, d + 1 FROM l JOIN ue ON b = l.unit) SELECT unit, max(d) AS layer FROM l GROUP BY 1)"""
+
+
+def _steps_sql(phases: str) -> str:
+    return f"""(SELECT module, unit, p.phase, layer, step FROM units JOIN (SELECT unit, phase, layer, CAST(row_number() OVER (ORDER BY phase, layer, unit) AS INT) AS step
+      FROM {phases} JOIN depth USING (unit)) p USING (unit))"""
+
+
+def _phases(files: DataFrame) -> DataFrame:
+    return dc.modules(files).select("module").distinct().withColumn("phase", F.substring("module", 2, 9).cast("int") % 5 + 1)
+
+
+@query("build_plan", f"WITH {_PLAN} SELECT step, unit, module, phase, layer FROM {_steps_sql('pulled')}")
+def build_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Folders in the order of their building, rings as one unit, phases of dependencies pulled down. G15, G16, W08, Q08."""
+    files, edges = code_tree(spark, d)
+    return dc.build_plan(files, edges, _phases(files))
+
+
+@query(
+    "forward_steps",
+    f"""WITH {_PLAN}, s AS {_steps_sql('own')} SELECT sm, dm, x.step AS at, z.step AS needs FROM roll JOIN s x ON x.module = sm JOIN s z ON z.module = dm WHERE z.step > x.step""",
+)
 def forward_steps(spark: SparkSession, d: str) -> DataFrame:
-    """Steps of a build plan that need a later one: none. Q08, G15."""
+    """Steps of a plan by stated phases alone that need a later one; `build_plan` pulls phases so that there are none. Q08, G15."""
+    files, edges = code_tree(spark, d)
+    return dc.forward_dependencies(dc.build_plan(files, edges, _phases(files), relax=False), files, edges).select("sm", "dm", "at", "needs")
+
+
+@query(
+    "unit_steps",
+    f"""WITH {_PLAN}, s AS {_steps_sql('pulled')}, made AS (SELECT step, f.path, type FROM f JOIN s USING (module)),
+    need AS (SELECT DISTINCT x.step, z.step AS needs FROM e JOIN s x ON x.module = sm JOIN s z ON z.module = dm WHERE x.step <> z.step)
+    SELECT step, string_agg(path, ',' ORDER BY path) AS creates, coalesce(string_agg(path, ',' ORDER BY path) FILTER (type = 'test_code'), '') AS tests,
+      coalesce((SELECT string_agg(needs, ',' ORDER BY needs) FROM need WHERE need.step = made.step), '') AS requires FROM made GROUP BY step""",
+)
+def unit_steps(spark: SparkSession, d: str) -> DataFrame:
+    """What each step of the plan makes and needs. Q09, Q10."""
     files, edges = code_tree(spark, d)
-    phases = dc.modules(files).select("module").distinct().select("module", (F.length("module") % 3).cast("int").alias("phase"))
-    return dc.forward_dependencies(dc.build_plan(files, edges, phases), files, edges).select("sm", "dm", "at", "needs")
+    found = dc.unit_steps(files, edges, dc.build_plan(files, edges, _phases(files)))
+    return found.select("step", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("creates", "tests", "requires")])
 
 
 @query(

@@ -44,6 +44,13 @@ def test_plan(spark):
     assert at["app"][0] == at["lib"][0] == at["kernel"][0] == "app"
     assert at["gen"][1] == 0  # pulled down: the root needs it, through app
     assert dc.forward_dependencies(plan, files, edges).count() == 0
+    stated = dc.build_plan(files, edges, phase, relax=False)
+    assert {r.dm for r in dc.forward_dependencies(stated, files, edges).collect()} == {"gen"}
+    steps = {r.step: r for r in dc.unit_steps(files, edges, plan).collect()}
+    ring = next(s for s in steps.values() if "app/a.py" in s.creates)
+    assert ring.creates == sorted(p for p, _ in FILES if p.split("/")[0] in ("app", "lib", "kernel"))
+    assert [steps[x].creates for x in ring.requires] == [["gen/g.py"]] and all(x < s.step for s in steps.values() for x in s.requires)
+    assert next(s for s in steps.values() if s.tests).tests == ["tests/test_a.py"]
     assert {r.module for r in plan.collect()} == {"app", "lib", "gen", "kernel", "other", "tests", "."}
     claims = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "path string, step int")
     assert {tuple(r) for r in dc.creates_and_modifies(claims).collect()} == {("a", 1, "creates"), ("a", 2, "modifies"), ("b", 3, "creates")}
