@@ -10,10 +10,13 @@ Results are (repo, path, spec, target, external).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import normal_path
+from graphloom.operators.scratch import materialize
 
 KEYS = ["repo", "path", "spec"]
 
@@ -396,11 +399,8 @@ def tsconfigs(files: DataFrame) -> DataFrame:
     """(repo, path, dir, base, paths array of (alias, targets)) of each tsconfig*.json and jsconfig.json.
 
     Comments and commas at the ends of lists may stand in them. What a config extends is merged below its own values; a
-    chain that comes back to itself ends there. The chains are followed within a repository: its configs, and nothing
-    else of it, meet in one task.
+    chain that comes back to itself ends there. The chains of all repositories are followed together, a step a round.
     """
-    import pandas as pd
-
     name = F.substring_index("path", "/", -1)
     own = files.where(name.rlike(r"^(?:tsconfig.*\.json|jsconfig\.json)$"))
     # strings stay as they are, comments outside of them go
@@ -418,28 +418,31 @@ def tsconfigs(files: DataFrame) -> DataFrame:
         F.map_entries("d.compilerOptions.paths").alias("paths"), ends.alias("parents"),
     )
 
-    def merge(f: pd.DataFrame) -> pd.DataFrame:
-        own = {r.path: r for r in f.itertuples()}
-
-        def options(path: str, seen: tuple[str, ...]) -> tuple[str | None, dict]:
-            base, aliases = None, {}
-            for tried in own[path].parents:
-                up = next((p for p in tried if p in own), None)
-                if up is not None and up not in seen:
-                    b, more = options(up, (*seen, up))
-                    base, aliases = b if b is not None else base, {**aliases, **more}
-            mine = {e["key"]: e["value"] for e in (own[path].paths if own[path].paths is not None else ())}
-            return own[path].base if own[path].base is not None else base, {**aliases, **mine}
-
-        out = []
-        for path, r in own.items():
-            base, aliases = options(path, (path,))
-            out.append((r.repo, path, r.dir, base or ".", [{"key": k, "value": v} for k, v in aliases.items()]))
-        return pd.DataFrame(out, columns=["repo", "path", "dir", "base", "paths"])
-
-    kind = dict(files.dtypes)["repo"]
-    schema = f"repo {kind}, path string, dir string, base string, paths array<struct<key:string,value:array<string>>>"
-    return rows.groupBy("repo").applyInPandas(merge, schema)
+    rows = materialize(rows)
+    tried = rows.select("repo", F.col("path").alias("cur"), F.posexplode("parents").alias("i", "tried"))
+    tried = tried.select("repo", "cur", "i", F.posexplode("tried").alias("j", "up"))
+    there = rows.select("repo", F.col("path").alias("up"))
+    step = tried.join(there, ["repo", "up"]).groupBy("repo", "cur", "i").agg(F.min_by("up", "j").alias("up"))
+    step = materialize(step)
+    # what a config is made of, in the order in which it counts: what it extends, from the first to the last, then itself
+    front = rows.select("repo", F.col("path").alias("root"), F.col("path").alias("cur"), F.array().cast("array<int>").alias("at"), F.array("path").alias("seen"))
+    parts = [front]
+    while True:
+        met = front.join(step, ["repo", "cur"]).where(~F.array_contains("seen", F.col("up")))
+        front = materialize(met.select("repo", "root", F.col("up").alias("cur"), F.concat("at", F.array("i")).alias("at"), F.concat("seen", F.array("up")).alias("seen")))
+        if front.isEmpty():
+            break
+        parts.append(front)
+    itself = F.lit((1 << 31) - 1)
+    every = reduce(DataFrame.unionAll, parts).select("repo", "root", "cur", F.concat("at", F.array(itself)).alias("at"))
+    said = every.join(rows.select("repo", F.col("path").alias("cur"), "base", "paths"), ["repo", "cur"])
+    bases = said.groupBy("repo", "root").agg(F.max_by("base", F.when(F.col("base").isNotNull(), F.col("at"))).alias("base"))
+    each = said.select("repo", "root", "at", F.posexplode("paths").alias("n", "e"))
+    kept = each.groupBy("repo", "root", "e.key").agg(F.max_by("e.value", "at").alias("value"), F.min(F.struct("at", "n")).alias("place"))
+    listed = kept.groupBy("repo", "root").agg(F.array_sort(F.collect_list(F.struct("place", "key", "value"))).alias("all"))
+    merged = bases.join(listed, ["repo", "root"], "left").withColumnRenamed("root", "path")
+    pair = F.transform(F.coalesce("all", F.array().cast("array<struct<place:struct<at:array<int>,n:int>,key:string,value:array<string>>>")), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    return rows.select("repo", "path", "dir").join(merged, ["repo", "path"]).select("repo", "path", "dir", F.coalesce("base", F.lit(".")).alias("base"), pair.alias("paths"))
 
 
 def script_imports(specs: DataFrame, paths: DataFrame, configs: DataFrame) -> DataFrame:
