@@ -49,3 +49,39 @@ def edge_distances(edges: DataFrame, vectors: DataFrame, key: str, vector: str)
     d = v.withColumnsRenamed({key: "dst", "_v": "_d"})
     met = edges.join(s, "src").join(d, "dst")
     return met.withColumn("distance", 1 - dot(F.col("_s"), F.col("_d"))).drop("_s", "_d")
+
+
+def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int) -> DataFrame:
+    """(key, cluster, distance): Lloyd's rounds from the vectors of the `k` least keys; of equal distances the smaller number.
+
+    Only the `k` centres are on the driver. A centre without vectors stays. Vectors that are null, of another size than the first
+    one's or have a null component are left out.
+    """
+    first = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).orderBy(key).limit(k).select(doubles(F.col(vector)).alias("v")).collect()
+    if not first:
+        return df.select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")).limit(0)
+    size = len(first[0]["v"])
+    centres = [list(r["v"]) for r in first if len(r["v"]) == size and None not in r["v"]]
+    kept = df.select(key, doubles(F.col(vector)).alias("v")).where((F.size("v") == size) & F.forall("v", lambda x: x.isNotNull()))
+
+    def nearest_centre() -> DataFrame:
+        def away(c: list[float]) -> Column:
+            return F.aggregate(F.zip_with("v", F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+        best = F.least(*[F.struct(away(c).alias("distance"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]) if len(centres) > 1 else F.struct(away(centres[0]).alias("distance"), F.lit(0).alias("cluster"))
+        return kept.select(key, "v", best.alias("best")).select(key, "v", "best.cluster", "best.distance")
+
+    for _ in range(rounds):
+        means = nearest_centre().groupBy("cluster").agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(size)])
+        for r in means.collect():  # k rows
+            centres[r["cluster"]] = [r[f"m{i}"] for i in range(size)]
+    return nearest_centre().select(key, "cluster", "distance")
+
+
+def census(assigned: DataFrame, group: str, marked: str) -> DataFrame:
+    """(cluster, n, dominant, purity, share) of rows (cluster, group, marked boolean): the group with most members, the least of
+    equals, its share of the cluster, and the share of marked rows."""
+    counted = assigned.groupBy("cluster", group).agg(F.count("*").alias("n"), F.count_if(F.expr(marked)).alias("m"))
+    most = F.max(F.struct("n", (-F.col(group)).alias("o")))
+    each = counted.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), most.alias("top"))
+    return each.select("cluster", "n", (-F.col("top.o")).alias("dominant"), (F.col("top.n") / F.col("n")).alias("purity"), (F.col("m") / F.col("n")).alias("share"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
+from graphloom.operators import community as cm
 from graphloom.operators import forest as fo
 from graphloom.operators import graph as g
 from graphloom.operators import paths as pa
@@ -520,3 +521,66 @@ def impact_traces(spark: SparkSession, d: str) -> DataFrame:
     """The way of a change to the nodes that are 15 away or more."""
     found = materialize(_flood(spark, d))
     return pa.traced(found, found.where("distance >= 15")).select("node", F.array_join("path", ">").alias("path"))
+
+
+# -- communities, brokers, neighbourhoods
+
+
+def _communities_sql(rounds: int) -> str:
+    out = f"""WITH {ORDER_EDGES_SQL}, links AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+    c0 AS (SELECT DISTINCT src AS node, src AS community FROM links)"""
+    for i in range(1, rounds + 1):
+        out += f""", c{i} AS MATERIALIZED (SELECT src AS node, arg_min(community, (-n, community)) AS community FROM (
+      SELECT src, community, count(*) AS n FROM links JOIN c{i - 1} ON node = dst GROUP BY 1, 2) GROUP BY 1)"""
+    return f"{out} SELECT node, community FROM c{rounds}"
+
+
+@query("communities", _communities_sql(6))
+def communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities after six rounds of label propagation."""
+    return cm.communities(order_edges(spark, d), 6)
+
+
+@query(
+    "co_changes",
+    """WITH c AS (SELECT DISTINCT l_suppkey AS g, l_orderkey AS o FROM lineitem), own AS (SELECT g, count(*) AS n FROM c GROUP BY 1),
+    t AS (SELECT count(DISTINCT o) AS t FROM c),
+    m AS (SELECT a.g AS a, b.g AS b, count(*) AS n FROM c a JOIN c b ON a.o = b.o AND a.g < b.g GROUP BY 1, 2 HAVING count(*) >= 3)
+    SELECT a, b, m.n, round(m.n * t / (x.n * y.n), 9) AS lift FROM m JOIN own x ON x.g = a JOIN own y ON y.g = b, t""",
+)
+def co_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers that stand in three orders or more together, and by how much more than by chance."""
+    found = cm.co_changes(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", 3)
+    return found.withColumn("lift", F.round("lift", 9))
+
+
+@query("betweenness")
+def betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """How many shortest paths lead through each order, exactly: all of them are sources."""
+    e = materialize(order_edges(spark, d))
+    found = cm.betweenness(e, e.select(F.col("src").alias("node")).distinct())
+    return found.withColumn("score", F.round("score", 9))
+
+
+def _kmeans_sql(k: int, rounds: int) -> str:
+    away = "list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+    out = f"""WITH x AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS c, v FROM x ORDER BY vec_id LIMIT {k})"""
+    for i in range(rounds + 1):
+        out += f""", a{i} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, any_value(xv) AS v, min((d, c)) AS m
+      FROM (SELECT x.vec_id, x.label, x.v AS xv, c.c, {away} AS d FROM x, c{i} c) GROUP BY 1)"""
+        if i < rounds:
+            out += f""", c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(t.v, o.v) AS v FROM c{i} o LEFT JOIN (
+        SELECT c, list(e ORDER BY i) AS v FROM (SELECT m[2] AS c, i, avg(v[i]) AS e FROM a{i}, unnest(range(1, len(v) + 1)) AS u(i) GROUP BY 1, 2) GROUP BY 1) t ON t.c = o.c)"""
+    return f"""{out}, g AS (SELECT m[2] AS cluster, label, count(*) AS n, count(*) FILTER (vec_id % 2 = 0) AS e FROM a{rounds} GROUP BY 1, 2)
+    SELECT CAST(cluster AS INT) AS cluster, CAST(sum(n) AS BIGINT) AS n, arg_max(label, (n, -label)) AS dominant, round(max(n) / sum(n), 9) AS purity, round(sum(e) / sum(n), 9) AS share
+    FROM g GROUP BY cluster"""
+
+
+@query("neighbourhood_census", _kmeans_sql(12, 10))
+def neighbourhood_census(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve neighbourhoods by k-means, ten rounds from a stated start, with their dominant group and its share."""
+    e = table(spark, d, "embeddings")
+    found = v.kmeans(e, "vec_id", "embedding", 12, 10).join(e.select("vec_id", "label"), "vec_id")
+    out = v.census(found, "label", "vec_id % 2 = 0")
+    return out.withColumns({c: F.round(c, 9) for c in ("purity", "share")})
