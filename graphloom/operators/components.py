@@ -34,7 +34,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(id, component) of every node with an edge; a component is named by its least node.
 
-    Null ends and loops are left out, repeated edges count once.
+    Null ends and loops are left out, repeated edges count once. More than `rounds` rounds are an error.
     """
     now = materialize(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
@@ -47,5 +47,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         seen = (found["n"], found["h"])
         last, now = now, materialize(_small_star(_large_star(now)))
         release(last)
+    else:
+        raise RuntimeError(f"components are not final after {rounds} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)

@@ -78,36 +78,42 @@ def parse_error_count(errors: Column) -> Column:
     return F.coalesce(F.regexp_extract(first, shape, 1).cast("int"), F.lit(0))
 
 
+def _cut(name: str, parts: list[str]) -> list[str] | None:
+    """The words of a name cut into all of these parts and no others; of several cuts the one with the longest first parts.
+
+    From the last word to the first, each place keeps for every set of parts its best cut of the rest of the name.
+    """
+    starts = [0, *(i + 1 for i, c in enumerate(name) if c == "_")]
+    ways: list[dict[int, tuple[int, ...]]] = [{} for _ in starts] + [{0: ()}]
+    for i in reversed(range(len(starts))):
+        for n, part in enumerate(parts):
+            end, size = starts[i] + len(part), part.count("_") + 1
+            if name.startswith(part, starts[i]) and name[end : end + 1] in ("", "_"):
+                for used, rest in ways[i + size].items():
+                    ways[i][used | 1 << n] = max(ways[i].get(used | 1 << n, ()), (size, *rest))
+    best, out, at = ways[0].get((1 << len(parts)) - 1), [], 0
+    for size in best or ():
+        end = starts[at + size] - 1 if at + size < len(starts) else len(name)
+        out.append(name[starts[at] : end])
+        at += size
+    return out if best else None
+
+
 def compound_parts(compounds: DataFrame) -> DataFrame:
-    """(id, parts in order) of compounds (id, parts): the id's words cut into exactly these parts, long ones first.
+    """(id, parts in order) of compounds (id, parts): the id, with or without its ending, cut into exactly these parts.
 
-    Without such a cut the parts are sorted.
+    Without such a cut the parts are sorted. Null ids and null parts have none.
     """
 
-    def cut(words: list[str], parts: set[str]) -> list[str] | None:
-        stack: list[tuple[int, list[str]]] = [(0, [])]
-        while stack:
-            at, found = stack.pop()
-            if at == len(words):
-                if set(found) == parts:
-                    return found
-                continue
-            for k in range(1, len(words) - at + 1):  # the longest is pushed last and tried first
-                if "_".join(words[at : at + k]) in parts:
-                    stack.append((at + k, [*found, "_".join(words[at : at + k])]))
-        return None
-
-    def one(name: str, parts: list[str]) -> list[str]:
-        wanted = set(parts)
-        for base in (name, name.removesuffix("_compound")):
-            words = base.split("_")
-            if wanted and len(words) <= 32 and (found := cut(words, wanted)) is not None:
-                return found
-        return sorted(wanted)
+    def ordered(name: str | None, parts: list[str] | None) -> list[str]:
+        wanted = sorted({p for p in (parts if parts is not None else []) if p is not None})
+        if not wanted or name is None:
+            return wanted
+        return _cut(name, wanted) or _cut(name.removesuffix("_compound"), wanted) or wanted
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["id"], "parts": [one(n, list(p)) for n, p in zip(f["id"], f["parts"])]})
+            yield pd.DataFrame({"id": f["id"], "parts": [ordered(n, p) for n, p in zip(f["id"], f["parts"])]})
 
     return compounds.select("id", "parts").mapInPandas(run, "id string, parts array<string>")
 

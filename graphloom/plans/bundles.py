@@ -13,6 +13,7 @@ from graphloom.plans.registry import query
 from graphloom.plans.tables import table
 from graphloom.sources import artifacts as ar
 from graphloom.sources import bundle as b
+from graphloom.sources import rebuild as rb
 from graphloom.sources import sparql
 
 X, A = "http://x/", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -393,3 +394,65 @@ def cycle_resolutions(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.array(*(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in links))
     edges = keys.select("k", F.explode(pairs).alias("p")).select(F.concat("k", "p.a").alias("src"), F.concat("k", "p.b").alias("dst"))
     return dc.cycle_resolutions(files, edges)
+
+
+# -- repair and evidence
+
+
+def _graph_tables(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """parts and brands as tables, and the triples that say the same."""
+    part = table(spark, d, "part")
+    brand = F.replace("p_brand", F.lit("#"), F.lit("-"))
+    tables = {
+        "parts": part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit('"\\ \n')).alias("path"), F.col("p_size").alias("size"), F.array(brand).alias("brands")),
+        "brands": part.groupBy(brand.alias("brand")).agg(F.array_sort(F.collect_set("p_type")).alias("kinds")),
+    }
+    null = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, s: Column, p: str, o: Column, kind: str = "literal") -> DataFrame:
+        return df.select(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), null.alias("datatype"), null.alias("lang"))
+
+    s, of = _iri("part", "id"), F.concat(F.lit(f"{X}brand/"), "brand")
+    p, t = tables["parts"], tables["brands"]
+    out = rows(p, s, A, F.lit(f"{X}Part"), "iri").unionAll(rows(p, s, f"{X}path", F.col("path"))).unionAll(rows(p, s, f"{X}size", F.col("size")))
+    out = out.unionAll(rows(p, s, f"{X}brand", F.get("brands", 0))).unionAll(rows(t, of, A, F.lit(f"{X}Brand"), "iri"))
+    return tables, out.unionAll(rows(t.select("brand", F.explode("kinds").alias("k")), of, f"{X}kind", F.col("k")))
+
+
+SHAPES = {
+    "parts": rb.Shape(f"{X}Part", "id", "bigint", f"{X}part/", (("path", f"{X}path", "string"), ("size", f"{X}size", "int"), ("brands", f"{X}brand", "array<string>"))),
+    "brands": rb.Shape(f"{X}Brand", "brand", "string", f"{X}brand/", (("kinds", f"{X}kind", "array<string>"),)),
+}
+
+
+@query(
+    "sidecars_rebuilt",
+    """SELECT 'parts' AS name, true AS equal, CAST(p_partkey AS VARCHAR) AS key, p_name || '"\\ ' || chr(10) || '|' || p_size || '|' || replace(p_brand, '#', '-') AS content FROM part
+    UNION ALL SELECT 'brands', true, replace(p_brand, '#', '-'), string_agg(DISTINCT p_type, ',' ORDER BY p_type) FROM part GROUP BY p_brand""",
+)
+def sidecars_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of a bundle from its graph alone, with whether they are what its manifest says."""
+    place = _place(spark)
+    tables, triples = _graph_tables(spark, d)
+    ar.emit(tables, triples, place, {"source": "part"})
+    found, equal = rb.rebuild(spark, place, SHAPES)
+    parts = found["parts"].select(
+        F.lit("parts").alias("name"), F.lit(equal["parts"]).alias("equal"), F.col("id").cast("string").alias("key"),
+        F.concat_ws("|", "path", F.col("size").cast("string"), F.array_join("brands", ",")).alias("content"),
+    )
+    brands = found["brands"].select(F.lit("brands"), F.lit(equal["brands"]), "brand", F.array_join("kinds", ","))
+    return parts.unionAll(brands)
+
+
+MARKERS = ["re", "there", "her", "tion", "@", "+1", "ation the", "\n\n", "l'", ".*", "é", "the and"]
+
+
+@query(
+    "content_evidence",
+    f"""WITH m AS (SELECT unnest([{", ".join("'" + m.replace("'", "''").replace(chr(10), "' || chr(10) || '") + "'" for m in MARKERS)}]) AS marker)
+    SELECT lang || '/' || doc_id AS path, marker FROM documents, m WHERE contains(text, marker)""",
+)
+def content_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Which markers the contents of files have, each content searched once."""
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("digest"), "text")
+    return rb.find_markers(docs.select("path", "digest"), docs.select("digest", "text"), MARKERS)

@@ -98,6 +98,8 @@ TERM = re.compile(
 )
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD = "http://www.w3.org/2001/XMLSchema#"
+#: Prefixes that a document may declare; with more it isn't read, as names under those left out couldn't be expanded.
+MOST_PREFIXES = 10_000
 PREFIX = r"(?i)^\s*(?:@prefix|prefix)\s+([\w-]*:)\s*<([^>]*)>\s*\.?\s*$"
 
 
@@ -157,7 +159,10 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).where(F.col("value").rlike(PREFIX))
     named = lines.select(F.regexp_extract("value", PREFIX, 1).alias("k"), F.regexp_extract("value", PREFIX, 2).alias("v")).distinct()
-    prefixes = {r.k: r.v for r in named.limit(10_000).collect()}  # a prefix is declared, not data
+    rows = named.limit(MOST_PREFIXES + 1).collect()  # a prefix is declared, not data
+    if len(rows) > MOST_PREFIXES:
+        raise ValueError(f"more than {MOST_PREFIXES} prefixes in {path}")
+    prefixes = {r.k: r.v for r in rows}
     blocks = spark.read.option("lineSep", ".\n").text(path)
     body = F.regexp_replace("value", r"(?im)^\s*(?:@prefix|prefix|@base|base)\s.*$", "")
     whole = F.when(F.rtrim(body).rlike(r"\.\s*$"), body).otherwise(F.concat(body, F.lit(" .")))
