@@ -89,11 +89,11 @@ def percent_encode(c: Column) -> Column:
 
 
 def fnv1a(c: Column) -> Column:
-    """The 32-bit FNV-1a hash of a text's UTF-16 units below 128."""
-    units = F.filter(F.split(c, ""), lambda x: x != "")
+    """The 32-bit FNV-1a hash of a text, a UTF-16 unit at a time; characters beyond the basic plane are two units."""
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
 
     def step(h: Column, x: Column) -> Column:
-        mixed = h.bitwiseXOR(F.ascii(x).cast("bigint"))
+        mixed = h.bitwiseXOR(F.conv(x, 16, 10).cast("bigint"))
         return F.pmod(mixed * 16777619, F.lit(4294967296))
 
     return F.aggregate(units, F.lit(2166136261).cast("bigint"), step)

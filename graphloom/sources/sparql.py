@@ -565,9 +565,26 @@ class Compiler:
             found = found.unionAll(fresh)
         return found
 
+    def walk(self, p: tuple, start: str, forward: bool) -> DataFrame:
+        """(s, o) of a path of any length from a known end: each round steps from the nodes that are new."""
+        one = self.edges(p[1])
+        step = one if forward else one.select(F.col("o").alias("s"), F.col("s").alias("o"))
+        step = materialize(step.distinct())
+        found = fresh = materialize(step.where(F.col("s") == start).select(F.col("o").alias("n")))
+        while not fresh.isEmpty():
+            more = fresh.join(step.withColumnRenamed("s", "n"), "n").select(F.col("o").alias("n")).distinct()
+            fresh = materialize(more.join(found, "n", "left_anti"))
+            found = found.unionAll(fresh)
+        if p[0] == "star":
+            own = self.triples.where((F.col("s") == start) | (F.col("o") == start)).limit(1).select(F.lit(start).alias("n"))
+            found = found.unionAll(own).distinct()
+        return found.select(F.lit(start).alias("s"), F.col("n").alias("o")) if forward else found.select(F.col("n").alias("s"), F.lit(start).alias("o"))
+
     def triple(self, s: tuple, p: tuple, o: tuple) -> Solutions:
         if p[0] == "var":
             rows, places = self.triples, [("s", s), ("p", p), ("o", o)]
+        elif p[0] in ("plus", "star") and "term" in (s[0], o[0]):
+            rows, places = self.walk(p, s[1] if s[0] == "term" else o[1], s[0] == "term"), [("s", s), ("o", o)]
         else:
             rows, places = self.edges(p), [("s", s), ("o", o)]
         out: dict[str, str] = {}

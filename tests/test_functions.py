@@ -215,3 +215,16 @@ def test_blank_answers_are_empty(spark):
     rows = [("\n\t \n",), ("  ",), ("\nfine words\t",), ("```\n\n```",)]
     got = [r.x for r in spark.createDataFrame(rows, "t string").select(tx.rejection(F.lit("file_summary"), F.col("t")).alias("x")).collect()]
     assert got == ["empty", "empty", None, "empty"]
+
+
+def test_fnv1a_beyond_ascii(spark):
+    def plain(t):
+        h = 2166136261
+        raw = t.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[i : i + 2], "big")) * 16777619) % 2**32
+        return h
+
+    texts = ["", "a", "src/main.py", "é€", "日本", "x\U0001f600y"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.fnv1a(F.col("t")).alias("h")).collect()
+    assert [r.h for r in got] == [plain(t) for t in texts]

@@ -82,3 +82,16 @@ def test_order_and_limits(spark, graph):
 def test_refused(graph, query):
     with pytest.raises(Refused):
         sparql.select(graph, P + query)
+
+
+@pytest.mark.parametrize("path", ["+", "*"])
+def test_walk_from_a_known_end_is_the_closure(spark, path):
+    """From one end or to one, the answers are those of the unbound path with that end."""
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e"), ("f", "a"), ("z", "y")]
+    rows = [(f"http://x/{s}", "http://x/p", f"http://x/{o}", "iri", None, None) for s, o in links]
+    df = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, datatype string, lang string")
+    every = {(r.s, r.o) for r in sparql.select(df, f"SELECT ?s ?o {{ ?s <http://x/p>{path} ?o }}").collect()}
+    for x in "abdefq":
+        out = {r.o for r in sparql.select(df, f"SELECT ?o {{ <http://x/{x}> <http://x/p>{path} ?o }}").collect()}
+        into = {r.s for r in sparql.select(df, f"SELECT ?s {{ ?s ^<http://x/p>{path} <http://x/{x}> }}").collect()}
+        assert out == into == {o for s, o in every if s == f"http://x/{x}"}
