@@ -95,4 +95,4 @@ def test_tokens(stages):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(f in names for f in queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
