@@ -362,6 +362,18 @@ def bundle_files(spark: SparkSession, d: str) -> DataFrame:
     return ar.load(spark, _bundle(spark, d))["files"]
 
 
+@query("bundle_concepts", "SELECT c AS name, count(*) AS frequency FROM (SELECT unnest(string_split(p_name, ' ')) AS c FROM part) GROUP BY 1")
+def bundle_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """The concepts of a loaded bundle. K06, S16."""
+    return ar.load(spark, _bundle(spark, d))["concepts"]
+
+
+@query("bundle_chunks", "SELECT p_partkey AS file, p_brand AS kind, p_type AS symbol FROM part")
+def bundle_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of a loaded bundle. S16, J03."""
+    return ar.load(spark, _bundle(spark, d))["chunks"]
+
+
 @query("turtle_roundtrip", f"WITH {_TRIPLES} SELECT * FROM t")
 def turtle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Triples written as Turtle, a block for each subject, and read in splits. S06, S08, K02."""
@@ -370,13 +382,14 @@ def turtle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return ar.read_turtle(spark, place)
 
 
-@query("vectors_kept", "SELECT vec_id AS id, len(embedding) AS width FROM embeddings")
+@query("vectors_kept", "SELECT vec_id AS id, CAST(i - 1 AS BIGINT) AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)")
 def vectors_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors written with their digest and read again. K05."""
+    """Vectors written with their digest and read again, component by component. K05, S11."""
     place = _place(spark)
     e = table(spark, d, "embeddings")
     ar.write_vectors(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("v")), place, "given")
-    return ar.read_vectors(spark, place).select("id", F.size("v").cast("bigint").alias("width"))
+    kept = ar.read_vectors(spark, place).select("id", F.posexplode("v").alias("i", "x"))
+    return kept.select("id", F.col("i").cast("bigint").alias("i"), F.col("x").cast("double").alias("x"))
 
 
 @query(

@@ -208,12 +208,13 @@ def interchanges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "unique_bases",
-    """WITH c AS (SELECT p_partkey AS path, p_name AS name FROM part), u AS (SELECT name, min(path) AS target FROM c GROUP BY 1 HAVING count(*) = 1)
+    """WITH c AS (SELECT p_partkey AS path, p_brand || CASE WHEN p_partkey % 3 > 0 THEN p_partkey ELSE p_size END AS name FROM part), u AS (SELECT name, min(path) AS target FROM c GROUP BY 1 HAVING count(*) = 1)
     SELECT o_orderkey AS path, 'o' || o_orderkey AS child, target FROM orders JOIN c ON c.path = o_custkey % 50 + 1 JOIN u USING (name)""",
 )
 def unique_bases(spark: SparkSession, d: str) -> DataFrame:
     """Bases found by names that one class alone bears. J20."""
-    classes = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_name").alias("name"))
+    number = F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey")).otherwise(F.col("p_size"))  # some names are borne by several
+    classes = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.concat("p_brand", number.cast("string")).alias("name"))
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50 + 1).alias("k"))
     derived = o.join(classes.select(F.col("path").alias("k"), F.col("name").alias("base")), "k")
     return sv.unique_bases(derived.select(F.col("o_orderkey").alias("path"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("child"), "base"), classes)
