@@ -10,6 +10,7 @@ from graphloom.operators import graph as g
 from graphloom.operators import relational as op
 from graphloom.operators.components import connected_components
 from graphloom.plans import catalog
+from graphloom.plans.tables import edges as part_edges
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -86,7 +87,8 @@ def test_whole_graph(spark, tmp_path):
     lineitem.write.parquet(f"{tmp_path}/lineitem.parquet")
     e = {(a, b) for order in parts for a, b in zip(order, order[1:]) if a != b}
     nodes = sorted({x for pair in e for x in pair})
-    run = {name: catalog.QUERIES[name](spark, str(tmp_path)).collect() for name in ("pagerank", "build_order", "walk_limited")}
+    run = {name: catalog.QUERIES[name](spark, str(tmp_path)).collect() for name in ("pagerank", "walk_limited")}
+    layered = g.scc_layers(part_edges(spark, str(tmp_path))).collect()
 
     rank = {x: 1 / len(nodes) for x in nodes}
     out = {x: [b for a, b in e if a == x] for x in nodes}
@@ -106,7 +108,7 @@ def test_whole_graph(spark, tmp_path):
         below = {y for y in reach[x] if component[y] != component[x]}
         return 1 + max(map(layer, below)) if below else 0
 
-    assert {(r.node, r.component, r.layer) for r in run["build_order"]} == {(x, component[x], layer(x)) for x in nodes}
+    assert {(r.node, r.component, r.layer) for r in layered} == {(x, component[x], layer(x)) for x in nodes}
 
     depth, front = {1: 0}, [1]
     for k in range(1, 5):
