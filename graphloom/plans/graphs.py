@@ -52,7 +52,19 @@ def file_impact(spark: SparkSession, d: str) -> DataFrame:
     return out.unionAll(into).join(names, "node").select("side", "node", "depth", "p_name")
 
 
-@query("walk_limited")
+def _limited_sql(start: int, depth: int, limit: int) -> str:
+    """The levels written out: what is new on each, in the order of the least place of a parent, then of the key."""
+    out = f"WITH {EDGES_SQL}, l0 AS (SELECT CAST({start} AS BIGINT) AS node, CAST(0 AS BIGINT) AS ord)"
+    for i in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM l{j}" for j in range(i))
+        out += f""", n{i} AS (SELECT dst AS node, min(ord) AS p FROM l{i - 1} JOIN edges ON src = node WHERE dst NOT IN ({seen}) GROUP BY 1 ORDER BY p, node LIMIT {limit}),
+    l{i} AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY p, node) AS ord FROM n{i})"""
+    every = " UNION ALL ".join(f"SELECT node, {i} AS depth, ord FROM l{i}" for i in range(1, depth + 1))
+    return f"""{out}, r AS (SELECT node, CAST(depth AS INT) AS depth, row_number() OVER (ORDER BY depth, ord) AS ord FROM ({every}))
+    SELECT node, depth, ord, (SELECT count(*) FROM r WHERE ord <= {limit}) >= {limit} AS truncated FROM r WHERE ord <= {limit}"""
+
+
+@query("walk_limited", _limited_sql(1, 4, 50))
 def walk_limited(spark: SparkSession, d: str) -> DataFrame:
     """The first fifty nodes of a walk, in its order, with the truncation flag."""
     return g.walk_limited(edges(spark, d), 1, 4, 50)
