@@ -13,6 +13,7 @@ from graphloom.plans.registry import query
 from graphloom.plans.tables import table
 from graphloom.sources import artifacts as ar
 from graphloom.sources import bundle as b
+from graphloom.sources import gate
 from graphloom.sources import rebuild as rb
 from graphloom.sources import sparql
 
@@ -457,6 +458,20 @@ def sidecars_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     return parts.unionAll(brands)
 
 
+@query(
+    "bundle_orientation",
+    f"""WITH p(predicate) AS (VALUES (NULL), ('{X}path'), ('{X}size'), ('{X}brand')), b AS (SELECT count(DISTINCT p_brand) AS n, count(DISTINCT (p_brand, p_type)) AS v FROM part)
+    SELECT '{X}Part' AS class, predicate, n AS subjects, n AS "values" FROM p, (SELECT count(*) AS n FROM part)
+    UNION ALL SELECT '{X}Brand', NULL, n, n FROM b UNION ALL SELECT '{X}Brand', '{X}kind', n, v FROM b""",
+)
+def bundle_orientation(spark: SparkSession, d: str) -> DataFrame:
+    """The classes and predicates of a bundle's graph, with how many subjects and values they have."""
+    place = _place(spark)
+    tables, triples = _graph_tables(spark, d)
+    ar.emit(tables, triples, place, {"source": "part"})
+    return gate.orient(ar.load(spark, place)["triples"])
+
+
 MARKERS = ["re", "there", "her", "tion", "@", "+1", "ation the", "\n\n", "l'", ".*", "é", "the and"]
 
 

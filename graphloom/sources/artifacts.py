@@ -29,8 +29,8 @@ def fingerprint(table: DataFrame) -> dict:
     return {"rows": got.n, "digest": str(got.s if got.s is not None else 0), "schema": table.schema.simpleString()}
 
 
-def emit(tables: dict[str, DataFrame], triples: DataFrame, place: str, meta: dict[str, str] | None = None) -> dict:
-    """Write a bundle and return its manifest. Nothing may be there before."""
+def emit(tables: dict[str, DataFrame], triples: DataFrame, place: str, meta: dict[str, object] | None = None) -> dict:
+    """Write a bundle and return its manifest, with `meta` (what JSON can hold) in it. Nothing may be there before."""
     spark = triples.sparkSession
     found = {}
     for name, df in tables.items():
