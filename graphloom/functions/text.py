@@ -39,6 +39,16 @@ def concepts_of(identifier: Column, aliases: dict[str, str] | None = None) -> Co
     return F.array_compact(F.transform(split_identifier(identifier), lambda t: canonical(t, aliases)))
 
 
+#: The most characters of an identifier that stands for itself (fixed value).
+SHORT_IDENTIFIER = 30
+
+
+def alternate(concept: Column, identifier: Column, aliases: dict[str, str] | None = None) -> Column:
+    """The form under which an identifier shows a concept: a short one itself, of a long one the first token of that concept."""
+    of = F.filter(split_identifier(identifier), lambda t: F.coalesce(canonical(t, aliases) == concept, F.lit(False)))
+    return F.when(F.length(identifier) <= SHORT_IDENTIFIER, identifier).otherwise(F.coalesce(F.get(of, 0), identifier))
+
+
 # -- paths
 
 
