@@ -17,6 +17,7 @@ HEADLINE = [
     "scc", "build_order", "transitive_dependents", "class_components", "pagerank", "duplicated_responsibilities",
     "source_chunks", "imports_typescript", "file_details", "communities", "co_changes", "impact_flood", "import_forest",
     "neighbourhood_census", "ntriples_roundtrip", "turtle_roundtrip", "content_evidence",
+    "terrain_density", "terrain_frontiers", "terrain_rollup", "concept_alternates",
 ]
 
 #: Seconds of a first run after which there is no second one.
