@@ -67,7 +67,7 @@ def _numbers(b: bytes, width: int = 8) -> np.ndarray:
 
 
 def _encode(n: np.ndarray, target: np.ndarray) -> bytes:
-    """Counts from 1 up with the part of each that targets have: a byte each, a bit where the count is 1, more for large ones."""
+    """Counts with the part of each that targets have: a byte each, a bit where the count is 1 or 0, more for large ones."""
     many, large = n > 1, n >= 255
     parts = [np.minimum(n, 255), np.minimum(target[many], 255), np.packbits(target[~many] > 0)]
     return b"".join(x.astype(np.uint8).tobytes() for x in parts) + np.stack([n[large], target[large]]).astype("<i8").tobytes()
@@ -116,6 +116,10 @@ class Slice:
         at = self.at if kept is None or kept.all() else self.at[:, kept]
         return np.bincount(at.ravel(), minlength=len(self.grams))
 
+    def edges(self) -> np.ndarray:
+        """Where each bucket's n-grams begin, and the end of the last one's."""
+        return np.r_[np.flatnonzero(np.diff(self.bucket, prepend=-1)), len(self.grams)]
+
     def own(self) -> np.ndarray:
         """(order, tokens): how often the n-gram at each token occurs in its own document."""
         out = np.empty(self.at.shape, np.int64)
@@ -196,7 +200,7 @@ def _ask(order: int, buckets: int):
                 row = batch.slice(at, 1).to_pylist()[0]
                 s, member = _open(row, order, buckets)
                 n, target = s.counts(), s.counts(member[s.document])
-                edges = [*np.flatnonzero(np.r_[True, s.bucket[1:] != s.bucket[:-1]]).tolist(), len(s.grams)] if len(s.grams) else [0]
+                edges = s.edges().tolist()
                 spans = list(zip(edges[:-1], edges[1:]))
                 cols = [
                     pa.array([row["slice"]] * len(spans), pa.int64()),
@@ -216,14 +220,16 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, at = np.unique(np.concatenate(grams), return_inverse=True)
         cuts = np.cumsum([len(g) for g in grams])[:-1]
         counts = [_decode(c, len(g)) for c, g in zip(t.column("counts").to_pylist(), grams)]
-        out = []
+        others = []
         for k in range(2):
             own = np.concatenate([c[k] for c in counts])
             total = np.zeros(int(at.max()) + 1, np.int64)
             np.add.at(total, at, own)
-            out.append(pa.array([_planes(x) for x in np.split(total[at] - own, cuts)], pa.binary()))
+            others.append(np.split(total[at] - own, cuts))
         who = [t.column(c).combine_chunks() for c in ("slice", "bucket")]
-        yield pa.RecordBatch.from_arrays([*who, *out], names=["slice", "bucket", "n", "n_target"])
+        yield pa.RecordBatch.from_arrays(
+            [*who, pa.array([_encode(n, target) for n, target in zip(*others)], pa.binary())], names=["slice", "bucket", "counts"]
+        )
 
 
 def _score(totals: list[int], order: int, buckets: int, keys: list[str], mu: float):
@@ -234,10 +240,12 @@ def _score(totals: list[int], order: int, buckets: int, keys: list[str], mu: flo
             answers = t.slice(1)
             s, member = _open({c: t.column(c)[0].as_py() for c in ("targets", "sizes", "tokens")}, order, buckets)
             own, everyone = s.own(), np.ones(len(member), bool)
+            spans = np.diff(s.edges())
+            others = [_decode(c, n) for c, n in zip(answers.column("counts").to_pylist(), spans.tolist(), strict=True)]
             losses = []
-            for name, who, n, documents in (("n", everyone, n_tokens, n_docs), ("n_target", member, n_target, n_target_docs)):
-                others = np.concatenate([*map(_numbers, answers.column(name).to_pylist()), np.zeros(0, np.int64)])
-                losses.append(s.losses(others + s.counts(who[s.document]), own, n, documents, who, mu))
+            for k, (who, n, documents) in enumerate(((everyone, n_tokens, n_docs), (member, n_target, n_target_docs))):
+                total = np.concatenate([*(x[k] for x in others), np.zeros(0, np.int64)])
+                losses.append(s.losses(total + s.counts(who[s.document]), own, n, documents, who, mu))
             background, target = losses
             cols = [pa.array(np.maximum(s.sizes - 1, 0))]
             for x in (background, target, target - background):  # the last: loss differences of the tokens
@@ -280,7 +288,7 @@ def score(
         _ask(order, buckets), "slice bigint, bucket bigint, grams binary, counts binary"
     )
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _answer, "slice bigint, bucket bigint, n binary, n_target binary"
+        _answer, "slice bigint, bucket bigint, counts binary"
     )
     heads = marked.select("slice", F.lit(-1).cast("bigint").alias("bucket"), "docs", "targets", "sizes", "tokens")
     both = heads.unionByName(answers, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "bucket")

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -243,6 +244,30 @@ def test_lm_scores(spark, documents, rows, empty, monkeypatch):
         lm.score(documents.withColumn("Score", F.lit(1)), target)
 
 
+@pytest.mark.parametrize("values", [[1, 1, 1, 2], [1, 2, 254, 255, 70_000]])
+def test_lm_answers_are_small(values):
+    """A task holds the answers to its slices, so they take two bytes for an n-gram at most, unless counts are large."""
+    rng = np.random.default_rng(4)
+    asked = []
+    for slice_id in range(3):
+        n = rng.choice(values, 2000)
+        asked.append((slice_id, np.sort(rng.choice(4000, 2000, False)).astype(np.uint32), n, rng.integers(0, n + 1)))
+    batch = pa.RecordBatch.from_pylist(
+        [{"slice": s, "bucket": 7, "grams": g.tobytes(), "counts": lm._encode(n, t)} for s, g, n, t in asked]
+    )
+    (answer,) = lm._answer(iter([batch]))
+    if max(values) < 100:
+        assert sum(len(b) for c in answer.columns if pa.types.is_binary(c.type) for b in c.to_pylist()) <= 3 * 2000 * 2
+    sums = [Counter(), Counter()]
+    for _, g, *counts in asked:
+        for total, c in zip(sums, counts):
+            total.update(dict(zip(g.tolist(), c.tolist())))
+    for row, (slice_id, g, *counts) in zip(answer.to_pylist(), asked, strict=True):
+        assert (row["slice"], row["bucket"]) == (slice_id, 7)
+        for got, total, own in zip(lm._decode(row["counts"], len(g)), sums, counts):
+            assert got.tolist() == [total[x] - o for x, o in zip(g.tolist(), own.tolist())]
+
+
 # -- 5
 
 PLAIN = {
