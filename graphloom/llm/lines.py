@@ -12,7 +12,7 @@ and one edit of a character is one of a word unless it puts in or takes out a bl
 2. A line within one edit of another shares the first or the last half of its words with it. Distinct lines whose
    halves are shared with no other line can't have a partner and leave.
 3. The rest emit their deletion neighbourhood, for places i outside the shared half: the line without its i-th word,
-   and the line itself as one that lacks a word at i, each as a hash with i. Lines that meet on one are within one edit
+   and the line itself as one that lacks a word at i, each as a hash, of the words' hashes, with i. Lines that meet on one are within one edit
    of each other, so each group needs its earliest line alone, not its pairs; the edit distance to that line is then
    verified on the words.
 
@@ -25,6 +25,9 @@ other columns keep their values, but none may have the name of one that is added
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,20 +39,26 @@ ADDED = ["n_lines", "n_copies", "n_near", "emptied"]
 
 def tidy(text: Column) -> Column:
     """A text whose blanks other than line ends are spaces."""
-    return F.when(text.rlike(BLANKS), F.regexp_replace(text, BLANKS, " ")).otherwise(text)
+    some = reduce(or_, (F.contains(text, F.lit(b)) for b in "\t\x0b\x0c\r"))  # a pattern takes five times as long
+    return F.when(some, F.regexp_replace(text, BLANKS, " ")).otherwise(text)
 
 
 def line_words(line: Column) -> Column:
     return F.array_remove(F.split(line, " ", -1), "")
 
 
+def once(c: Column) -> Column:
+    """The same value out of a generator, so that filters of it take it as it is, where they would compute it again."""
+    return F.explode(F.array(c))
+
+
 def _rest(w: Column, at: Column) -> Column:
     """Words from a place (counted from 1) on."""
     return F.slice(w, at, F.greatest(F.size(w), F.lit(1)))
 
 
 def neighbourhood(w: Column, i: Column) -> Column:
-    """The two hashes of place i (from 0): without the i-th word, and as it is with a word missing at i."""
+    """The two hashes of place i (from 0) of words or their hashes: without the i-th one, and as they are with one missing at i."""
     before = F.xxhash64(F.slice(w, F.lit(1), i))
     keys = F.array(F.xxhash64(before, _rest(w, i + 1), i), F.xxhash64(before, _rest(w, i + 2), i))
     return F.when(i < F.size(w), keys).otherwise(F.slice(keys, 1, 1))
@@ -76,10 +85,9 @@ def _lines(documents: DataFrame, min_words: int) -> DataFrame:
     `at` orders places: the document's id, then the line's number. p and s are of the first and last n/2 words, q and
     t of the first and last (n-1)/2, where that is less: one edit leaves one half of the shorter line whole.
     """
-    each = documents.select(
-        "doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split(tidy(F.col("text")), "\n", -1)).alias("idx", "line")
-    )
-    cut = each.select("doc_id", "h", "idx", line_words(F.col("line")).alias("w")).where(F.size("w") >= min_words)
+    hashed = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    each = hashed.select("doc_id", "h", F.posexplode(F.split(tidy(F.col("text")), "\n", -1)).alias("idx", "line"))
+    cut = each.select("doc_id", "h", "idx", once(line_words(F.col("line"))).alias("w")).where(F.size("w") >= min_words)
     w, n = F.col("w"), F.size("w")
     m = F.floor(n / 2).cast("int")
     even = n % 2 == 0
@@ -117,8 +125,8 @@ def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     )
     texts = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
     met = texts.join(by_text, texts.doc_id.eqNullSafe(by_text.d) & (F.col("th") == F.col("h")))
-    cut = met.select(F.split(tidy(F.col("text")), "\n", -1).alias("all"), F.explode("lines").alias("x"))
-    found = cut.select("x.*", line_words(F.get("all", F.col("x.idx"))).alias("w"))
+    cut = met.select(once(F.split(tidy(F.col("text")), "\n", -1)).alias("all"), "lines").select("all", F.explode("lines").alias("x"))
+    found = cut.select("x.*", once(line_words(F.get("all", F.col("x.idx")))).alias("w"))
     # rows may be repeated: the line is wanted once
     own = found.where(F.hash("w") == F.col("k2")).dropDuplicates(["k1", "k2"])
     ranked = own.orderBy("at").select("k1", "k2", "head", "tail", "w", F.monotonically_increasing_id().alias("line"))
@@ -127,7 +135,9 @@ def _near(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     n = F.size("w")
     short = F.floor((n - 1) / 2).cast("int")
     places = F.sequence(F.when(~F.col("tail"), 0).otherwise(short), F.when(F.col("head"), n).otherwise(n - short))
-    spread = known.select("line", "w", F.explode(places).alias("i"))
+    # each word is hashed once, and not again for each place
+    hashed = known.select("line", "head", "tail", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    spread = hashed.select("line", "w", F.explode(places).alias("i"))
     variants = materialize(spread.select("line", F.explode(neighbourhood(F.col("w"), F.col("i"))).alias("key")))
     least = variants.groupBy("key").agg(F.min("line").alias("least"), F.count("*").alias("n")).where("n > 1")
     pairs = variants.join(least, "key").where("line > least").select("line", "least").distinct()

@@ -699,6 +699,28 @@ def test_lines(spark, documents, rows, empty):
     assert sorted((x.doc_id, x.text) for x in got.collect()) == sorted(plain_lines(made))
 
 
+def test_lines_are_cut_and_hashed_once(spark, documents, monkeypatch):
+    """Filters don't cut texts and lines a second time, and places of a line share the hashes of its words."""
+    plans, real = [], lines.materialize
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(lines, "materialize", seen)
+    lines.dedup_lines(documents).count()
+    cut, _, known, variants = plans
+    assert (cut.count("split("), known.count("split("), variants.count("transform(")) == (2, 2, 1)
+    assert known.index("explode(array(split(") > known.index("explode(lines")  # the text is cut below, for all its lines
+
+
+@pytest.mark.parametrize("blank", " \t\x0b\x0c\r")
+def test_every_blank_parts_words(spark, blank):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "x\n" + blank.join("abcde") + blank), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.text, r.n_copies) for r in lines.dedup_lines(docs).collect()}
+    assert got == {1: ("a b c d e", 0), 2: ("x", 1), 3: (None, 0)}
+
+
 # -- names, ids and long texts
 
 
