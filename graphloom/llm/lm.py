@@ -102,11 +102,13 @@ class Slice:
         for k in range(2, order + 1):
             back = np.where(self.begins, np.uint64(START), np.r_[np.uint64(START), back[:-1]])
             codes.append(_mix(codes[-1] ^ _mix(back * _STEP[0] + np.uint64(k))))
-        found, at = np.unique(np.concatenate(codes), return_inverse=True)
-        bucket = (found % np.uint64(buckets)).astype(np.int64)
+        codes = np.concatenate(codes)
+        found, at = np.unique(codes, return_inverse=True)
+        del codes, back
+        bucket = (found % np.uint64(buckets)).astype(np.int32)
         sort = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(sort), np.int64)
-        rank[sort] = np.arange(len(sort))
+        rank = np.empty(len(sort), np.int32)
+        rank[sort] = np.arange(len(sort), dtype=np.int32)
         self.at = rank[at].reshape(order, -1)
         self.bucket = bucket[sort]
         self.grams = (found[sort] // np.uint64(buckets)).astype(np.uint32)
@@ -240,11 +242,11 @@ def _score(totals: list[int], order: int, buckets: int, keys: list[str], mu: flo
             answers = t.slice(1)
             s, member = _open({c: t.column(c)[0].as_py() for c in ("targets", "sizes", "tokens")}, order, buckets)
             own, everyone = s.own(), np.ones(len(member), bool)
-            spans = np.diff(s.edges())
-            others = [_decode(c, n) for c, n in zip(answers.column("counts").to_pylist(), spans.tolist(), strict=True)]
+            edges, others = s.edges(), np.empty((2, len(s.grams)), np.int64)
+            for a, b, c in zip(edges[:-1], edges[1:], answers.column("counts"), strict=True):
+                others[:, a:b] = _decode(c.as_py(), b - a)
             losses = []
-            for k, (who, n, documents) in enumerate(((everyone, n_tokens, n_docs), (member, n_target, n_target_docs))):
-                total = np.concatenate([*(x[k] for x in others), np.zeros(0, np.int64)])
+            for total, who, n, documents in zip(others, (everyone, member), (n_tokens, n_target), (n_docs, n_target_docs)):
                 losses.append(s.losses(total + s.counts(who[s.document]), own, n, documents, who, mu))
             background, target = losses
             cols = [pa.array(np.maximum(s.sizes - 1, 0))]
