@@ -536,10 +536,10 @@ def longest_prefix(spark: SparkSession, d: str) -> DataFrame:
       AND o.a <= i.a AND i.b <= o.b AND (o.a < i.a OR i.b < o.b) GROUP BY 1, 2""",
 )
 def containment_join(spark: SparkSession, d: str) -> DataFrame:
-    """Each span with the tightest span of its key around it."""
-    a = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    """Each span with the tightest span of its key around it; seconds and values to the nearest whole, halves to the even one."""
+    a = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("bigint")
     s = table(spark, d, "events").select(
-        "user_id", F.col("event_id").alias("id"), a.alias("a"), (a + F.round("value").cast("bigint") * 600).alias("b")
+        "user_id", F.col("event_id").alias("id"), a.alias("a"), (a + F.rint("value").cast("bigint") * 600).alias("b")
     )
     return op.containment_join(s, s, ["user_id"])
 
