@@ -16,6 +16,7 @@ def joins(df):
     "name",
     [
         "imports_typescript",
+        "imports_c",
     ],
 )
 def test_imports_meet_paths_in_shuffles(spark, name):
