@@ -17,6 +17,7 @@ def joins(df):
     [
         "imports_typescript",
         "imports_c",
+        "imports_c_several",
     ],
 )
 def test_imports_meet_paths_in_shuffles(spark, name):
