@@ -17,6 +17,7 @@ def joins(df):
     [
         "imports_typescript",
         "imports_c",
+        "imports_cfml",
         "imports_c_several",
     ],
 )
