@@ -18,6 +18,7 @@ def joins(df):
         "imports_typescript",
         "imports_c",
         "imports_cfml",
+        "imports_clojure",
         "imports_c_several",
     ],
 )
