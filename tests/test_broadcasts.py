@@ -20,6 +20,7 @@ def joins(df):
         "imports_cfml",
         "imports_clojure",
         "imports_c_several",
+        "imports_java",
     ],
 )
 def test_imports_meet_paths_in_shuffles(spark, name):
