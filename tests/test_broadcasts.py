@@ -21,6 +21,7 @@ def joins(df):
         "imports_clojure",
         "imports_c_several",
         "imports_java",
+        "imports_php",
     ],
 )
 def test_imports_meet_paths_in_shuffles(spark, name):
