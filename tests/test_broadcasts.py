@@ -22,6 +22,7 @@ def joins(df):
         "imports_c_several",
         "imports_java",
         "imports_php",
+        "imports_objective_c",
     ],
 )
 def test_imports_meet_paths_in_shuffles(spark, name):
