@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import normal_path
+from graphloom.operators.relational import shuffled
 from graphloom.sources import lexical
 
 #: Patterns by language: (kind, expression); the first group is the name. `import` rows are specs to resolve.
@@ -326,7 +327,7 @@ def resolve_python(specs: DataFrame, paths: DataFrame, roots: list[str]) -> Data
         F.slice(F.split("m", r"\."), F.lit(1), F.size(F.split("m", r"\.")) - 1)
     )
     dots = F.length(F.regexp_extract("spec", r"^(\.*)", 1))
-    mine = specs.join(index.select("path", package.alias("pkg")), "path")
+    mine = specs.join(shuffled(index.select("path", package.alias("pkg"))), "path")
     up = F.slice("pkg", F.lit(1), F.greatest(F.size("pkg") - dots + 1, F.lit(0)))
     full = F.when(dots > 0, F.concat_ws(".", up, F.nullif(F.regexp_replace("spec", r"^\.+", ""), F.lit("")))).otherwise(F.col("spec"))
     wanted = mine.select("path", "spec", full.alias("full"), (dots > 0).alias("relative"))
@@ -335,12 +336,12 @@ def resolve_python(specs: DataFrame, paths: DataFrame, roots: list[str]) -> Data
         F.struct(F.lit(0).alias("prio"), F.col("full").alias("m")), F.struct(F.lit(1).alias("prio"), parent.alias("m"))
     )).alias("c")).select("path", "spec", "c.prio", "c.m")
     unique = index.groupBy("m").agg(F.min("path").alias("target"), F.max("path").alias("x")).where("target = x").drop("x")
-    by_name = exact.join(unique, "m")
+    by_name = exact.join(shuffled(unique), "m")
     parts = F.split("m", r"\.")
     ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     suffixes = index.where(F.size(parts) > 1).select("path", F.explode(ends).alias("m"))
     tails = suffixes.groupBy("m").agg(F.min("path").alias("target"), F.max("path").alias("x")).where("target = x").drop("x")
-    by_tail = exact.join(wanted.where("NOT relative").select("path", "spec"), ["path", "spec"], "left_semi").join(tails, "m")
+    by_tail = exact.join(shuffled(wanted.where("NOT relative").select("path", "spec")), ["path", "spec"], "left_semi").join(shuffled(tails), "m")
     found = by_name.select("path", "spec", "target", "prio").unionAll(
         by_tail.select("path", "spec", "target", (F.col("prio") + 2).alias("prio"))
     )

@@ -23,6 +23,7 @@ def joins(df):
         "imports_java",
         "imports_php",
         "imports_objective_c",
+        "imports_python",
     ],
 )
 def test_imports_meet_paths_in_shuffles(spark, name):
