@@ -24,6 +24,7 @@ def joins(df):
         "imports_php",
         "imports_objective_c",
         "imports_python",
+        "imports_rust",
     ],
 )
 def test_imports_meet_paths_in_shuffles(spark, name):
