@@ -25,6 +25,7 @@ def joins(df):
         "imports_objective_c",
         "imports_python",
         "imports_rust",
+        "imports_ruby",
     ],
 )
 def test_imports_meet_paths_in_shuffles(spark, name):
