@@ -26,6 +26,7 @@ def joins(df):
         "imports_python",
         "imports_rust",
         "imports_ruby",
+        "imports_swift",
     ],
 )
 def test_imports_meet_paths_in_shuffles(spark, name):
