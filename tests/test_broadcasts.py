@@ -27,6 +27,7 @@ def joins(df):
         "imports_rust",
         "imports_ruby",
         "imports_swift",
+        "imports_css",
     ],
 )
 def test_imports_meet_paths_in_shuffles(spark, name):
