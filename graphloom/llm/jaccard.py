@@ -17,7 +17,7 @@
 
 Groups under one prefix or in one component are split into blocks, bounded by rows and by shingles, and each pair of
 blocks is a task's unit, so no group lands in one task and nothing is capped. The work within one group of n different
-texts still grows with n^2.
+texts still grows with n^2. Tables meet in shuffles; what is broadcast is the sample and the bitmap, both bounded.
 
 Words are those of `words()`; a text of fewer than `WIDTH` words is one shingle, a long one is taken whole. Documents with a
 null id, and those without words (null texts too), match nothing: class_id is the own id, n_links 0. Repeated rows of one
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import WordHash, byte_words, map_batches, materialize
 from graphloom.operators.components import connected_components
+from graphloom.operators.relational import shuffled
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 20, 8
@@ -409,20 +410,20 @@ def _grouped(documents: DataFrame, threshold: float, recall: float) -> DataFrame
     prefix = F.expr(f"substring(sign, {DEPTH} * tree + 1, {fit.depth})")
     under = classes.select("id", "sign", tree.alias("tree")).select("id", "tree", F.xxhash64("tree", prefix).alias("key"))
     met = under.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = under.join(met, "key").join(classes.select("id", "n", "sign"), "id")
+    members = under.join(shuffled(met), "key").join(shuffled(classes.select("id", "n", "sign")), "id")
     path = F.expr(f"substring(sign, {DEPTH} * tree + 1, {DEPTH})")
     edges = in_cells(members, "key", F.ceil(F.col("m") / PREFIX_BLOCK), path).mapInArrow(
         lambda b: _forest(b, threshold, fit.depth), "src bigint, dst bigint"
     )
     candidates = connected_components(edges)
 
-    some = materialize(candidates.join(classes.select("id", "row.*", "cls", "size", "n"), "id"))
+    some = materialize(candidates.join(shuffled(classes.select("id", "row.*", "cls", "size", "n")), "id"))
     sizes = some.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"))
     texts = documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
     texts = _may_be(texts, some)
-    wanted = texts.join(some.select("doc_id", "th", "id", "cls"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    wanted = texts.join(shuffled(some.select("doc_id", "th", "id", "cls")), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     sets = wanted.select("id", "cls", "text").mapInArrow(_sets, "id bigint, codes binary")
-    held = some.select("id", "component", "size").join(sizes, "component").join(sets, "id")
+    held = some.select("id", "component", "size").join(shuffled(sizes), "component").join(shuffled(sets), "id")
     blocks = F.greatest(F.ceil(F.col("m") / SET_BLOCK), F.ceil(F.col("all_n") / BLOCK_SHINGLES))
     verified = materialize(
         in_cells(held, "component", blocks).mapInArrow(
@@ -431,16 +432,16 @@ def _grouped(documents: DataFrame, threshold: float, recall: float) -> DataFrame
     )
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     groups = connected_components(verified, "id", "root")
-    led = groups.join(some.select("id", F.struct("doc_id", "th").alias("row")), "id")
+    led = groups.join(shuffled(some.select("id", F.struct("doc_id", "th").alias("row"))), "id")
     leaders = led.groupBy("component").agg(F.min("row").alias("leader"))
-    linked = led.join(leaders, "component").join(links, "id").select("id", "leader", "links")
+    linked = led.join(shuffled(leaders), "component").join(shuffled(links), "id").select("id", "leader", "links")
 
-    named = classes.join(linked, "id", "left").select(
+    named = classes.join(shuffled(linked), "id", "left").select(
         "cls",
         F.coalesce("leader", "row").alias("leader"),
         (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    return signed.select("doc_id", "th", "cls").join(named, "cls").select(
+    return signed.select("doc_id", "th", "cls").join(shuffled(named), "cls").select(
         "doc_id",
         "th",
         F.col("leader.doc_id").alias("class_id"),
@@ -473,11 +474,11 @@ def keep_first(documents: DataFrame, threshold: float = THRESHOLD, recall: float
     found = materialize(_grouped(documents, threshold, recall).groupBy("doc_id", "th").agg(F.any_value("first").alias("first"), F.count("*").alias("n")))
     gone, kept = found.where("NOT first").alias("g"), documents.alias("d")
     th = F.xxhash64("d.text")
-    kept = kept.join(gone, (F.col("d.doc_id") == F.col("g.doc_id")) & (th == F.col("g.th")), "left_anti")
+    kept = kept.join(shuffled(gone), (F.col("d.doc_id") == F.col("g.doc_id")) & (th == F.col("g.th")), "left_anti")
     again = found.where("first AND n > 1").select("doc_id", "th").alias("g")
     if again.isEmpty():
         return kept
     match = (F.col("d.doc_id") == F.col("g.doc_id")) & (th == F.col("g.th"))
     own = F.struct(*(F.col(f"d.`{c}`") for c in documents.columns)).alias("row")
-    once = kept.alias("d").join(again, match).select(own, "g.*").dropDuplicates(["doc_id", "th"])
-    return kept.alias("d").join(again, match, "left_anti").unionAll(once.select("row.*"))
+    once = kept.alias("d").join(shuffled(again), match).select(own, "g.*").dropDuplicates(["doc_id", "th"])
+    return kept.alias("d").join(shuffled(again), match, "left_anti").unionAll(once.select("row.*"))

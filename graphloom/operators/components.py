@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.relational import shuffled
 from graphloom.operators.scratch import materialize, release
 
 
@@ -21,13 +22,13 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(shuffled(_least(both)), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _least(down)
-    others = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = down.join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
