@@ -1,7 +1,7 @@
 """Graph operators on an edge DataFrame (src, dst).
 
 Bounded walks are a fixed number of joins in one plan. Fix-points run in rounds, each written to shared storage.
-Components, layers and cycles are in `condense`, reachable sets in `closure`, forests in `forest`, weighted paths in `paths`.
+Components, layers, cycles and reachable sets are in `pieces` (large pieces in `condense` and `closure`), forests in `forest`, weighted paths in `paths`.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.closure import closure_counts
-from graphloom.operators.condense import cycles, scc_layers
+from graphloom.operators.pieces import closure_counts, cycles, scc_layers
 from graphloom.operators.scratch import materialize
 
 __all__ = [
