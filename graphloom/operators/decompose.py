@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import classify as cl
 from graphloom.functions.text import basename, dirname
 from graphloom.operators import relational as op
-from graphloom.operators.condense import cycles, dependencies, least_above, scc_layers
+from graphloom.operators.condense import dependencies, least_above
+from graphloom.operators.pieces import cycles, scc_layers
 from graphloom.operators.scratch import materialize
 from graphloom.operators.setjoin import jaccard_pairs
 
@@ -182,15 +183,15 @@ def cycle_resolutions(files: DataFrame, edges: DataFrame) -> DataFrame:
     m = modules(files)
     rolled = op.module_edges(edges, m).select(F.col("sm").alias("src"), F.col("dm").alias("dst"))
     rings = scc_layers(rolled).where("size > 1").select(F.col("node").alias("module"), F.col("component").alias("unit"))
-    inside = m.join(rings, "module").select("node", "unit")
+    inside = m.join(op.shuffled(rings), "module").select("node", "unit")
     s = inside.select(F.col("node").alias("src"), "unit")
     d = inside.select(F.col("node").alias("dst"), F.col("unit").alias("other"))
-    own = edges.join(s, "src").join(d, "dst").where("unit = other").select("src", "dst")
+    own = edges.join(op.shuffled(s), "src").join(op.shuffled(d), "dst").where("unit = other").select("src", "dst")
     layered = scc_layers(own).select("node", F.col("size").alias("ring"), F.col("layer").alias("at"))
-    placed = inside.join(layered, "node", "left").withColumn("ring", F.coalesce("ring", F.lit(1)))
+    placed = inside.join(op.shuffled(layered), "node", "left").withColumn("ring", F.coalesce("ring", F.lit(1)))
     able = placed.groupBy("unit").agg((F.max("ring") == 1).alias("resolvable"))
     order = F.when(F.col("resolvable"), F.coalesce("at", F.lit(0)))
-    return placed.join(able, "unit").select("unit", F.col("node").alias("path"), order.alias("layer"), "resolvable")
+    return placed.join(op.shuffled(able), "unit").select("unit", F.col("node").alias("path"), order.alias("layer"), "resolvable")
 
 
 def forward_dependencies(plan: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
