@@ -673,8 +673,51 @@ class Compiler:
             for x in e
         )
 
+    def thinned(self, q: Query) -> Solutions | None:
+        """Solutions of a SELECT DISTINCT of plain variables over triple patterns alone; None for any other query.
+
+        A sequence of paths is two patterns with a hidden variable. Those that add the fewest variables come first, and a variable that
+        nothing later asks for goes before the next join, so what leads to the same answers meets once.
+        """
+        if not q.distinct or q.group or q.having or q.order or q.where.filters or not q.items or any(e for _, e in q.items):
+            return None
+        if any(part[0] != "triple" for part in q.where.parts):
+            return None
+        left: list[tuple] = []
+
+        def add(s: tuple, p: tuple, o: tuple) -> None:
+            if p[0] == "seq":
+                hidden = ("var", f"_path {len(left)}")  # no variable has a blank
+                add(s, p[1], hidden)
+                add(hidden, p[2], o)
+            elif p[0] == "inverse":
+                add(o, p[1], s)
+            else:
+                left.append((s, p, o))
+
+        for part in q.where.parts:
+            add(*part[1:])
+        asks = [{t[1] for t in pattern if t[0] == "var"} for pattern in left]
+        kept = {n for n, _ in q.items}
+        if not all(asks) or not kept <= set().union(*asks):
+            return None
+        now: Solutions | None = None
+        todo = list(zip(left, asks))
+        while todo:
+            fits = [x for x in todo if now is None or now.names & x[1]]
+            if not fits:
+                raise Refused("patterns of a group must share a variable")
+            had = now.names if now else set()
+            best = min(fits, key=lambda x: len(x[1] - had))
+            todo.remove(best)
+            now = self.join(now, self.triple(*best[0]), "inner")
+            wanted = now.names & kept.union(*(names for _, names in todo))
+            if wanted != now.names and wanted:
+                now = Solutions(now.df.select(*sorted(wanted)).distinct(), now.sure & wanted)
+        return now
+
     def select(self, q: Query) -> Solutions:
-        now = self.group(q.where)
+        now = self.thinned(q) or self.group(q.where)
         if now is None:
             now = Solutions(self.spark.range(1).select(), set())
         df, items = now.df, q.items

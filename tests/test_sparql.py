@@ -95,3 +95,22 @@ def test_walk_from_a_known_end_is_the_closure(spark, path):
         out = {r.o for r in sparql.select(df, f"SELECT ?o {{ <http://x/{x}> <http://x/p>{path} ?o }}").collect()}
         into = {r.s for r in sparql.select(df, f"SELECT ?s {{ ?s ^<http://x/p>{path} <http://x/{x}> }}").collect()}
         assert out == into == {o for s, o in every if s == f"http://x/{x}"}
+
+
+def test_distinct_sequences_are_joined_a_step_at_a_time(spark, monkeypatch):
+    """The answers are those of the pairs that a whole sequence makes, which are never made."""
+    rows = [(f"http://x/s{i}", f"http://x/{p}", f"http://x/{o}", "iri", None, None) for i in range(30) for p, o in (("brand", f"b{i % 2}"), ("size", i % 7))]
+    df = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, datatype string, lang string")
+    b = "<http://x/brand>"
+    every = sparql.select(df, f"SELECT ?s ?t {{ ?s {b}/^{b} ?t . ?s <http://x/size> <http://x/5> }}").collect()
+    whole = sparql.Compiler.edges
+
+    def edges(self, p):
+        assert p[0] != "seq"
+        return whole(self, p)
+
+    monkeypatch.setattr(sparql.Compiler, "edges", edges)
+    got = sparql.select(df, f"SELECT DISTINCT ?t {{ ?s {b}/^{b} ?t . ?s <http://x/size> <http://x/5> }}").collect()
+    assert sorted(r.t for r in got) == sorted({r.t for r in every}) and len(every) > len(got) > 0
+    both = sparql.select(df, f"SELECT DISTINCT ?s ?t {{ ?s {b}/^{b} ?t . ?s <http://x/size> <http://x/5> }}").collect()
+    assert {tuple(r) for r in both} == {tuple(r) for r in every} and len(both) == len(set(both))
